@@ -10,9 +10,10 @@
    one of them has bound every similarity of a class from above: pairs and classes below the
    threshold go without a comparison.
 4. In each list the class with the smallest share of such shingles is compared with the others,
-   which joins most groups by a number of pairs linear in their size. Pairs of a list whose ends
-   are still in different components are compared after that; pairs in one component need not be,
-   so no link between components is lost and no group is expanded into all its pairs.
+   which joins most groups by a number of pairs linear in their size. Of lists that still hold
+   several components, all classes outside the largest are then compared with those of other
+   components, in blocks of bounded size; pairs in one component need not be. So no link between
+   components is lost and no group is expanded into all its pairs.
 5. A pair is a link if its signatures agree in `match` coordinates and its full sets reach the
    similarity.
 
@@ -25,7 +26,7 @@ has a null component and stays; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import hashlib
-from math import comb
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from .common import pieces, settle, small, text_bytes
 from .components import components
 
 COORDS = 40
+#: Bounds of the blocks that are compared in memory.
+BLOCK_ROWS, BLOCK_SHINGLES = 192, 1 << 20
 MISS = 1e-7
 
 
@@ -44,7 +47,7 @@ def match_threshold(percent: int, coords: int, miss: float = MISS) -> int:
     """The most matches that a pair at the similarity reaches but for a chance of `miss`."""
     p, tail = percent / 100, 0.0
     for m in range(coords + 1):
-        tail += comb(coords, m) * p**m * (1 - p) ** (coords - m)
+        tail += math.comb(coords, m) * p**m * (1 - p) ** (coords - m)
         if tail > miss:
             return max(1, m)
     return coords
@@ -95,6 +98,72 @@ def _shingled(docs: DataFrame, words: int, coords: int, full: bool) -> DataFrame
     return docs.mapInArrow(run, "key bigint, n bigint, digest binary, sig array<int>" + ", shingles array<bigint>" * full)
 
 
+def _links_between(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of the lists in `mixed` (head, node, n, component): of each node at least one to every component that it is linked with.
+
+    Nodes of lists that overlap form a cluster. All nodes outside the largest component of their
+    cluster are compared with all of other components whose size allows it, block against block, so
+    that a task holds two blocks of bounded size and no pair is a row unless it is a link."""
+    step = math.log(100 / percent) * 1.000001  # sets above the similarity are at most one class of sizes apart
+    nodes = mixed.select("node", "n", "component").distinct()
+    cluster = components(mixed.select(F.col("head").alias("a"), F.col("node").alias("b")))
+    nodes = settle(nodes.join(cluster.withColumnRenamed("component", "cluster"), "node").withColumn("size", F.floor(F.log("n") / F.lit(step))), "clusters")
+    main = nodes.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("m")).select("cluster", F.col("m.component").alias("main"))
+    nodes = settle(nodes.join(main, "cluster"), "clusters")
+
+    def dealt(df: DataFrame, own: str, other: str) -> tuple[DataFrame, DataFrame]:
+        blocks = df.groupBy("cluster", "size").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        rows = df.join(blocks, ["cluster", "size"]).select("cluster", "node", "component", F.col("size").alias(own + "size"), F.pmod(F.xxhash64("node"), "blocks").alias(own), F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1)))).alias(other + "size"))
+        return rows, blocks
+
+    asked, asked_blocks = dealt(nodes.where("component <> main"), "q", "a")
+    all_, all_blocks = dealt(nodes, "a", "q")
+    key = ["cluster", "qsize", "q", "asize", "a"]
+
+    def spread(rows: DataFrame, blocks: DataFrame, other: str) -> DataFrame:
+        """Each row once for every block of the other side, with its set."""
+        to = blocks.select("cluster", F.col("size").alias(other + "size"), "blocks")
+        rows = rows.join(to, ["cluster", other + "size"]).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        return rows.join(sets.select("node", "shingles"), "node").select(*key, "node", "component", "shingles")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns([c.removeprefix("other_") for c in right.column_names])
+        a, b = blocked_links(left, right, percent) if len(left) and len(right) else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    asked, all_ = spread(asked, all_blocks, "a"), spread(all_, asked_blocks, "q")
+    all_ = all_.select(*(F.col(c).alias("other_" + c) for c in all_.columns))  # both come from `nodes`
+    return asked.groupBy(*key).cogroup(all_.groupBy(*("other_" + c for c in key))).applyInArrow(compare, "a bigint, b bigint")
+
+
+def blocked_links(left: pa.Table, right: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links between two blocks of (node, component, shingles): for each left node one to every component."""
+
+    def side(t: pa.Table):
+        arr = t.column("shingles").combine_chunks()
+        arr = arr.chunk(0) if isinstance(arr, pa.ChunkedArray) else arr
+        offs = np.asarray(arr.offsets, np.int64)
+        flat = arr.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]]
+        return t.column("node").to_numpy(), t.column("component").to_numpy(), np.diff(offs), flat, np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+
+    ln, lc, ls, lf, lr = side(left)
+    rn, rc, rs, rf, rr = side(right)
+    both = np.intersect1d(lf, rf)
+    i, j = np.isin(lf, both), np.isin(rf, both)
+    lf, lr, rf, rr = np.searchsorted(both, lf[i]), lr[i], np.searchsorted(both, rf[j]), rr[j]
+    shared = np.zeros((len(ln), len(rn)), np.float32)
+    for lo in range(0, len(both), 4096):
+        x, y = np.zeros((len(ln), 4096), np.float32), np.zeros((len(rn), 4096), np.float32)
+        i, j = (lf >= lo) & (lf < lo + 4096), (rf >= lo) & (rf < lo + 4096)
+        x[lr[i], lf[i] - lo] = 1
+        y[rr[j], rf[j] - lo] = 1
+        shared += x @ y.T
+    near = (100 * shared.astype(np.int64) >= percent * (ls[:, None] + rs[None, :] - shared.astype(np.int64))) & (lc[:, None] != rc[None, :])
+    i, j = np.nonzero(near)
+    _, one = np.unique(np.column_stack([i, rc[j]]), axis=0, return_index=True) if len(i) else (None, i)
+    return ln[i[one]].tolist(), rn[j[one]].tolist()
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, coords: int = COORDS) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the smallest key reachable over links), kept (component_id is the key)."""
     match = match_threshold(percent, coords)
@@ -141,15 +210,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = settle(linked(pairs), "star")
     group = components(links)
 
-    placed = live.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = settle(placed, "placed")
-    homes = placed.groupBy("token").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "node", "component")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", F.col("p.component").alias("home"))
-    mixed = settle(placed.join(homes, "token"), "mixed")
-    side = lambda c, df: df.select("token", *(F.col(x).alias(c + x) for x in ("node", "n", "u", "free", "component", "home")))
-    # one end is outside its list's home component; of two such ends each pair counts once
-    apart = "a_component <> b_component and (b_component = b_home or a_node < b_node)"
-    rest = side("a_", mixed.where("component <> home")).join(side("b_", mixed), "token").where(apart).where(within("a_", "b_"))
-    more = settle(linked(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()), "rest")
+    placed = settle(live.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("head")).where("lo < hi").select("token", "head")
+    more = settle(_links_between(settle(placed.join(mixed, "token"), "mixed"), sets, percent), "rest")
     if not more.isEmpty():
         group = components(links.unionByName(more))
 
