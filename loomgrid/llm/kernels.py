@@ -52,6 +52,14 @@ def _block(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(words + (end - start).astype(U64)), np.searchsorted(start, offs)
 
 
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes of spans, A-Z as a-z; white space counts as nothing."""
+    up, down = _power(len(b) + 1)
+    total = np.zeros(len(b) + 1, U64)
+    np.cumsum(np.where(_WS[b], U64(0), _CODE[b]) * up[: len(b)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+
+
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without white space, A-Z as a-z) of the rows, and the words before each row."""
     found, first, i, n, base = [], [np.zeros(1, np.int64)], 0, len(offs) - 1, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, language_id, license_scan, near_dedup, secret_scan
+from . import bpe, exact_dedup, fingerprint, language_id, license_scan, near_dedup, quality, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).drop("found")
 
@@ -64,7 +68,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_language_id, op4_exact_dedup, op6_fingerprints, op8_license, op9_secrets, op10_near_dedup)}
+    return {f.__name__: f for f in (op2_bpe, op3_language_id, op4_exact_dedup, op6_fingerprints, op7_quality, op8_license, op9_secrets, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
