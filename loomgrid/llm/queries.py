@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, language_id, license_scan, near_dedup, quality, secret_scan
+from . import bpe, exact_dedup, fingerprint, language_id, license_scan, near_dedup, packing, quality, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True)
     return tokens.select(
@@ -68,7 +72,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_language_id, op4_exact_dedup, op6_fingerprints, op7_quality, op8_license, op9_secrets, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_bpe, op3_language_id, op4_exact_dedup, op6_fingerprints, op7_quality, op8_license, op9_secrets, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
