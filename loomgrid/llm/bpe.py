@@ -175,12 +175,16 @@ class Encoder:
             out += [part] if part in self.vocab.special else self.words.findall(part)
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, but the strings of special tokens are ordinary text."""
+        return self.encode(texts, False)
+
+    def encode(self, texts: list[str], special_tokens: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of all texts, one after the other, and the offsets of the texts."""
         if self.n > CACHED_WORDS:
             self.clear()
-        special = self.vocab.special
-        docs = [self.split(t) for t in texts]
+        special = self.vocab.special if special_tokens else {}
+        docs = [self.split(t) for t in texts] if special else list(map(self.words.findall, texts))
         new = [w for w in set().union(*docs) if w not in self.known]
         plain = [w for w in new if w not in special]
         self.learn(plain)

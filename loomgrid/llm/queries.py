@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, language_id, license_scan, near_dedup, packing, quality, secret_scan
+from . import bpe, exact_dedup, fingerprint, language_id, license_scan, near_dedup, packing, quality, secret_scan, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.document_token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), 50256)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_bpe, op3_language_id, op4_exact_dedup, op6_fingerprints, op7_quality, op8_license, op9_secrets, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_bpe, op3_language_id, op4_exact_dedup, op5_token_counts, op6_fingerprints, op7_quality, op8_license, op9_secrets, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
