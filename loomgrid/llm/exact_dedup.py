@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small
 
 SALTS = 64
 #: Items that the sketch tracks and returns: both bound what reaches the driver. A digest of more than a few thousandths of the rows is always among them.
@@ -91,6 +91,13 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with their columns; of rows that repeat the id that stays, one."""
-    kept = exact_groups(docs, key, text).where("kept").select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key])
+    """The documents that stay, with their columns; of rows that repeat the id and the text that stays, one. Rows without an id stay."""
+    groups = settle(exact_groups(docs, key, text).select(key, "kept", "digest"), "groups")
+    ids = groups.where(F.col(key).isNotNull())
+    if ids.count() == ids.select(key).distinct().count():
+        return docs.join(small(settle(groups.where("not kept").select(key), "gone")), key, "left_anti")
+    marked = docs.withColumn("_digest", sha256(normalised(F.col(text))))
+    stay = groups.where("kept").select(F.col(key).alias("_key"), F.col("digest").alias("_digest")).distinct()
+    once = marked.where(F.col(key).isNotNull()).dropDuplicates([key, "_digest"])
+    once = once.join(stay, (once[key] == stay["_key"]) & (once["_digest"] == stay["_digest"]), "left_semi")
+    return once.unionByName(marked.where(F.col(key).isNull())).drop("_digest")

@@ -224,5 +224,5 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, one of each group of near-duplicates: the smallest id."""
-    gone = near_components(docs, key, text, words, percent).where("not kept").select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    gone = settle(near_components(docs, key, text, words, percent).where("not kept").select(key).distinct(), "gone")
+    return docs.join(small(gone), key, "left_anti")
