@@ -42,7 +42,7 @@ def float_or(v: Column, default: float = 0.0) -> Column:
 
 def song_title(title: Column) -> Column:
     """Trimmed, without a trailing ` [DX]` or ` [ST]`."""
-    return F.trim(F.regexp_replace(F.trim(title), r"\s*\[(DX|ST)\]$", ""))
+    return F.trim(F.regexp_replace(F.trim(title), r"\s+\[(DX|ST)\]$", ""))
 
 
 def artist_key(artist: Column) -> Column:

@@ -95,6 +95,10 @@ def table_check(chunks: DataFrame, index: DataFrame, segments: DataFrame, size:
     return c.crossJoin(i).crossJoin(s).withColumn("ok", (F.col("rows") == F.col("keys")) & (F.col("rows") == F.col("indexed")) & (F.col("bad_vectors") == 0) & (F.col("bad_charts") == 0) & (F.col("bad_scores") == 0))
 
 
+#: Categories of charters, and the name of none.
+SINGLE, SHARED, UNRECOGNISED, UNSIGNED = "个人谱师", "多人合作谱", "未识别", "未署名"
+
+
 def song_ids(charts: DataFrame) -> DataFrame:
     """Songs (title_key, artist_key) numbered from 1 in the order of their earliest version, with the attributes of that chart.
 
@@ -118,6 +122,6 @@ def charter_category(charts: DataFrame, aliases: DataFrame, credits: DataFrame,
     name = F.trim("charter")
     rows = charts.join(a, name == F.col("_a"), "left").join(c, name == F.col("_c"), "left").join(u, name == F.col("_u"), "left")
     none = F.coalesce(F.col("charter"), F.lit("")) == ""
-    category = F.when(none | F.col("_a").isNotNull(), "single").when(F.col("_c").isNotNull() | F.col("_u").isNotNull(), "shared").otherwise("unknown")
-    names = F.when(none, F.array(F.lit("unsigned"))).when(F.col("_a").isNotNull(), F.array("_main")).when(F.col("_c").isNotNull() & (F.size("_names") > 0), F.col("_names")).otherwise(F.array(name))
+    category = F.when(none | F.col("_a").isNotNull(), SINGLE).when(F.col("_c").isNotNull() | F.col("_u").isNotNull(), SHARED).otherwise(UNRECOGNISED)
+    names = F.when(none, F.array(F.lit(UNSIGNED))).when(F.col("_a").isNotNull(), F.array("_main")).when(F.col("_c").isNotNull() & (F.size("_names") > 0), F.col("_names")).otherwise(F.array(name))
     return rows.withColumns({"charter_category": category, "charter_names": names}).drop("_a", "_main", "_c", "_names", "_u")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from . import catalog_queries, chart_queries
 
+MODULES = (chart_queries, catalog_queries)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
