@@ -24,6 +24,7 @@ from .common import text_bytes
 
 BINS, BITS, WORDS = 256, 4, 5
 TRIES = 24
+MOST_BUCKETS = 1 << 16  # bounds that reach the driver
 ROWS = 2048  # documents whose bins are in memory at once
 _DRAW = np.random.default_rng(11).integers(0, BINS, (TRIES, BINS))
 _PICK = np.random.default_rng(13).integers(0, 2**31, BINS)
@@ -117,7 +118,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     once; only bounds and first ids, a few for each bucket, reach the driver."""
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(MOST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = base.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("q")).first()["q"] or []
     bucket = _bucket(F.col("key"), sorted(set(cuts), reverse=True))
     firsts = base.groupBy(bucket.alias("bucket")).agg(F.max("key").alias("first")).orderBy("bucket").collect()
