@@ -43,7 +43,7 @@ def ranks(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 def rank_metrics(rank: DataFrame) -> DataFrame:
     """One row: recall at 1, 5 and 10, mean reciprocal rank, lower median."""
     at = lambda k: F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_at_{k}")
-    return rank.agg(F.count("*").alias("n"), at(1), at(5), at(10), F.avg(1 / F.col("rank")).alias("mrr"), F.expr("percentile_disc(0.5) within group (order by rank)").alias("median_rank"))
+    return rank.agg(F.count("*").alias("n"), at(1), at(5), at(10), F.avg(1 / F.col("rank")).alias("mrr"), F.expr("percentile_disc(0.5) within group (order by rank)").cast("bigint").alias("median_rank"))
 
 
 def shifted_cosine(pairs: DataFrame, order: str, a: str = "a", b: str = "b") -> DataFrame:
