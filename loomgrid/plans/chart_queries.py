@@ -10,6 +10,7 @@ from ..operators import charts as chart_ops
 from ..operators import chunks, density, embedding, scoring, segments
 from . import fixtures
 from .fixtures import sql
+from .lineage import cut
 
 ALL = "notes measures moments burst profile hand triple features base"
 
@@ -196,9 +197,9 @@ def d8_pooling(spark, sf_dir):
 def segmentation_reports(spark, sf_dir):
     """Charts from their text: compiled, cut, labelled and scored; the whole chain in one plan."""
     m, _ = chart_ops.split_errors(chart_ops.measures(fixtures.charts(spark, sf_dir)))
-    m = density.with_densities(m)
+    m = cut(density.with_densities(m), "measures")  # read for the cuts, the labels, the scores and their baselines
     seg = segments.segmentation(m, segments.Config(edge=1))
-    rows = segments.assign(m, seg)
+    rows = cut(segments.assign(m, seg), "sections")
     keys = ["chart_id", "segment_id"]
     limits = segments.thresholds(m)
     feats = scoring.summarize(rows, keys)
@@ -212,10 +213,13 @@ def segmentation_reports(spark, sf_dir):
 def pattern_vectors(spark, sf_dir):
     """Vectors of all windows of all charts."""
     m, _ = chart_ops.split_errors(chart_ops.measures(fixtures.charts(spark, sf_dir)))
+    m = cut(m.select("chart_id", "idx", "text", "bpm", "beats", "duration_seconds"), "measures")
     n = m.groupBy("chart_id").agg(F.max("idx").alias("measure_count"))
     rows = n.withColumn("segment_id", F.lit(0)).withColumns({"start_measure": F.lit(1), "end_measure": F.col("measure_count")})
     c = chunks.keyed(chunks.chunks(rows), n.select("chart_id", F.concat(F.lit("c"), "chart_id").alias("chart_name")))
-    return embedding.embed(embedding.window_measures(c, m)).select("key", "vector", "event_count", "rhythm_bpm", "error")
+    # a few windows a task: their vectors are the work, not their bytes
+    windows = embedding.window_measures(c, m).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return embedding.embed(windows).select("key", "vector", "event_count", "rhythm_bpm", "error")
 
 
 NEEDED = "notes measures"
