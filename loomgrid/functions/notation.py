@@ -291,6 +291,27 @@ def groups_of(notes: str, bpm: Fraction | None) -> list[list[tuple[str, Note]]]:
     return out
 
 
+def tally(total: dict[str, int], groups: list[list[tuple[str, Note]]]) -> list[tuple[int, int, str, Note, int]]:
+    """Add a slot's notes to the counters: (group, place, token, note, weight) of each. Touches of a group share three at most."""
+    rows = []
+    if not groups:
+        total["empty_slots"] += 1
+    if len(groups) > 1:
+        total["pseudo_each_groups"] += len(groups)
+    for g, group in enumerate(groups):
+        total["each_groups"] += len(group) > 1
+        left = TOUCH_CAP
+        for e, (token, note) in enumerate(group):
+            for k, v in note.counts.items():
+                total[k] += v
+            touch = min(left, note.touch_weight)
+            left -= touch
+            total["density_weight"] += note.weight + touch
+            total["non_touch_density_weight"] += note.weight
+            rows.append((g, e, token, note, note.weight + touch))
+    return rows
+
+
 def count_notes(chart: str) -> tuple[dict[str, int], list[dict]]:
     """All counters of a chart, and a row for each note with its share of the weights."""
     total = dict.fromkeys(COUNTERS, 0)
@@ -303,22 +324,8 @@ def count_notes(chart: str) -> tuple[dict[str, int], list[dict]]:
             bpm = Fraction(m[1]) if m[1] else bpm
             at = m.end()
         groups = groups_of(slot[at:], bpm)
-        if not groups:
-            total["empty_slots"] += 1
-            continue
-        if len(groups) > 1:
-            total["pseudo_each_groups"] += len(groups)
-        for g, group in enumerate(groups):
-            total["each_groups"] += len(group) > 1
-            left = TOUCH_CAP
-            for e, (token, note) in enumerate(group):
-                for k, v in note.counts.items():
-                    total[k] += v
-                touch = min(left, note.touch_weight)
-                left -= touch
-                total["density_weight"] += note.weight + touch
-                total["non_touch_density_weight"] += note.weight
-                rows.append({"slot": s, "pseudo": g, "each": e, "kind": note.kind, "raw": token, "weight": note.weight + touch, "lane": note.lane, "counts": note.counts, "paths": note.paths})
+        for g, e, token, note, weight in tally(total, groups):
+            rows.append({"slot": s, "pseudo": g, "each": e, "kind": note.kind, "raw": token, "weight": weight, "lane": note.lane, "counts": note.counts, "paths": note.paths})
     return total, rows
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,20 +95,24 @@ def cut(n: int, score: dict[int, float], config: Config = Config()) -> tuple[lis
 def segmentation(measures: DataFrame, config: Config = Config()) -> DataFrame:
     """chart_id, segment_id, start_measure, end_measure (numbers from 1), score, boundary_score, imbalance.
 
-    Boundary scores are windows; the cuts of one chart, some hundred measures, are found in one group."""
-    scores = density.boundary_scores(measures, config.window)
-    size = measures.groupBy("chart_id").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
-    rows = size.join(scores, "chart_id", "left").select("chart_id", "n", "first", "boundary", "score")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, first = int(pdf["n"].iloc[0]), int(pdf["first"].iloc[0])
-        known = pdf.dropna(subset=["boundary"])
-        cuts, value, mean, off = cut(n, {int(b): float(s) for b, s in zip(known["boundary"], known["score"], strict=True)}, config)
-        edges = [0, *cuts, n]
-        return pd.DataFrame([(pdf["chart_id"].iloc[0], k, edges[k] + first, edges[k + 1] + first - 1, value, mean, off) for k in range(len(edges) - 1)], columns=["chart_id", "segment_id", "start_measure", "end_measure", "score", "boundary_score", "imbalance"])
-
+    Boundary scores are windows; a chart's cuts are found from the list of its scores, some hundred numbers."""
+    scores = density.boundary_scores(measures, config.window).groupBy("chart_id").agg(F.collect_list("boundary").alias("b"), F.collect_list("score").alias("s"))
+    size = measures.groupBy("chart_id").agg(F.count("*").cast("int").alias("n"), F.min("idx").alias("first"))
     kind = dict(measures.dtypes)["chart_id"]
-    return rows.groupBy("chart_id").applyInPandas(one, f"chart_id {kind}, segment_id int, start_measure int, end_measure int, score double, boundary_score double, imbalance double")
+    names = ["chart_id", "segment_id", "start_measure", "end_measure", "score", "boundary_score", "imbalance"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for chart, n, first, boundaries, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cuts, value, mean, off = cut(n, dict(zip(boundaries or (), values or (), strict=True)), config)
+                edges = [0, *cuts, n]
+                rows += [(chart, k, a + first, b + first - 1, value, mean, off) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names)
+
+    rows = size.join(scores, "chart_id", "left").select("chart_id", "n", "first", "b", "s")
+    return rows.mapInArrow(run, f"chart_id {kind}, segment_id int, start_measure int, end_measure int, score double, boundary_score double, imbalance double")
 
 
 def assign(measures: DataFrame, segments: DataFrame) -> DataFrame:
