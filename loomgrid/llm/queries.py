@@ -80,7 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    """SQL for what it can express: the others are tested against libraries, brute force or held-out labels."""
+    return {"op4_exact_dedup": OP4_SQL, "op8_license": op8_sql(), "op9_secrets": op9_sql(), "op10_near_dedup": OP10_SQL}
 
 
 OP4_SQL = r"""
@@ -94,3 +95,71 @@ g AS (
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g ON t.norm = g.norm
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.doc_id),
+low AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, len(s.sh) AS n_shingles, low.component_id, low.component_id = s.doc_id AS kept FROM s JOIN low ON low.doc_id = s.doc_id
+"""
+
+
+def _list(values) -> str:
+    quoted = [f"'{v}'" if isinstance(v, str) else str(v) for v in values]
+    return "[" + ", ".join(quoted) + "]"
+
+
+def op8_sql() -> str:
+    """Base phrases and templates word by word."""
+    rows = ", ".join(f"('{label}', {_list(t.split())}, {_list(places)}, ' {phrase} ')" for (label, t, phrase), places in zip(license_scan.TEMPLATES, license_scan.rare_places(), strict=True))
+    base = ", ".join(f"('{label}', {_list(p.split())}, ' {p} ')" for p, label in license_scan.BASE)
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d),
+b(label, p, phrase) AS (VALUES {base}),
+bp AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM x JOIN b ON contains(line, phrase)),
+ba AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM bp GROUP BY 1),
+t(label, words, rare, phrase) AS (VALUES {rows}),
+o AS (SELECT doc_id, label, w, words, rare, unnest(range(1 - len(words), len(w))) AS o FROM x JOIN t ON contains(line, phrase)),
+m AS (SELECT doc_id, label, len(words) AS n, list_sum(list_transform(range(len(words)), lambda q: CASE WHEN o + q >= 0 AND w[o + q + 1] = words[q + 1] THEN 1 ELSE 0 END)) AS hits,
+             list_sum(list_transform(rare, lambda q: CASE WHEN o + q >= 0 AND w[o + q + 1] = words[q + 1] THEN 1 ELSE 0 END)) AS rare_hits FROM o),
+f AS (SELECT doc_id, max(hits / n) AS score, list_distinct(list(label)) AS labels FROM m WHERE rare_hits >= 2 AND hits / n >= {license_scan.IN_PLACE} GROUP BY 1)
+SELECT x.doc_id, len(x.w) AS n_words, coalesce(ba.n_base, 0) AS n_base, ba.first_word, ba.last_word,
+       coalesce(array_to_string(list_sort(ba.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(ba.labels, []), coalesce(f.labels, [])))), ','), '') AS labels, coalesce(f.score, 0) AS score
+FROM x LEFT JOIN ba ON ba.doc_id = x.doc_id LEFT JOIN f ON f.doc_id = x.doc_id
+"""
+
+
+def op9_sql() -> str:
+    """Matches of each kind in order; their places follow from the lengths of what stands between them."""
+    parts = []
+    for k, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        if rule.fold:  # letters outside brackets of the keyword part, in either case but only of ASCII
+            head, tail = secret_scan._KEY, rule.pattern.removeprefix(secret_scan._KEY)
+            words = head[: head.index(")")]
+            pattern = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words) + head[head.index(")") :] + tail).replace("'", "''")
+        parts.append(f"SELECT {k} AS k, '{rule.kind}' AS kind, doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS p FROM d")
+    keep = "CASE kind WHEN 'assign' THEN length(regexp_replace(s, '^[^:=]*[:=]\\x20*[\"'']?', '')) >= 6 WHEN 'access' THEN length(s) >= 20 WHEN 'hex' THEN length(s) >= 24 ELSE true END"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT k, kind, doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM a WHERE len(m) > 0),
+r AS (SELECT k, kind, doc_id, m[i] AS s, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS a FROM e),
+f AS (SELECT k, kind, doc_id, a::BIGINT AS a, (a + length(s))::BIGINT AS b FROM r WHERE {keep}),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3), '') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM f GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
