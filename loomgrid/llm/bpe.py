@@ -26,6 +26,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 CACHED_WORDS = 300_000
 CACHED_CHARS = 200
+LONG = 1 << 20  # characters of a text that are encoded at once
+CUT = regex.compile("[a-z] (?=[a-z])")
 SCALAR = 24  # positions up to which plain Python is faster than numpy
 
 
@@ -36,6 +38,18 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def long_parts(text: str) -> Iterator[str]:
+    """Parts of at most LONG characters or a little more, cut before a single space between letters of a to z, where no word or special token goes on."""
+    at = 0
+    while len(text) - at > LONG:
+        m = CUT.search(text, at + LONG // 2)
+        if not m:
+            break
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
+    yield text[at:]
+
+
 class Vocabulary:
     """Merges and tokens of a tokenizer file, as arrays; small enough to broadcast (a few MB, fixed by the file)."""
 
@@ -179,11 +193,15 @@ class Encoder:
         """As encode, but the strings of special tokens are ordinary text."""
         return self.encode(texts, False)
 
-    def encode(self, texts: list[str], special_tokens: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], special_tokens: bool = True, apart: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of all texts, one after the other, and the offsets of the texts."""
         if self.n > CACHED_WORDS:
             self.clear()
         special = self.vocab.special if special_tokens else {}
+        if apart and len(texts) == 1 and len(texts[0]) > LONG:
+            parts = [self.encode([p], special_tokens, False)[0] for p in long_parts(texts[0])]
+            ids = np.concatenate(parts)
+            return ids, np.array([0, len(ids)])
         docs = [self.split(t) for t in texts] if special else list(map(self.words.findall, texts))
         new = [w for w in set().union(*docs) if w not in self.known]
         plain = [w for w in new if w not in special]

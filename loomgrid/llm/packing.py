@@ -24,10 +24,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small
 
 SIZES = (512, 1024, 2048, 4096, 8192)
-GROUPS = 64  # of a length's pieces, numbered apart
+#: Pieces of one length are numbered in groups of about so many, in at least GROUPS groups.
+GROUP_ROWS, GROUPS, MOST_GROUPS = 1 << 20, 64, 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -121,22 +122,19 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", sizes: tuple[
     spark, most = docs.sparkSession, max(sizes)
     counted = docs.select(F.col(key).alias("key"), F.coalesce(tokens(F.coalesce(F.col(text), F.lit(""))), F.lit(0)).cast("bigint").alias("total"))
     piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / most))))
-    cut = counted.select("key", "total", piece.alias("piece")).select("key", "piece", (F.col("piece") * most).alias("first_token"), F.least(F.lit(most), F.col("total") - F.col("piece") * most).alias("n_tokens"), F.pmod(F.xxhash64("key", "piece"), F.lit(GROUPS)).alias("g"))
+    cut = counted.select("key", "total", piece.alias("piece")).select("key", "piece", (F.col("piece") * most).alias("first_token"), F.least(F.lit(most), F.col("total") - F.col("piece") * most).alias("n_tokens"))
     cut = settle(cut, "pieces")
-
-    groups = cut.where("n_tokens > 0").groupBy("n_tokens", "g").count().collect()  # at most GROUPS numbers for each length
-    histogram: dict[int, int] = {}
-    starts = []
-    for r in sorted(groups, key=lambda r: (r["n_tokens"], r["g"])):
-        starts.append((r["n_tokens"], r["g"], histogram.get(r["n_tokens"], 0)))
-        histogram[r["n_tokens"]] = histogram.get(r["n_tokens"], 0) + r["count"]
-    table = places(plan(histogram, sizes))
-    at = spark.createDataFrame(starts, "n_tokens bigint, g bigint, start bigint")
-    ranges = spark.createDataFrame(table, "n_tokens bigint, low bigint, high bigint, k bigint, first bigint, bin_size bigint, base bigint")
-
+    lengths = cut.where("n_tokens > 0").groupBy("n_tokens").count().collect()  # at most as many as the longest sequence has tokens
+    histogram = {r["n_tokens"]: r["count"] for r in lengths}
+    ranges = spark.createDataFrame(places(plan(histogram, sizes)), "length bigint, low bigint, high bigint, k bigint, first bigint, bin_size bigint, base bigint")
+
+    groups = min(MOST_GROUPS, max(GROUPS, max(histogram.values(), default=0) // GROUP_ROWS))
+    cut = cut.withColumn("g", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
+    before = Window.partitionBy("n_tokens").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.where("n_tokens > 0").groupBy("n_tokens", "g").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     order = Window.partitionBy("n_tokens", "g").orderBy("key", "piece")
-    numbered = cut.where("n_tokens > 0").withColumn("i", F.row_number().over(order) - 1).join(F.broadcast(at), ["n_tokens", "g"]).withColumn("i", F.col("i") + F.col("start"))
-    placed = numbered.join(F.broadcast(ranges), (numbered["n_tokens"] == ranges["n_tokens"]) & (F.col("i") >= F.col("low")) & (F.col("i") < F.col("high"))).drop(ranges["n_tokens"])
+    numbered = cut.where("n_tokens > 0").withColumn("i", F.row_number().over(order) - 1).join(small(settle(starts, "starts")), ["n_tokens", "g"]).withColumn("i", F.col("i") + F.col("start"))
+    placed = numbered.join(F.broadcast(ranges), (F.col("n_tokens") == F.col("length")) & (F.col("i") >= F.col("low")) & (F.col("i") < F.col("high")))
     nth = F.col("i") - F.col("low")
     out = placed.select(
         F.col("key").alias(key), "piece", "first_token", "n_tokens",

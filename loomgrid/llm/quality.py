@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import held_out, pieces, text_bytes
 
-SAMPLE = 40_000
+SAMPLE = 20_000
 BINS = 12
-STEPS, RATE, RIDGE = 600, 0.05, 1e-3
+STEPS, RATE, RIDGE = 300, 0.08, 1e-3
 THRESHOLD = 0.3
 _U64 = np.uint64
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 small letter, 2 capital, 3 digit, 4 white space, 5 sentence mark, 6 other mark, 7 above 127

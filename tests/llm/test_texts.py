@@ -65,6 +65,15 @@ def test_bpe_equals_the_library(spark, tokenizer):
     assert bpe.encode(frame(spark, ["a"]).limit(0), queries.tokenizer_path()).collect() == []
 
 
+def test_long_texts_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", 50)
+    own = bpe.Encoder(bpe.Vocabulary(queries.tokenizer_path()))
+    rng = random.Random(5)
+    for _ in range(50):
+        text = "".join(rng.choice([" a", "bc d", "  ", "x", "é ", "<|endoftext|>", "'s t", "1 2", ". q"]) for _ in range(200))
+        assert own.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_decode_of_any_ids(spark, tokenizer):
     rng = random.Random(3)
     lists = [[rng.randrange(50257) for _ in range(rng.randint(0, 20))] for _ in range(200)]
