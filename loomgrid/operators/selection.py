@@ -6,6 +6,7 @@ of a catalog (thousands); `LIMIT` refuses more.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import pandas as pd
@@ -49,32 +50,110 @@ def _local(df: DataFrame, order: list[str]) -> pd.DataFrame:
     return rows.sort_values(order, ignore_index=True)
 
 
+#: How much the shares of kind and of the categories (in their order) count when the rest is filled.
+KIND_WEIGHT, CATEGORY_WEIGHTS = 2.0, (1.0, 1.0, 0.75)
+
+
 def select_covering(charts: DataFrame, size: int, categories: list[str], kind: str = "kind", key: str = "chart_id") -> DataFrame:
-    """`size` charts: first those that add most values of the categories not yet covered (then of the kind that lacks most), then those whose values are least represented. Ties go to the smaller key."""
+    """At least `size` charts that cover every value of the categories.
+
+    First, until all values are covered, the chart that adds most new ones (then of the kind that lacks most); then the
+    chart whose kind and values are least represented, by weighted shares of their targets or totals. Ties go to the smaller key."""
     rows = _local(charts.select(key, kind, *categories), [key])
-    values = [set(zip(categories, r, strict=True)) for r in rows[categories].itertuples(index=False)]
+    values = list(rows[categories].itertuples(index=False, name=None))
     kinds = list(rows[kind])
     target = kind_targets(Counter(kinds), size)
-    have, seen, chosen, left = Counter(), Counter(), [], set(range(len(rows)))
-    while left and len(chosen) < size:
-        def worth(i: int):
-            new = sum(v not in seen for v in values[i])
-            lack = target[kinds[i]] - have[kinds[i]]
-            return (new > 0, new, lack, -sum(seen[v] for v in values[i]), -i) if new else (False, 0, lack > 0, -sum(seen[v] for v in values[i]), -i)
-
-        best = max(left, key=worth)
-        chosen.append(best)
-        left.discard(best)
-        have[kinds[best]] += 1
-        seen.update(values[best])
+    totals = [Counter(v[c] for v in values) for c in range(len(categories))]
+    weights = [CATEGORY_WEIGHTS[c] if c < len(CATEGORY_WEIGHTS) else 1.0 for c in range(len(categories))]
+    have, seen = Counter(), [Counter() for _ in categories]
+    chosen = []
+    alike: dict[tuple, list[int]] = {}  # charts that no rule tells apart, the smallest key last
+    for i in reversed(range(len(rows))):
+        alike.setdefault((kinds[i], values[i]), []).append(i)
+
+    def take(i: int) -> None:
+        chosen.append(i)
+        own = alike[kinds[i], values[i]]
+        own.pop()
+        if not own:
+            del alike[kinds[i], values[i]]
+        have[kinds[i]] += 1
+        for c, v in enumerate(values[i]):
+            seen[c][v] += 1
+
+    new = lambda i: sum(not seen[c][v] for c, v in enumerate(values[i]))
+    while any(len(+seen[c]) < len(totals[c]) for c in range(len(categories))):
+        take(max((own[-1] for own in alike.values() if new(own[-1])), key=lambda i: (new(i), target[kinds[i]] - have[kinds[i]], -i)))
+    while alike and len(chosen) < size:
+        def represented(i: int) -> float:
+            return KIND_WEIGHT * have[kinds[i]] / max(target[kinds[i]], 1) + sum(w * seen[c][v] / max(totals[c][v], 1) for c, (w, v) in enumerate(zip(weights, values[i], strict=True)))
+
+        take(min((own[-1] for own in alike.values()), key=lambda i: (represented(i), i)))
     return charts.sparkSession.createDataFrame(rows.loc[sorted(chosen), [key]])
 
 
+def assign_splits(charts: DataFrame, sizes: dict[str, int], categories: list[str], kind: str = "kind", key: str = "chart_id") -> DataFrame:
+    """key, split: every split gets each value of the categories while there are charts of it; then the (chart, split) whose kind the split lacks most, that brings it a new value, and whose split is the emptiest. Ties go to the smaller key, then the earlier split."""
+    rows = _local(charts.select(key, kind, *categories), [key])
+    values = [tuple(str(v) for v in r) for r in rows[categories].itertuples(index=False, name=None)]
+    kinds = list(rows[kind])
+    target = {s: kind_targets(Counter(kinds), n) for s, n in sizes.items()}
+    of: dict[int, str] = {}
+    count, of_kind, seen = Counter(), {s: Counter() for s in sizes}, {s: [Counter() for _ in categories] for s in sizes}
+
+    def assign(i: int, s: str) -> None:
+        of[i] = s
+        count[s] += 1
+        of_kind[s][kinds[i]] += 1
+        for c, v in enumerate(values[i]):
+            seen[s][c][v] += 1
+
+    for c in range(len(categories)):
+        for v in sorted({x[c] for x in values}):
+            for s in sizes:
+                free = [i for i in range(len(rows)) if i not in of and values[i][c] == v]
+                if free and count[s] < sizes[s]:
+                    assign(free[0], s)
+    order = list(sizes)
+    alike: dict[tuple, list[int]] = {}  # charts that no rule tells apart, the smallest key last
+    for i in reversed(range(len(rows))):
+        if i not in of:
+            alike.setdefault((kinds[i], values[i]), []).append(i)
+    while alike and any(count[s] < sizes[s] for s in sizes):
+        options = ((target[s].get(kind_, 0) - of_kind[s][kind_], *(not seen[s][c][v] for c, v in enumerate(value)), sizes[s] - count[s], -own[-1], -k, own[-1], s) for (kind_, value), own in alike.items() for k, s in enumerate(order) if count[s] < sizes[s])
+        *_, i, s = max(options)
+        assign(i, s)
+        own = alike[kinds[i], values[i]]
+        own.pop()
+        if not own:
+            del alike[kinds[i], values[i]]
+    return charts.sparkSession.createDataFrame(pd.DataFrame({key: [rows[key][i] for i in sorted(of)], "split": [of[i] for i in sorted(of)]}))
+
+
+#: Weights of the features that a split should share out evenly.
+SPLIT_WEIGHTS = {"version": 8.0, "difficulty": 12.0, "level": 6.0, "version_difficulty": 3.0, "chart_kind": 2.0}
+
+
+def exact_sum(items: list[int], weights: list[int], total: int) -> list[int]:
+    """Items whose weights add up to a total, the earlier ones if they can; an error if none do."""
+    reach = [1]  # bit t: the first items reach a sum of t
+    for w in weights:
+        reach.append((reach[-1] | reach[-1] << w) & ((1 << (total + 1)) - 1))
+    if not reach[-1] >> total & 1:
+        raise ValueError(f"no set of songs has exactly {total} charts")
+    out = []
+    for k in reversed(range(len(items))):
+        if not reach[k] >> total & 1:
+            out.append(items[k])
+            total -= weights[k]
+    return out
+
+
 def split_disjoint(charts: DataFrame, sizes: dict[str, int], features: list[str], song: str = "song_id", key: str = "chart_id", rounds: int = 20) -> DataFrame:
     """key, split: exact sizes, no song in two splits, and categories spread as evenly as a local search finds.
 
-    Songs go to the split whose shares they improve most, the larger songs first; single songs then fill the sizes
-    exactly, and swaps of songs of equal size lower the differences. The result is checked, not claimed optimal."""
+    Songs in the order of a hash fill the smaller splits to their exact sizes (subset sums), the rest is the largest;
+    swaps of songs of equal size then lower the differences. The result is checked, not claimed optimal."""
     rows = _local(charts.select(key, song, *features), [song, key])
     rows["_i"] = range(len(rows))
     songs = [list(g["_i"]) for _, g in rows.groupby(song, sort=True)]
@@ -82,26 +161,22 @@ def split_disjoint(charts: DataFrame, sizes: dict[str, int], features: list[str]
         raise ValueError("the sizes must add up to the number of charts")
     totals = {f: Counter(rows[f]) for f in features}
     contents = [{f: Counter(rows.loc[s, f]) for f in features} for s in songs]
+    of: dict[int, str] = {}
     names, n = list(sizes), len(rows)
-    # exact sizes: which numbers of charts can be reached with the songs from k on, for the split at hand
-    order = sorted(range(len(songs)), key=lambda i: (-len(songs[i]), i))
-    room, of = dict(sizes), {}
+    order = sorted(range(len(songs)), key=lambda i: hashlib.blake2b(str(rows.at[songs[i][0], song]).encode(), digest_size=8).digest())
+    for split in sorted(names, key=lambda s: (sizes[s], s)):
+        left = [i for i in order if i not in of]
+        for i in left if split == max(names, key=lambda s: (sizes[s], s)) else exact_sum(left, [len(songs[i]) for i in left], sizes[split]):
+            of[i] = split
     held = {s: {f: Counter() for f in features} for s in names}
-    ones = sum(len(s) == 1 for s in songs)
+    for i, split in of.items():
+        for f in features:
+            held[split][f].update(contents[i][f])
 
-    def off(split: str, add: int | None = None) -> float:
+    def off(split: str) -> float:
         share = sizes[split] / n
-        return sum(abs(held[split][f][v] + (contents[add][f][v] if add is not None else 0) - totals[f][v] * share) for f in features for v in totals[f])
-
-    for i in order:
-        fit = [s for s in names if room[s] >= len(songs[i])]
-        if not fit:
-            raise ValueError(f"songs do not fit the sizes exactly ({ones} songs have one chart)")
-        best = max(fit, key=lambda s: (room[s] / sizes[s] if sizes[s] else 0.0, off(s) - off(s, i)))
-        of[i] = best
-        room[best] -= len(songs[i])
-        for f in features:
-            held[best][f].update(contents[i][f])
+        return sum(SPLIT_WEIGHTS.get(f, 1.0) * abs(held[split][f][v] - totals[f][v] * share) for f in features for v in totals[f])
+
     for _ in range(rounds):
         moved = False
         for i in order:
@@ -147,3 +222,37 @@ def check_split(rows: DataFrame, sizes: dict[str, int], song: str = "song_id") -
     wanted = F.create_map(*(x for s, n in sizes.items() for x in (F.lit(s), F.lit(n))))
     out = rows.groupBy("split").agg(F.count("*").alias("size")).join(bad, "split", "left")
     return out.withColumns({"wanted": F.try_element_at(wanted, F.col("split")), "shared_songs": F.coalesce("shared_songs", F.lit(0))})
+
+
+def split_features(charts: DataFrame) -> DataFrame:
+    """The categories by which splits are compared, from chart_version, difficulty_name, level and chart_kind."""
+    return charts.withColumns({"version": F.col("chart_version"), "difficulty": F.col("difficulty_name"), "version_difficulty": F.concat_ws("|", "chart_version", "difficulty_name")})
+
+
+def charter_bucket(category: str = "charter_category", names: str = "charter_names"):
+    """The shared category, else the first name."""
+    from .integrity import SHARED, UNSIGNED
+
+    return F.when(F.col(category) == SHARED, SHARED).otherwise(F.coalesce(F.get(names, F.lit(0)), F.lit(UNSIGNED)))
+
+
+def dataset_summary(records: DataFrame) -> DataFrame:
+    """One row: records, charts, songs, counts by difficulty and by section, least and largest level."""
+    counts = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n"))))
+    each = lambda c: records.groupBy(c).agg(F.count("*").alias("n")).agg(counts(c).alias(f"{c}_counts"))
+    whole = records.agg(F.count("*").alias("record_count"), F.countDistinct("chart_id").alias("chart_count"), F.countDistinct("song_id").alias("song_count"), F.min("level_value").alias("minimum_level"), F.max("level_value").alias("maximum_level"))
+    return whole.crossJoin(each("difficulty")).crossJoin(each("segment_id"))
+
+
+def category_totals(charts: DataFrame, features: list[str]) -> DataFrame:
+    """feature, value, n of several categories in one pass."""
+    long = charts.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features))).alias("x")).select("x.feature", "x.value")
+    return long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
+def divider_summary(charts: DataFrame, threshold: float) -> DataFrame:
+    """One row: songs and charts with a divider above a threshold, and the largest of all."""
+    from ..functions import text
+
+    d = charts.withColumn("_d", text.large_dividers(F.col("content"), threshold)).where(F.size("_d") > 0)
+    return d.agg(F.countDistinct("song_id").alias("songs"), F.countDistinct("chart_id").alias("charts"), F.max(F.array_max("_d")).alias("largest"))

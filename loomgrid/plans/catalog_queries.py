@@ -53,9 +53,9 @@ def charter_categories(spark, sf_dir):
 
 
 def key_integrity(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 != 3).select(F.col("o_orderkey").alias("key"))
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 10 != 4).select(F.col("l_orderkey").alias("key"))
-    return integrity.compare_keys(o, li, "key")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    return integrity.compare_keys(c, o, "key")
 
 
 def key_duplicates(spark, sf_dir):
@@ -67,14 +67,13 @@ def missing_patterns(spark, sf_dir):
 
 
 def mapping_equality(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.max("l_suppkey").alias("supp"))
-    other = li.select("l_orderkey", F.when(F.col("l_orderkey") % 50 == 0, None).otherwise(F.col("part")).alias("part"), "supp")
-    return integrity.mapping_differences(li, other, "l_orderkey", "part", "supp")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi"), F.max("l_suppkey").alias("supp"))
+    return integrity.mapping_differences(li.select("l_orderkey", F.col("lo").alias("part"), "supp"), li.select("l_orderkey", F.col("hi").alias("part"), "supp"), "l_orderkey", "part", "supp")
 
 
 def fk_containment(spark, sf_dir):
-    inner = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 1000).alias("k"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_linenumber")).alias("end"))
-    outer = table(spark, sf_dir, "part").where("p_partkey < 900").select(F.col("p_partkey").alias("k"), (F.col("p_size") * 0.2).alias("start"), (F.col("p_size") + 20.0).alias("end"))
+    inner = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_linenumber")).alias("end"))
+    outer = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") * 0.2).alias("start"), (F.col("p_size") + 20.0).alias("end"))
     return integrity.containment(inner, outer, ["k"]).select("l_orderkey", "l_linenumber", "ok")
 
 
@@ -90,9 +89,9 @@ def record_join(spark, sf_dir):
 
 
 def upsert(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    u = s.where(F.col("s_suppkey") % 4 == 0).select("s_suppkey", F.upper("s_name").alias("s_name"), (F.col("s_nationkey") * 2).alias("level")).union(spark.sql("SELECT -1L, 'none', 0"))
-    return integrity.upsert(s, u, "s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    u = s.where("s_acctbal < 0").select("s_suppkey", F.upper("s_name").alias("s_name"), (F.col("s_nationkey") * 2).alias("level")).union(spark.sql("SELECT -1L, 'none', 0"))
+    return integrity.upsert(s.select("s_suppkey", "s_name", "s_nationkey"), u, "s_suppkey")
 
 
 def split_leakage(spark, sf_dir):
@@ -258,7 +257,60 @@ j AS (SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS a, o.embedding::DOUBLE[] A
 v AS (SELECT id, a, list_transform(list_zip(a, o), lambda z: z[1] + z[2] * 0.25::DOUBLE) AS b FROM j)
 """
 _SPLITS = "WITH d AS (SELECT doc_id, lang, source, doc_id % 211 AS song_id FROM documents), s AS (SELECT *, CASE WHEN song_id % 10 < 6 THEN 'train' WHEN song_id % 10 < 8 THEN 'validation' WHEN doc_id % 29 = 0 THEN 'train' ELSE 'test' END AS split FROM d)\n"
+def dataset_summary(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chart_id"), F.col("l_suppkey").alias("song_id"), F.col("l_linenumber").alias("difficulty"), (F.col("l_linenumber") % 5).alias("segment_id"), F.col("l_quantity").alias("level_value"))
+    out = selection.dataset_summary(li)
+    return out.withColumns({"difficulty_counts": F.to_json("difficulty_counts"), "segment_id_counts": F.to_json("segment_id_counts")})
+
+
+def category_totals(spark, sf_dir):
+    return selection.category_totals(table(spark, sf_dir, "part"), ["p_brand", "p_size"])
+
+
+def divider_summary(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chart_id"), (F.col("p_partkey") % 50).alias("song_id"), F.concat(F.lit("{"), F.col("p_size") * 20, F.lit("}1,E")).alias("content"))
+    return selection.divider_summary(p, 384)
+
+
+def greedy_splits(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chart_id"), F.col("quality").alias("kind"), (F.col("doc_id") % 7).alias("version"), (F.col("doc_id") % 3).alias("genre"))
+    n = d.count()
+    return selection.assign_splits(d, {"train": n - 2 * (n // 6), "validation": n // 6, "test": n // 6}, ["version", "genre"])
+
+
+def table_check(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    chunk = e.select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"))
+    index = e.groupBy((F.col("vec_id") % 10).alias("chart_id")).agg(F.count("*").alias("chunk_count"))
+    seg = spark.range(50).select((F.col("id") / 5).cast("bigint").alias("chart_id"), *((F.col("id") * (i + 1)).cast("double").alias(f"{n}_score") for i, n in enumerate(stats.SCORES)))
+    return integrity.table_check(chunk, index, seg, 64)
+
+
+def effective_tempo(spark, sf_dir):
+    """Beats per minute of each chart from its beats and seconds."""
+    m = fixtures.measures(spark, sf_dir)
+    return rounded(m.groupBy("chart_id").agg((F.sum("beats") * 60 / F.sum("duration_seconds")).alias("bpm")), "bpm")
+
+
+def each_pairs(spark, sf_dir):
+    """Distances of all pairs of notes in a group of at most eight, by size of the group."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 8 + 1).cast("int").alias("lane"))
+    groups = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "lane"))).alias("g"))
+    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: ring.ring_distance(x["lane"], y["lane"]))))
+    return groups.select(F.size("g").cast("bigint").alias("size"), F.explode(pairs).alias("distance")).groupBy("size", "distance").agg(F.count("*").alias("n"))
+
+
 SQL = {
+    "dataset_summary": """WITH l AS (SELECT l_linenumber AS d, l_linenumber % 5 AS g FROM lineitem), a AS (SELECT d, count(*) AS n FROM l GROUP BY 1), b AS (SELECT g, count(*) AS n FROM l GROUP BY 1)
+SELECT count(*) AS record_count, count(DISTINCT l_orderkey) AS chart_count, count(DISTINCT l_suppkey) AS song_count, min(l_quantity) AS minimum_level, max(l_quantity) AS maximum_level,
+  (SELECT '{' || string_agg('"' || d || '":' || n, ',' ORDER BY d) || '}' FROM a) AS difficulty_counts, (SELECT '{' || string_agg('"' || g || '":' || n, ',' ORDER BY g) || '}' FROM b) AS segment_id_counts FROM lineitem""",
+    "category_totals": "SELECT 'p_brand' AS feature, p_brand AS value, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'p_size', p_size::VARCHAR, count(*) FROM part GROUP BY 2",
+    "divider_summary": "SELECT count(DISTINCT p_partkey % 50) AS songs, count(*) AS charts, max(p_size * 20)::DOUBLE AS largest FROM part WHERE p_size * 20 > 384",
+    "table_check": """WITH s AS (SELECT i // 5 AS c, max(i * 6) > 200 AS b, count(*) FILTER (i * 6 > 200) AS k FROM range(50) t(i) GROUP BY 1)
+SELECT count(*) AS rows, count(*) AS keys, 0::BIGINT AS bad_vectors, count(*) AS indexed, 0::BIGINT AS bad_charts, (SELECT sum(k) FROM s)::BIGINT AS bad_scores, false AS ok FROM embeddings""",
+    "effective_tempo": sql("notes measures", "SELECT chart_id, round(count(*) * 240 / sum(duration_seconds), 6) AS bpm FROM measures GROUP BY 1"),
+    "each_pairs": """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey % 8 + 1 AS lane, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 8) AS i, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem)
+SELECT a.size, least((a.lane - b.lane + 8) % 8, (b.lane - a.lane + 8) % 8)::DOUBLE AS distance, count(*) AS n FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.i < b.i GROUP BY 1, 2""",
     "chart_catalog_join": """SELECT o_orderkey, o_custkey || ':' || CASE WHEN o_orderkey % 2 = 0 THEN 'DX' ELSE 'ST' END || ':' || (o_orderkey % 2 + 5) AS chart_id,
   lpad(o_custkey::VARCHAR, 5, '0') || '_' || CASE WHEN o_orderkey % 2 = 0 THEN 'dx' ELSE 'st' END || '_' || (o_orderkey % 2 + 5) || '_' || regexp_replace(regexp_replace(c_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS chart_name,
   coalesce(c_mktsegment, 'none') AS genre FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 <> 0 AND trim(o_orderpriority) <> ''""",
@@ -269,17 +321,17 @@ SELECT row_number() OVER (ORDER BY no, version, title_key, artist_key) AS song_i
   CASE WHEN p_partkey % 13 = 0 THEN 9999 ELSE p_size % 30 END::BIGINT AS version_no FROM part""",
     "charter_categories": """SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 OR s_suppkey % 8 <= 2 THEN '个人谱师' WHEN s_suppkey % 8 <= 5 THEN '多人合作谱' ELSE '未识别' END AS charter_category,
   CASE WHEN s_suppkey % 9 = 0 THEN '["未署名"]' ELSE list_value('["main0"]', '["main0"]', '["main2"]', '["main0","x"]', '["main2","main2"]', '["n5"]', '["n6"]', '["n7"]')[s_suppkey % 8 + 1] END AS names FROM supplier""",
-    "key_integrity": """WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 10 <> 4)
+    "key_integrity": """WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
 SELECT count(*) AS n_keys, count(*) FILTER (b.k IS NULL) AS only_left, count(*) FILTER (a.k IS NULL) AS only_right, min(a.k::VARCHAR) FILTER (b.k IS NULL) AS left_example, min(b.k::VARCHAR) FILTER (a.k IS NULL) AS right_example FROM a FULL JOIN b ON a.k = b.k""",
     "key_duplicates": 'SELECT l_orderkey, l_linenumber, count(*) AS "count" FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1',
     "missing_patterns": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "mapping_equality": "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 50 = 0",
+    "mapping_equality": "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING min(l_partkey) <> max(l_partkey)",
     "fk_containment": """SELECT l_orderkey, l_linenumber, coalesce(p_size * 0.2 <= l_quantity AND l_quantity + l_linenumber <= p_size + 20.0, false) AS ok
-FROM lineitem LEFT JOIN part ON p_partkey = l_orderkey % 1000 AND p_partkey < 900""",
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""",
     "record_join": """WITH x AS (SELECT e.vec_id, l.quality, d.source, list_transform(range(6), lambda i: (e.vec_id * (i + 3)) % 201) AS s FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 6 <= 4)
 SELECT 'k' || vec_id AS key, vec_id AS chart_id, vec_id % 40 AS song_id, (vec_id % 6)::INT AS segment_id, quality + 5 AS difficulty, quality AS difficulty_id, source || '.mp3' AS audio_file,
   round(least(1.5, (vec_id % 15 + 0.5::DOUBLE) / 15) + list_sum(list_transform(s, lambda z: z / 200.0::DOUBLE)), 6) AS conditions, 1.0::DOUBLE AS length FROM x""",
-    "upsert": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN upper(s_name) ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey * 2 END AS level FROM supplier",
+    "upsert": "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN upper(s_name) ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_acctbal < 0 THEN s_nationkey * 2 END AS level FROM supplier",
     "split_leakage": _SPLITS + "SELECT song_id, count(DISTINCT split) AS splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "split_summary": _SPLITS + "SELECT split, count(*) AS n_charts, count(DISTINCT song_id) AS n_songs, count(DISTINCT lang) AS n_lang, count(DISTINCT source) AS n_source FROM s GROUP BY 1",
     "pp_spread": _SPLITS
@@ -335,5 +387,6 @@ SQL["rank_metrics"] = (
 QUERIES = (
     chart_catalog_join, song_ids, chart_kinds, charter_categories, key_integrity, key_duplicates, missing_patterns, mapping_equality, fk_containment, record_join, upsert, split_leakage, split_summary, pp_spread,
     exclude_low, sample_records, disjoint_batches, greedy_select, disjoint_split, vector_normalize, cosine_pairs, retrieval_ranks, rank_metrics, shifted_cosine, stat_pooling, infonce_loss, signed_log_block,
-    svd_singular_values, svd_vectors, sparsity, sha1_keys, safe_names, large_dividers, chart_fields, first_offsets, ring_distances, top_features, rhythm_fft, hand_load, running_metrics,
+    svd_singular_values, svd_vectors, sparsity, sha1_keys, safe_names, large_dividers, chart_fields, first_offsets, ring_distances, top_features, rhythm_fft, hand_load, running_metrics, dataset_summary, category_totals, divider_summary,
+    greedy_splits, table_check, effective_tempo, each_pairs,
 )

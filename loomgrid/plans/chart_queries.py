@@ -429,6 +429,25 @@ SQL["d8_pooling"] = sql(
 SELECT chart_id, feature, round(sum(v) / 16, 6) AS mean, round(max(v), 6) AS most FROM x GROUP BY 1, 2""",
 )
 
+# sections as charts of their own: their features, then percentiles over the sections of a chart
+_OWN = (
+    "WITH " + fixtures.CTE["notes"].replace("notes AS", "all_notes AS")
+    + """, places AS (SELECT chart_id, idx, ntile(5) OVER (PARTITION BY chart_id ORDER BY idx) - 1 AS g FROM (SELECT DISTINCT chart_id, idx FROM all_notes)),
+notes AS (SELECT n.* REPLACE (n.chart_id * 10 + g AS chart_id) FROM all_notes n JOIN places p ON p.chart_id = n.chart_id AND p.idx = n.idx),
+""" + ",\n".join(fixtures.CTE[c] for c in fixtures.ORDER[1:-1]).replace("(n_all < 4 AND idx = 1)", "(n_all < 4 AND idx = i0)").replace("count(*) OVER (PARTITION BY chart_id) AS n_all", "count(*) OVER (PARTITION BY chart_id) AS n_all, min(idx) OVER (PARTITION BY chart_id) AS i0")
+)
+_MARKS = {
+    "mean": "quantile_cont(density_note_mean, 0.95) OVER c", "cv05": "quantile_cont(density_cv, 0.05) OVER c", "cv95": "quantile_cont(density_cv, 0.95) OVER c",
+    "burst": "coalesce(quantile_cont(burst_density, 0.98) FILTER (burst_density > 0) OVER c, 1)", "hand": "coalesce(nullif(greatest(0, quantile_cont(handtrip_density, 0.98) OVER c), 0), 1)",
+    "fast": "coalesce(nullif(quantile_cont(1 / tricky_shortest_time, 0.98) FILTER (tricky_shortest_time > 0) OVER c, 0), 1)",
+    "sr": "coalesce(nullif(quantile_cont(slide_ratio, 0.98) OVER c, 0), 0.2)", "sd": "coalesce(nullif(quantile_cont(slide_density, 0.98) OVER c, 0), 1.5)",
+    "cr": "coalesce(nullif(quantile_cont(charge_ratio, 0.98) OVER c, 0), 0.2)", "cd": "coalesce(nullif(quantile_cont(charge_density, 0.98) OVER c, 0), 1.5)",
+}
+SQL["relative_scores"] = (
+    _OWN + ", marked AS (SELECT *, " + ", ".join(f"{v} AS p_{k}" for k, v in _MARKS.items()) + " FROM features WINDOW c AS (PARTITION BY chart_id // 10))\nSELECT chart_id // 10 AS chart_id, (chart_id % 10)::INT AS segment_id, "
+    + ", ".join(f"round({v}, 6) AS {n}_score" for n, v in _scores({k: f"p_{k}" for k in _MARKS}).items()) + " FROM marked"
+)
+
 #: Sums that DuckDB widens are long integers here as well.
 for _name, _columns in {
     "peak_burst_score": "burst_note_count", "note_mix": "hold_count total", "range_density": "weighted_sum", "slide_distance": "path_count", "triple_tap_window": "deduplicated_count",
