@@ -66,7 +66,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, eod: int, ke
                     n = len(texts)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name.rpartition("/")[2]] * n), pa.array(np.arange(index, index + n))], ["key", "file", "doc_index"])
                     index += n
-        where.move(part_name, name)
+        try:
+            where.move(part_name, name)
+        except OSError:  # another attempt of this task was first, and some stores do not replace files
+            if where.get_file_info(name).type == fs.FileType.NotFound:
+                raise
+            where.delete_file(part_name)
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"key {kind}, file string, doc_index bigint")
     return settle(rows.withColumnRenamed("key", key), "written")
