@@ -44,6 +44,7 @@ TEMPLATES = (
 )
 RARE_WORDS = 4  # rare words of each template that the index holds
 IN_PLACE = 0.9  # share of a template's words that must stand in place
+SHIFT = 1024  # more than there are templates
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -92,8 +93,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     posting = F.create_map(*(x for w, at in sorted(index.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in at)))))
     rare_hits = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*index))
     df = df.withColumn("_hits", rare_hits)
-    offers = F.flatten(F.transform("_hits", lambda h: F.transform(F.try_element_at(posting, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["q"]).alias("o")))))
+    # a proposal is one number, place * SHIFT + template: numbers are told apart by hashing, structs would be compared in pairs
+    offers = F.flatten(F.transform("_hits", lambda h: F.transform(F.try_element_at(posting, h["w"]), lambda p: (h["i"] - p["q"]).cast("bigint") * SHIFT + p["t"])))
     df = df.withColumn("_offers", F.array_distinct(offers))
+    df = df.withColumn("_offers", F.transform("_offers", lambda c: F.struct(F.pmod(c, F.lit(SHIFT)).cast("int").alias("t"), F.floor(c / SHIFT).cast("int").alias("o"))))
     sizes = F.array(*(F.lit(len(w)) for w in words))
     all_words, all_rare = F.array(*map(_strings, words)), F.array(*(F.array(*map(F.lit, r)) for r in rare))
     in_place = lambda c, places: F.size(F.filter(places, lambda q: F.when(c["o"] + q >= 0, word(c["o"] + q)) == F.get(F.get(all_words, c["t"]), q)))
