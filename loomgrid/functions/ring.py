@@ -47,16 +47,20 @@ def bottleneck(left: Column, right: Column) -> Column:
 
 
 def moment_distance(left: Column, right: Column) -> Column:
-    """Distance of two moments' lanes: of single lanes on the ring, of one to several the least, of equally many a step of at most one for all, else the plain difference of their centres."""
+    """Distance of two moments' lanes; see sorted_distance."""
     a, b = F.array_sort(left), F.array_sort(right)
-    many = F.abs(lane_center(a) - lane_center(b))
-    shifted = bottleneck(a, b)
+    return sorted_distance(a, b, lane_center(a), lane_center(b))
+
+
+def sorted_distance(a: Column, b: Column, center_a: Column, center_b: Column) -> Column:
+    """Distance of two moments' sorted lanes with their centres: of single lanes on the ring, of one to several the least, of equally many a step of at most one for all, else the plain difference of the centres."""
+    one = lambda x, many: F.array_min(F.transform(many, lambda y: ring_distance(F.get(x, F.lit(0)), y)))
+    near = F.when(F.size(a) == F.size(b), bottleneck(a, b))
     return (
         F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-        .when(F.size(a) == 1, F.array_min(F.transform(b, lambda x: ring_distance(x, F.get(a, F.lit(0))))))
-        .when(F.size(b) == 1, F.array_min(F.transform(a, lambda x: ring_distance(x, F.get(b, F.lit(0))))))
-        .when((F.size(a) == F.size(b)) & (F.when(F.size(a) == F.size(b), shifted) <= 1), shifted)
-        .otherwise(many)
+        .when(F.size(a) == 1, one(a, b))
+        .when(F.size(b) == 1, one(b, a))
+        .otherwise(F.coalesce(F.when(near <= 1, near), F.abs(center_a - center_b)))
     )
 
 

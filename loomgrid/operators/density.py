@@ -65,11 +65,12 @@ def moments_of(measures: DataFrame, keys: list[str], lanes: str = "all") -> Data
 def movement(moments: DataFrame, keys: list[str], twelfths: bool = False) -> DataFrame:
     """Distance between consecutive moments further apart than a sixteenth (with `twelfths`, a twelfth where the tempo is above 200)."""
     w = Window.partitionBy(*keys).orderBy("time_seconds", "beat", "idx", "k")
-    rows = moments.withColumns({"_l": F.lag("lanes").over(w), "_beat": F.lag("beat").over(w), "_bpm": F.lag("bpm").over(w)})
-    fast = (F.greatest(F.coalesce("bpm", F.lit(0.0)), F.coalesce("_bpm", F.lit(0.0))) > FAST_BPM) if twelfths else F.lit(False)
-    pair = F.col("_l").isNotNull()
-    apart = pair & (F.col("beat") - F.col("_beat") > F.when(fast, TWELFTH).otherwise(SIXTEENTH))
-    rows = rows.withColumn("_d", F.when(apart, ring.moment_distance(F.col("_l"), F.col("lanes"))))
+    rows = moments.withColumn("_a", F.array_sort("lanes")).withColumn("_now", F.struct(F.col("_a").alias("lanes"), ring.lane_center(F.col("_a")).alias("center"), "beat", "bpm"))
+    rows = rows.withColumn("_was", F.lag("_now").over(w))  # sorted lanes and centres are found once for each moment
+    fast = (F.greatest(F.coalesce("bpm", F.lit(0.0)), F.coalesce("_was.bpm", F.lit(0.0))) > FAST_BPM) if twelfths else F.lit(False)
+    pair = F.col("_was").isNotNull()
+    apart = pair & (F.col("beat") - F.col("_was.beat") > F.when(fast, TWELFTH).otherwise(SIXTEENTH))
+    rows = rows.withColumn("_d", F.when(apart, ring.sorted_distance(F.col("_was.lanes"), F.col("_now.lanes"), F.col("_was.center"), F.col("_now.center"))))
     return rows.groupBy(*keys).agg(
         F.count("*").alias("moment_count"),
         F.count("_d").alias("pair_count"),

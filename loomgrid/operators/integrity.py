@@ -73,6 +73,7 @@ def records(patterns: DataFrame, split: DataFrame, audio: DataFrame, segments: D
     """Training records: patterns of the split's charts with their audio and section, unit teacher vectors and numeric conditions. Rows whose song ids disagree, whose section is not 0 to 4 or whose vector has no length are left out; the checks above name them."""
     s = split.select("chart_id", F.col("song_id").alias("_song"), "difficulty", "level_value")
     names = [f"{n}_score" for n in stats.SCORES]
+    patterns = patterns.select("key", "chart_id", "song_id", "segment_id", "segment_key", "vector")
     rows = patterns.join(s, "chart_id").join(audio.select("key", "audio_file"), "key").join(segments.select(F.col("key").alias("segment_key"), *names), "segment_key")
     rows = rows.where((F.col("song_id") == F.col("_song")) & F.col("segment_id").between(0, 4)).withColumn("teacher_vector", vectors.unit(F.col("vector")))
     rows = rows.where("teacher_vector is not null").withColumns({"numeric_conditions": stats.conditions("level_value", names), "difficulty_id": F.col("difficulty") - 5})
