@@ -230,9 +230,14 @@ class Encoder:
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> list[str]:
         """The texts of token ids; bytes that are not UTF-8 become U+FFFD."""
-        size = self.lengths[ids]
-        end = np.cumsum(size)
-        raw = self.flat[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.starts[ids] - (end - size), size)].tobytes()
+        end = np.cumsum(self.lengths[ids])
+        parts = []
+        for lo in range(0, len(ids), LONG // 4):
+            some = ids[lo : lo + LONG // 4]
+            size = self.lengths[some]
+            to = np.cumsum(size)
+            parts.append(self.flat[np.arange(int(to[-1])) + np.repeat(self.starts[some] - (to - size), size)].tobytes())
+        raw = b"".join(parts)
         at = np.concatenate([[0], end])[offs].tolist()
         return [raw[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1], at[1:], strict=True)]
 

@@ -29,7 +29,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         inverse = U64(pow(int(_BASE), -1, 2**64))
         for key, b in (("up", _BASE), ("down", inverse)):
-            a = np.full(max(n, BLOCK), b, U64)
+            a = np.full(max(n, BLOCK + 1), b, U64)
             a[0] = 1
             _powers[key] = np.multiply.accumulate(a)
     return _powers["up"], _powers["down"]
@@ -52,12 +52,22 @@ def _block(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(words + (end - start).astype(U64)), np.searchsorted(start, offs)
 
 
-def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes of spans, A-Z as a-z; white space counts as nothing."""
-    up, down = _power(len(b) + 1)
-    total = np.zeros(len(b) + 1, U64)
-    np.cumsum(np.where(_WS[b], U64(0), _CODE[b]) * up[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+def span_hashes(b: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between consecutive edges (0 first, len(b) last), A-Z as a-z; white space counts as nothing. Bytes are taken in blocks."""
+    up, down = _power(BLOCK + 1)
+    at, back = np.zeros(len(edges), U64), np.ones(len(edges), U64)
+    carry, scale, inverse = np.zeros(1, U64), np.ones(1, U64), np.ones(1, U64)
+    for lo in range(0, len(b), BLOCK):
+        part = b[lo : lo + BLOCK]
+        local = np.zeros(len(part) + 1, U64)
+        np.cumsum(np.where(_WS[part], U64(0), _CODE[part]) * up[: len(part)], out=local[1:])
+        i, j = np.searchsorted(edges, (lo, lo + len(part)))
+        at[i:j] = carry + scale * local[edges[i:j] - lo]
+        back[i:j] = inverse * down[edges[i:j] - lo]
+        carry = carry + scale * local[-1:]
+        scale, inverse = scale * up[len(part) : len(part) + 1], inverse * down[len(part) : len(part) + 1]
+    at[np.searchsorted(edges, len(b)) :] = carry
+    return mix((at[1:] - at[:-1]) * back[:-1] + np.diff(edges).astype(U64))
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,7 @@ from .common import held_out, pieces, text_bytes
 
 SAMPLE, LANGUAGES, BUCKETS = 3000, 256, 1 << 14
 SMOOTH = 0.5
+PART = 1 << 20  # bytes of a text read at once
 ROUNDS, SET_ROUNDS, LARGEST_SET, PENALTY = 6, 4, 3, 2.0
 _U32 = np.uint32
 #: Letters keep their (small) byte, all others become a space; bytes above 127 count as letters.
@@ -55,16 +56,43 @@ class Mixture:
         self.names = names
         self.log = np.log(total / total.sum(1, keepdims=True)).T.astype(np.float32)
 
+    def words(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods of all words under each language, and the words before each row; a long row is read in parts that end with a word."""
+        found, first, n = [np.zeros((0, len(self.names)), np.float32)], np.zeros(len(offs), np.int64), 0
+
+        def read(own: np.ndarray, edges: np.ndarray) -> np.ndarray:
+            grams, starts, at = trigrams(own, edges)
+            if len(starts):
+                found.append(np.add.reduceat(self.log[grams], starts, axis=0, dtype=np.float32))
+            return at
+
+        for i, j in pieces(offs, PART):
+            lo, hi = int(offs[i]), int(offs[j])
+            if j > i + 1 or hi - lo <= 2 * PART:
+                at = read(buf[lo:hi], offs[i : j + 1] - lo)
+                first[i + 1 : j + 1] = n + at[1:]
+                n += int(at[-1])
+                continue
+            while lo < hi:
+                to = min(hi, lo + PART)
+                while to < hi and not len(gap := np.flatnonzero(_FOLD[buf[to : min(hi, to + PART)]] == 32)):
+                    to = min(hi, to + PART)
+                if to < hi:
+                    to += int(gap[0])
+                n += int(read(buf[lo:to], np.array([0, to - lo]))[-1])
+                lo = to
+            first[j] = n
+        return np.concatenate(found), first
+
     def infer(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row the index of its language (-1: no letter) and its share."""
-        grams, starts, first = trigrams(buf, offs)
+        n, k = len(offs) - 1, len(self.names)
+        words, first = self.words(buf, offs)
         count = np.diff(first)
-        n, k = len(count), len(self.names)
         best, share = np.full(n, -1), np.zeros(n)
         rows = np.flatnonzero(count)
         if not len(rows) or not k:
             return best, share
-        words = np.add.reduceat(self.log[grams], starts, axis=0, dtype=np.float32)
         top = words.max(1, keepdims=True)
         like = np.exp(np.maximum(words - top, -60))
         heads, size = first[:-1][rows], count[rows]

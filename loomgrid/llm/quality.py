@@ -34,21 +34,34 @@ _KIND[[32, *range(9, 14)]] = 4
 _KIND[[ord(c) for c in ".,;:'\"-?()"]] = 5
 _KIND[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = 6
 _KIND[128:] = 7
+_ENDS = np.isin(np.arange(256), (33, 46, 63))
+BYTES = 1 << 20  # counted at once; a longer text is counted in parts
 NAMES = ("log_bytes", "log_words", "capitals", "digits", "blank", "marks", "symbols", "high", "word_length", "distinct_words", "most_frequent", "distinct_pairs", "repeated_next", "lines", "distinct_lines", "line_words", "sentence_words", "short_words")
 
 
+def byte_counts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of each kind, sentence ends and line ends of each row."""
+    n = len(offs) - 1
+    kinds, ends, lines = np.zeros(8 * n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for lo in range(0, len(buf), BYTES):
+        part = buf[lo : lo + BYTES]
+        row = np.searchsorted(offs, np.arange(lo, lo + len(part)), "right") - 1
+        kinds += np.bincount(row * 8 + _KIND[part], minlength=8 * n)
+        ends += np.bincount(row[_ENDS[part]], minlength=n)
+        lines += np.bincount(row[part == 10], minlength=n)
+    return kinds.reshape(n, 8), ends, lines
+
+
 def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """NAMES of each row; all zero for an empty one."""
     n = len(offs) - 1
     out = np.zeros((n, len(NAMES)))
     size = np.diff(offs).astype(float)
-    row = np.repeat(np.arange(n), np.diff(offs))
-    kinds = np.bincount(row * 8 + _KIND[buf], minlength=8 * n).reshape(n, 8)
+    kinds, ends, lines = byte_counts(buf, offs)
     words, first = kernels.word_hashes(buf, offs)
     count = np.diff(first)
     some = np.maximum(count, 1)
-    ends = np.bincount(row, weights=np.isin(buf, (33, 46, 63)), minlength=n)
-    lines = np.bincount(row, weights=buf == 10, minlength=n) + (size > 0)
+    lines = lines + (size > 0)
     out[:, 0], out[:, 1] = np.log1p(size), np.log1p(count)
     for c, k in ((2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7)):
         out[:, c] = kinds[:, k] / np.maximum(size, 1)
@@ -61,7 +74,7 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     pairs[:-1] = pairs[:-1] * _U64(0x9E3779B97F4A7C15) + words[1:]
     breaks = np.flatnonzero(buf == 10)
     edges = np.unique(np.concatenate([offs, breaks + 1]))
-    line = kernels.span_hashes(buf, edges[:-1], edges[1:])
+    line = kernels.span_hashes(buf, edges)
     line_row = np.searchsorted(edges, offs)
     for d in np.flatnonzero(count):
         w = np.sort(words[first[d] : first[d + 1]])

@@ -110,6 +110,21 @@ def test_languages(spark):
     assert language_id.identify(docs.limit(0)).collect() == []
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab cdé .\n") for _ in range(rng.choice([0, 5, 40, 900]))) for _ in range(60)] + ["x" * 500, "a b " * 300]
+    buf, offs = common.text_bytes(pa.array(texts))
+    model = language_id.Mixture(["a", "b"], np.random.default_rng(1).random((2, language_id.BUCKETS)) * 50)
+    whole, first = model.words(buf, offs)
+    stats = quality.statistics(buf, offs)
+    for module, name in ((language_id, "PART"), (quality, "BYTES"), (kernels, "BLOCK")):
+        monkeypatch.setattr(module, name, 37)
+    monkeypatch.setattr(kernels, "_powers", {})
+    parts, again = model.words(buf, offs)
+    assert (first == again).all() and np.abs(whole - parts).max() < 1e-4
+    assert np.abs(stats - quality.statistics(buf, offs)).max() < 1e-12
+
+
 # fingerprints
 
 
