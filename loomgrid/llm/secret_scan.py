@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .automaton import Automaton
 from .common import pieces, text_bytes
 
+PART = 1 << 21  # bytes of a batch that are scanned at once
 FEW = 32  # lanes below which plain Python is faster than numpy
 
 
@@ -136,19 +137,34 @@ class Scanner:
                 i = end
         return out
 
+    def parts(self, buf: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Parts of about PART bytes that end after a byte at which no rule goes on."""
+        lo = 0
+        while lo < len(buf):
+            to = min(len(buf), lo + PART)
+            while to < len(buf) and not len(gap := np.flatnonzero(self.cuts[buf[to : to + PART]])):
+                to = min(len(buf), to + PART)
+            if to < len(buf):
+                to += int(gap[0]) + 1
+            yield lo, to
+            lo = to
+
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """For each row with spans: (start, rule, end) in code points, by start, then rule."""
         rows: dict[int, list] = {}
-        lo, hi = self.stretches(buf, offs)
-        row = np.searchsorted(offs, lo, "right") - 1
-        for r, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for i, k, j in self.spans(buf[a:b].tobytes()):
-                rows.setdefault(r, []).append((a + i, k, a + j))
+        for at, to in self.parts(buf):
+            i, j = np.searchsorted(offs, (at, to), "right")
+            lo, hi = self.stretches(buf[at:to], np.concatenate([[0], offs[i:j] - at, [to - at]]))
+            row = np.searchsorted(offs, lo + at, "right") - 1
+            for r, a, b in zip(row.tolist(), (lo + at).tolist(), (hi + at).tolist(), strict=True):
+                for x, k, y in self.spans(buf[a:b].tobytes()):
+                    rows.setdefault(r, []).append((a + x, k, a + y))
         for r, spans in rows.items():
             base = int(offs[r])
-            text = buf[base : int(offs[r + 1])]
-            points = np.cumsum((text & 0xC0) != 0x80)  # characters up to each byte
-            rows[r] = sorted((int(points[a - base]) - 1, k, int(points[b - base - 1])) for a, k, b in spans)
+            places = np.unique([base, *(p for a, _, b in spans for p in (a, b))])
+            first = (buf[base : int(places[-1])] & 0xC0) != 0x80  # bytes that begin a character
+            points = dict(zip(places.tolist(), np.concatenate([[0], np.cumsum(np.add.reduceat(first, places[:-1] - base, dtype=np.int64))]).tolist(), strict=True))
+            rows[r] = sorted((points[a], k, points[b]) for a, k, b in spans)
         return rows
 
 

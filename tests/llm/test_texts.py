@@ -262,6 +262,16 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(docs.limit(0)).collect() == []
 
 
+def test_secrets_in_parts(monkeypatch):
+    rng = random.Random(10)
+    texts = ["".join(rng.choice(["token=abcdef1", "é", "\n", ",", "word ", "0af" * 9, "AKIA" + "B" * 17]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    scanner = secret_scan.Scanner()
+    buf, offs = common.text_bytes(pa.array(texts))
+    whole = scanner.scan(buf, offs)
+    monkeypatch.setattr(secret_scan, "PART", 40)
+    assert scanner.scan(buf, offs) == whole == {i: s for i, t in enumerate(texts) if (s := secrets(t))}
+
+
 @pytest.mark.parametrize("pattern", ["a(b|c)*d", "[a-c]{2,4}x?", "(ab|a)(bc|c)?", "[^a]b+", "a{3}", r"\x61\.b", ".b"])
 def test_automaton_equals_re(pattern):
     own, other = Automaton([(pattern, False)], False), re.compile(pattern.encode())
