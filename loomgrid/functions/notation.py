@@ -87,8 +87,10 @@ def slots_of(chart: str) -> tuple[list[str], bool]:
     if not text:
         raise NotationError("empty chart")
     parts = commas(text)
-    if parts[-1].strip() == "E" and text.count("[", text.rindex("E")) == 0:
+    if parts[-1].strip() == "E":
         return parts[:-1], True
+    if parts[-1].count("[") > parts[-1].count("]"):
+        raise NotationError("a bracket is not closed before the end")
     return (parts if parts[-1].strip() else parts[:-1]), False
 
 
