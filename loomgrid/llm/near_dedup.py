@@ -212,9 +212,11 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     placed = settle(live.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("head")).where("lo < hi").select("token", "head")
-    more = settle(_links_between(settle(placed.join(mixed, "token"), "mixed"), sets, percent), "rest")
-    if not more.isEmpty():
-        group = components(links.unionByName(more))
+    mixed = settle(placed.join(mixed, "token"), "mixed")
+    if not mixed.isEmpty():
+        more = settle(_links_between(mixed, sets, percent), "rest")
+        if not more.isEmpty():
+            group = components(links.unionByName(more))
 
     label = classes.select("n", "digest", F.col("node")).join(group, "node", "left").select("n", "digest", F.coalesce("component", "node").alias("component"))
     out = signed.select("key", "n", "digest").join(label, ["n", "digest"], "left")
