@@ -66,18 +66,14 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
     sketch = slim.agg(F.expr(f"approx_top_k(digest, {HEAVY}, {TRACKED})").alias("top"), F.count("*").alias("n")).first()
     # a digest spread thinner than this is combined well enough by the map tasks
     heavy = [x["item"] for x in sketch["top"] or () if x["item"] is not None and x["count"] > max(64, sketch["n"] // TRACKED)]
-    salt = F.when(F.col("digest").isin(heavy), 1 + F.pmod(F.xxhash64("key", "chars"), F.lit(SALTS))).otherwise(0) if heavy else F.lit(0).cast("bigint")
-
-    salted = (
-        base.select("digest", "norm", salt.alias("salt"), _rank(F.col("chars"), F.col("key")).alias("rank"))
-        .groupBy("digest", "norm", "salt")
-        .agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
-    )
-    groups = salted.where("salt = 0").drop("salt")
+    hot = F.col("digest").isin(heavy) if heavy else F.lit(False)
+
+    ranked = base.select("digest", "norm", F.pmod(F.xxhash64("key", "chars"), F.lit(SALTS)).alias("salt"), _rank(F.col("chars"), F.col("key")).alias("rank"))
+    best = (F.max("rank").alias("rank"), F.count("*").alias("n"))
+    groups = ranked.where(~hot).groupBy("digest", "norm").agg(*best)
     if heavy:
-        groups = settle(salted, "salted")  # both branches below read it
-        winners = groups.where("salt > 0").groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("n"))
-        groups = groups.where("salt = 0").drop("salt").unionByName(winners)
+        salted = ranked.where(hot).groupBy("digest", "norm", "salt").agg(*best)
+        groups = groups.unionByName(salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("n")))
     found = groups.select("digest", "norm", _key(F.col("rank")).alias("keep_id"), F.col("n").alias("group_size"))
     index = settle(found.drop("norm"), "groups")
 
