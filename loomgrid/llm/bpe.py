@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes
+from .common import map_batches, pieces, text_bytes
 
 #: White space of Unicode, as the pattern's \s.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -280,7 +280,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     cols.append(pa.array(own.decode(ids, offs), pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, ["key", "ids", "decoded"][: len(cols)])
 
-    out = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>" + ", decoded string" * decoded)
+    source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = map_batches(source, run, f"key {kind}, ids array<int>" + ", decoded string" * decoded)
     return out.withColumnRenamed("key", key)
 
 
@@ -298,4 +299,5 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.decode(flat, offs - offs[0]), pa.string())], ["key", "text"])
 
     empty = F.array().cast("array<int>")
-    return tokens.select(F.col(key).alias("key"), F.coalesce(F.col(ids).cast("array<int>"), empty).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    source = tokens.select(F.col(key).alias("key"), F.coalesce(F.col(ids).cast("array<int>"), empty).alias("ids"))
+    return map_batches(source, run, f"key {kind}, text string").withColumnRenamed("key", key)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many rows of a few numbers may be broadcast; beyond it the joins shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Rows and bytes of the batches that go to Python workers.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 #: White space of the contracts: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -38,6 +40,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of at most BATCH_ROWS rows and BATCH_BYTES, set for the session: whole texts in the default batches of 10,000 rows hold several times their bytes in the JVM and in the worker."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a settled df for broadcast if it is small enough, else leave the join to shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import text_bytes
+from .common import map_batches, text_bytes
 
 BINS, BITS, WORDS = 256, 4, 5
 TRIES = 24
@@ -90,7 +90,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(fingerprints(kernel_sets(part.column(1)))), pa.string())], ["key", "fingerprint"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
+    return map_batches(source, run, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
 
 
 def batch_parts(batch: pa.RecordBatch, column: int):
@@ -175,5 +175,5 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
             ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    out = neighbours(docs, key, text).mapInArrow(run, "key bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = map_batches(neighbours(docs, key, text), run, "key bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("key", key)

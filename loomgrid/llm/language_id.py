@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, text_bytes
+from .common import held_out, map_batches, pieces, text_bytes
 
 SAMPLE, LANGUAGES, BUCKETS = 3000, 256, 1 << 14
 SMOOTH = 0.5
@@ -149,7 +149,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         who, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(bucket), pa.array(total[who, bucket])], ["lang", "bucket", "n"])
 
-    found = rows.where(drawn).select(lang, text).mapInArrow(count, "lang bigint, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = map_batches(rows.where(drawn).select(lang, text), count, "lang bigint, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(names), BUCKETS))
     counts[found["lang"].to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     return Mixture(names, counts)
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Mixture, key: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(share, pa.float64())], ["key", "lang_pred", "score"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return map_batches(source, run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -205,4 +205,4 @@ def keep_languages(docs: DataFrame, rejected: tuple[str, ...] = ("und",)) -> Dat
                 names, _ = predicted(own, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 yield batch.slice(i, j - i).filter(pa.array([x not in out for x in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

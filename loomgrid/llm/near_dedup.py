@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import pieces, settle, small, text_bytes
+from .common import map_batches, pieces, settle, small, text_bytes
 from .components import components
 
 COORDS = 40
@@ -95,7 +95,7 @@ def _shingled(docs: DataFrame, words: int, coords: int, full: bool) -> DataFrame
                     cols.append(lists([s.view(np.int64) for s in sets], np.int64))
                 yield pa.RecordBatch.from_arrays(cols, ["key", "n", "digest", "sig", "shingles"][: len(cols)])
 
-    return docs.mapInArrow(run, "key bigint, n bigint, digest binary, sig array<int>" + ", shingles array<bigint>" * full)
+    return map_batches(docs, run, "key bigint, n bigint, digest binary, sig array<int>" + ", shingles array<bigint>" * full)
 
 
 def _links_between(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import held_out, pieces, text_bytes
+from .common import held_out, map_batches, pieces, text_bytes
 
 SAMPLE = 20_000
 BINS = 12
@@ -164,7 +164,7 @@ def _statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["key", "x"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"key {kind}, x array<double>")
+    return map_batches(source, run, f"key {kind}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> Model:
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(value, pa.float64())], ["key", "score"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return map_batches(source, run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
-from .common import pieces, text_bytes
+from .common import map_batches, pieces, text_bytes
 
 PART = 1 << 21  # bytes of a batch that are scanned at once
 FEW = 32  # lanes below which plain Python is faster than numpy
@@ -188,7 +188,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(item))], ["key", "spans"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
+    return map_batches(source, run, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
 
 
 def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -219,4 +219,4 @@ def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", r
                     part = pa.RecordBatch.from_arrays(cols, schema=part.schema)
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import settle, shared_dir
+from .common import map_batches, settle, shared_dir
 
 BLOCK_TOKENS = 1 << 20
 RUN = 256  # blocks whose open ends one window adds up
@@ -73,7 +73,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, eod: int, ke
                 raise
             where.delete_file(part_name)
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"key {kind}, file string, doc_index bigint")
+    source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = map_batches(source, run, f"key {kind}, file string, doc_index bigint")
     return settle(rows.withColumnRenamed("key", key), "written")
 
 
