@@ -1,16 +1,18 @@
 """Quality classification by positive-unlabelled learning.
 
 Trusted positives are rows labelled 1, unlabelled rows are a bounded sample of all web text. The
-class prior is estimated from the labelled rows. A logistic model over binned text statistics
+class prior is estimated from all labelled rows. A logistic model over binned text statistics
 minimises the non-negative unbiased risk: prior * risk of positives as 1, plus the larger of 0 and
-the risk of unlabelled rows as 0 less prior * the risk of positives as 0. Where the sample has rows
-of either label, a slope and an intercept fitted to them turn the margins into probabilities.
-
-Bounds: SAMPLE documents in expectation (by a hash of the id, whole texts) are read for training;
-only their statistics, a few numbers each, reach the driver. Scores read only the text. Defined
-cases: null and empty texts are scored by their (zero) statistics; several labels of one id count as
-the least; without a labelled positive all scores are the prior's default 0.5; an empty table gives
-no rows; repeated rows are scored each.
+the risk of unlabelled rows as 0 less prior * the risk of positives as 0. Where there are rows of
+either label, a slope and an intercept fitted to them turn the margins into probabilities; each
+label counts by its share of all labelled rows.
+
+Bounds: SAMPLE documents of all, and SAMPLE of each label, in expectation (by a hash of the id, whole
+texts) are read for training, so labels that cover a small part of a large table all count; only
+their statistics, a few numbers each, reach the driver. Scores read only the text. Defined cases:
+null and empty texts are scored by their (zero) statistics; several labels of one id count as the
+least; labels of ids that no document has are not used; without a labelled positive all scores are
+the prior's default 0.5; an empty table gives no rows; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import held_out, map_batches, pieces, text_bytes
 
-SAMPLE = 20_000
+SAMPLE = 40_000
 BINS = 12
-STEPS, RATE, RIDGE = 300, 0.08, 1e-3
+STEPS, RATE, RIDGE = 600, 0.05, 1e-3
 THRESHOLD = 0.3
 _U64 = np.uint64
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 small letter, 2 capital, 3 digit, 4 white space, 5 sentence mark, 6 other mark, 7 above 127
@@ -132,8 +134,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return model
 
 
-def calibrate(model: Model, x: np.ndarray, label: np.ndarray) -> Model:
-    """Scale the margins so that scores are probabilities of the labels (Newton steps of a two-parameter logistic fit)."""
+def calibrate(model: Model, x: np.ndarray, label: np.ndarray, share: float) -> Model:
+    """Scale the margins so that scores are probabilities of the labels (Newton steps of a two-parameter logistic fit); rows labelled 1 weigh `share` together."""
     if model.weights is None or not 0 < label.mean() < 1:
         return model
     margin = model.bins(x) @ model.weights
@@ -141,11 +143,12 @@ def calibrate(model: Model, x: np.ndarray, label: np.ndarray) -> Model:
     # targets drawn in a little keep the fit finite where the margins separate the labels
     n1, n0 = label.sum(), len(label) - label.sum()
     target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = len(label) * np.where(label == 1, share / n1, (1 - share) / n0)
     theta = np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2)
-        theta = theta + np.clip(np.linalg.solve(hess, a.T @ (target - p)), -2, 2)
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2)
+        theta = theta + np.clip(np.linalg.solve(hess, a.T @ (weight * (target - p))), -2, 2)
     if theta[0] > 0:
         model.weights = (model.weights * theta[0]).astype(np.float32)
         model.weights[0] += theta[1]
@@ -170,16 +173,22 @@ def _statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> Model:
     """Fit on documents and labels of which held-out rows must already be gone."""
     total = docs.count()
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(2)), F.lit(1 << 30)) < F.lit(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
-    marks = labels.groupBy(F.col(key).alias("key")).agg(F.min(quality).alias("quality"))
-    rows = _statistics(docs.where(drawn), key, text).join(marks, "key", "left").select("x", "quality").toPandas()
+    ids = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    marks = labels.where(F.col(quality).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.min(quality) == 1).alias("good"))
+    seen = {r["good"]: r["n"] for r in ids.select("key").join(marks, "key").groupBy("good").agg(F.count("*").alias("n")).collect()}
+    if not seen.get(True):
+        return Model()
+    share = seen[True] / sum(seen.values())
+    below = lambda n: F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
+    place = lambda seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))
+    drawn = F.broadcast(marks.where(place(3) < F.when(F.col("good"), below(seen[True])).otherwise(below(seen.get(False, 0)))))
+    read = ids.join(drawn, "key", "left").where((place(2) < below(total)) | F.col("good").isNotNull())
+    rows = _statistics(read, "key", "text").join(drawn, "key", "left").select("x", "good", (place(2) < below(total)).alias("any")).toPandas()
     if not len(rows):
         return Model()
-    x, mark = np.array(rows["x"].tolist()), rows["quality"].to_numpy(float)
-    known = mark[~np.isnan(mark)]
-    prior = float(np.clip(known.mean(), 0.05, 0.95)) if len(known) else 0.5
-    seen = ~np.isnan(mark)
-    return calibrate(fit(x[mark == 1], x, prior), x[seen], mark[seen]) if seen.any() else Model()
+    x, marked, good = np.array(rows["x"].tolist()), rows["good"].notna().to_numpy(), rows["good"].eq(True).to_numpy()
+    model = fit(x[good], x[rows["any"].to_numpy(bool)], float(np.clip(share, 0.05, 0.95)))
+    return calibrate(model, x[marked], good[marked].astype(float), share)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -192,6 +192,40 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), labels).collect() == []
 
 
+def test_quality_of_few_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (i % 7 + 1)) for i in range(4000)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(100 * i, int(i % 4 > 0)) for i in range(40)] + [(9999, 0)], "doc_id long, quality int")
+    seen, fit, calibrate = [], quality.fit, quality.calibrate
+    monkeypatch.setattr(quality, "SAMPLE", 100)
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: (seen.append((len(p), len(u), prior)), fit(p, u, prior))[1])
+    monkeypatch.setattr(quality, "calibrate", lambda m, x, label, share: (seen.append((len(label), label.sum(), share)), calibrate(m, x, label, share))[1])
+    assert quality.train(docs, labels).weights is not None
+    (positive, unlabelled, prior), calibration = seen
+    assert positive == 30 and prior == 0.75 and 50 < unlabelled < 200 and calibration == (40, 30, 0.75)
+
+
+def test_quality_of_many_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (i % 7 + 1)) for i in range(4000)], "doc_id long, text string").repartition(3)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 200 > 0 as int) quality")
+    seen = []
+    monkeypatch.setattr(quality, "SAMPLE", 100)
+    monkeypatch.setattr(quality, "calibrate", lambda m, x, label, share: (seen.append((len(label) - label.sum(), label.sum(), share)), m)[1])
+    quality.train(docs, labels)
+    (bad, good, share), = seen
+    assert bad == 20 and 50 < good < 200 and share == 0.995
+
+
+def test_calibration_counts_labels_by_their_share():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 1))
+    label = (rng.random(4000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    model = lambda: quality.Model([np.linspace(-2, 2, quality.BINS - 1)], np.concatenate([[0], np.linspace(-2, 2, quality.BINS)]).astype(np.float32))
+    whole = quality.calibrate(model(), x, label, label.mean()).score(x)
+    few = (label == 1) | (np.arange(4000) % 4 == 0)
+    part = quality.calibrate(model(), x[few], label[few], label.mean()).score(x)
+    assert np.abs(whole - part).max() < 0.05
+
+
 # licences
 
 
