@@ -1,7 +1,9 @@
 """Choosing charts: exclusions, samples, coverage, and splits that share no song.
 
-Greedy choices need every earlier one, so they run on the driver over one small row a chart or song
-of a catalog (thousands); `LIMIT` refuses more.
+Greedy choices need every earlier one, so they run on the driver, over what the rules can tell apart:
+the counts and first keys of each combination of kind and categories (`select_covering`), the kinds of
+the charts in the order of their keys (`assign_splits`, a few bytes a chart), and one row of counts a
+song (`split_disjoint`). No number of charts is refused.
 """
 
 from __future__ import annotations
@@ -9,11 +11,14 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 200_000
+#: First keys of a combination that are fetched at once; if a choice needs more, four times as many.
+DEPTH = 16
 
 
 def exclude_lowest(charts: DataFrame, count: int, below: float = 13.0, tie=None) -> DataFrame:
@@ -43,11 +48,10 @@ def kind_targets(counts: dict[str, int], size: int) -> dict[str, int]:
     return {k: round(size * n / total) for k, n in sorted(counts.items())}
 
 
-def _local(df: DataFrame, order: list[str]) -> pd.DataFrame:
-    rows = df.limit(LIMIT + 1).toPandas()
-    if len(rows) > LIMIT:
-        raise ValueError(f"more than {LIMIT} rows; this choice is made on the driver")
-    return rows.sort_values(order, ignore_index=True)
+def _first_keys(charts: DataFrame, by: list[str], key: str, depth: int) -> list:
+    """The `depth` smallest keys of each combination of `by`, in the order of the keys."""
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+    return charts.select(key, *by).withColumn("_n", first).where(F.col("_n") <= depth).drop("_n").orderBy(key, *by).collect()
 
 
 #: How much the shares of kind and of the categories (in their order) count when the rest is filled.
@@ -59,75 +63,109 @@ def select_covering(charts: DataFrame, size: int, categories: list[str], kind: s
 
     First, until all values are covered, the chart that adds most new ones (then of the kind that lacks most); then the
     chart whose kind and values are least represented, by weighted shares of their targets or totals. Ties go to the smaller key."""
-    rows = _local(charts.select(key, kind, *categories), [key])
-    values = list(rows[categories].itertuples(index=False, name=None))
-    kinds = list(rows[kind])
-    target = kind_targets(Counter(kinds), size)
-    totals = [Counter(v[c] for v in values) for c in range(len(categories))]
+    by = [kind, *categories]
+    counts = {tuple(r[c] for c in by): r["_count"] for r in charts.groupBy(*by).agg(F.count("*").alias("_count")).collect()}
+    kinds = Counter()
+    totals = [Counter() for _ in categories]
+    for (k, *value), n in counts.items():
+        kinds[k] += n
+        for c, v in enumerate(value):
+            totals[c][v] += n
+    target = kind_targets(kinds, size)
     weights = [CATEGORY_WEIGHTS[c] if c < len(CATEGORY_WEIGHTS) else 1.0 for c in range(len(categories))]
-    have, seen = Counter(), [Counter() for _ in categories]
-    chosen = []
-    alike: dict[tuple, list[int]] = {}  # charts that no rule tells apart, the smallest key last
-    for i in reversed(range(len(rows))):
-        alike.setdefault((kinds[i], values[i]), []).append(i)
-
-    def take(i: int) -> None:
-        chosen.append(i)
-        own = alike[kinds[i], values[i]]
-        own.pop()
-        if not own:
-            del alike[kinds[i], values[i]]
-        have[kinds[i]] += 1
-        for c, v in enumerate(values[i]):
-            seen[c][v] += 1
-
-    new = lambda i: sum(not seen[c][v] for c, v in enumerate(values[i]))
-    while any(len(+seen[c]) < len(totals[c]) for c in range(len(categories))):
-        take(max((own[-1] for own in alike.values() if new(own[-1])), key=lambda i: (new(i), target[kinds[i]] - have[kinds[i]], -i)))
-    while alike and len(chosen) < size:
-        def represented(i: int) -> float:
-            return KIND_WEIGHT * have[kinds[i]] / max(target[kinds[i]], 1) + sum(w * seen[c][v] / max(totals[c][v], 1) for c, (w, v) in enumerate(zip(weights, values[i], strict=True)))
-
-        take(min((own[-1] for own in alike.values()), key=lambda i: (represented(i), i)))
-    return charts.sparkSession.createDataFrame(rows.loc[sorted(chosen), [key]])
+
+    def choose(keys: dict[tuple, list]) -> list | None:
+        """The chosen keys; None if a combination has more charts than known keys and needs them."""
+        have, seen, used = Counter(), [Counter() for _ in categories], Counter()
+        chosen = []
+        alike = {x: own[0] for x, own in keys.items()}  # charts that no rule tells apart: their (place, key) in front
+
+        def take(x: tuple) -> bool:
+            chosen.append(alike.pop(x)[1])
+            used[x] += 1
+            if used[x] < len(keys[x]):
+                alike[x] = keys[x][used[x]]
+            have[x[0]] += 1
+            for c, v in enumerate(x[1:]):
+                seen[c][v] += 1
+            return x in alike or used[x] == counts[x]
+
+        new = lambda x: sum(not seen[c][v] for c, v in enumerate(x[1:]))
+        while any(len(+seen[c]) < len(totals[c]) for c in range(len(categories))):
+            if not take(max((x for x in alike if new(x)), key=lambda x: (new(x), target[x[0]] - have[x[0]], -alike[x][0]))):
+                return None
+        while alike and len(chosen) < size:
+            def represented(x: tuple) -> float:
+                return KIND_WEIGHT * have[x[0]] / max(target[x[0]], 1) + sum(w * seen[c][v] / max(totals[c][v], 1) for c, (w, v) in enumerate(zip(weights, x[1:], strict=True)))
+
+            if not take(min(alike, key=lambda x: (represented(x), alike[x][0]))) and len(chosen) < size:
+                return None
+        return chosen
+
+    depth, chosen = DEPTH, None
+    while chosen is None:
+        keys: dict[tuple, list] = {}
+        for place, r in enumerate(_first_keys(charts, by, key, depth)):
+            keys.setdefault(tuple(r[c] for c in by), []).append((place, r[key]))
+        chosen, depth = choose(keys), 4 * depth
+    return charts.sparkSession.createDataFrame([(x,) for x in sorted(chosen)], charts.select(key).schema)
 
 
 def assign_splits(charts: DataFrame, sizes: dict[str, int], categories: list[str], kind: str = "kind", key: str = "chart_id") -> DataFrame:
     """key, split: every split gets each value of the categories while there are charts of it; then the (chart, split) whose kind the split lacks most, that brings it a new value, and whose split is the emptiest. Ties go to the smaller key, then the earlier split."""
-    rows = _local(charts.select(key, kind, *categories), [key])
-    values = [tuple(str(v) for v in r) for r in rows[categories].itertuples(index=False, name=None)]
-    kinds = list(rows[kind])
-    target = {s: kind_targets(Counter(kinds), n) for s, n in sizes.items()}
-    of: dict[int, str] = {}
-    count, of_kind, seen = Counter(), {s: Counter() for s in sizes}, {s: [Counter() for _ in categories] for s in sizes}
-
-    def assign(i: int, s: str) -> None:
-        of[i] = s
-        count[s] += 1
-        of_kind[s][kinds[i]] += 1
-        for c, v in enumerate(values[i]):
-            seen[s][c][v] += 1
-
+    sizes_of = {r[0]: r[1] for r in charts.groupBy(kind).agg(F.count("*")).collect()}
+    kinds, order = list(sizes_of), list(sizes)
+    target = {s: kind_targets(Counter(sizes_of), n) for s, n in sizes.items()}
+    count, of_kind = Counter(), {s: Counter() for s in sizes}
+    early: dict[tuple, list[str]] = {}  # splits of the charts of a key and kind that bring a split a value
+
+    # a chart is taken as the first one with a value, and each of its values is wanted once a split
+    rows = _first_keys(charts, [kind, *categories], key, len(categories) * len(sizes))
+    values = [tuple(str(r[c]) for c in categories) for r in rows]
+    taken = set()
     for c in range(len(categories)):
-        for v in sorted({x[c] for x in values}):
-            for s in sizes:
-                free = [i for i in range(len(rows)) if i not in of and values[i][c] == v]
-                if free and count[s] < sizes[s]:
-                    assign(free[0], s)
-    order = list(sizes)
-    alike: dict[tuple, list[int]] = {}  # charts that no rule tells apart, the smallest key last
-    for i in reversed(range(len(rows))):
-        if i not in of:
-            alike.setdefault((kinds[i], values[i]), []).append(i)
-    while alike and any(count[s] < sizes[s] for s in sizes):
-        options = ((target[s].get(kind_, 0) - of_kind[s][kind_], *(not seen[s][c][v] for c, v in enumerate(value)), sizes[s] - count[s], -own[-1], -k, own[-1], s) for (kind_, value), own in alike.items() for k, s in enumerate(order) if count[s] < sizes[s])
-        *_, i, s = max(options)
-        assign(i, s)
-        own = alike[kinds[i], values[i]]
-        own.pop()
-        if not own:
-            del alike[kinds[i], values[i]]
-    return charts.sparkSession.createDataFrame(pd.DataFrame({key: [rows[key][i] for i in sorted(of)], "split": [of[i] for i in sorted(of)]}))
+        of_value: dict[str, list[int]] = {}
+        for i, x in enumerate(values):
+            of_value.setdefault(x[c], []).append(i)
+        for v in sorted(of_value):
+            for s in order:
+                i = next((i for i in of_value[v] if i not in taken), None)
+                if i is not None and count[s] < sizes[s]:
+                    taken.add(i)
+                    early.setdefault((rows[i][key], rows[i][kind]), []).append(s)
+                    count[s] += 1
+                    of_kind[s][rows[i][kind]] += 1
+
+    # from here on every split that is not full has all values of the charts left, so only their kinds tell them apart
+    number = F.coalesce(*(F.when(F.col(kind).eqNullSafe(F.lit(k)), F.lit(n)) for n, k in enumerate(kinds))) if kinds else F.lit(0)
+    table = charts.select(key, number.cast("int").alias("_kind")).orderBy(key, "_kind").toArrow()
+    of_row, keys = table.column("_kind").to_numpy(), table.column(key)
+    split = np.full(len(of_row), -1, np.int8 if len(order) < 128 else np.int32)
+    spots: dict[tuple, list[int]] = {}
+    if early:
+        wanted = pa.array([k for k, _ in early], keys.type)
+        for i in np.flatnonzero(pc.is_in(keys, value_set=wanted).to_numpy()):
+            spots.setdefault((keys[int(i)].as_py(), kinds[of_row[i]]), []).append(int(i))
+    for x, names in early.items():
+        for i, s in zip(spots[x], names, strict=False):
+            split[i] = order.index(s)
+    free = {k: np.flatnonzero((of_row == n) & (split < 0)) for n, k in enumerate(kinds)}
+    used = Counter()
+    open_ = {k: int(own[0]) for k, own in free.items() if len(own)}  # the first chart left of each kind
+    while open_ and any(count[s] < sizes[s] for s in order):
+        *_, k, s = max(((target[s].get(k, 0) - of_kind[s][k], sizes[s] - count[s], -first, -o, n, k, s) for n, (k, first) in enumerate(open_.items()) for o, s in enumerate(order) if count[s] < sizes[s]), key=lambda x: x[:5])
+        split[open_[k]] = order.index(s)
+        count[s] += 1
+        of_kind[s][k] += 1
+        used[k] += 1
+        if used[k] < len(free[k]):
+            open_[k] = int(free[k][used[k]])
+        else:
+            del open_[k]
+    there = np.flatnonzero(split >= 0)
+    names = pa.array(order, pa.string()).take(pa.array(split[there]))
+    out = pa.table({key: keys.take(pa.array(there)), "split": names})
+    return charts.sparkSession.createDataFrame(out, charts.select(key, F.lit("").alias("split")).schema)
 
 
 #: Weights of the features that a split should share out evenly.
@@ -154,19 +192,22 @@ def split_disjoint(charts: DataFrame, sizes: dict[str, int], features: list[str]
 
     Songs in the order of a hash fill the smaller splits to their exact sizes (subset sums), the rest is the largest;
     swaps of songs of equal size then lower the differences. The result is checked, not claimed optimal."""
-    rows = _local(charts.select(key, song, *features), [song, key])
-    rows["_i"] = range(len(rows))
-    songs = [list(g["_i"]) for _, g in rows.groupby(song, sort=True)]
-    if sum(sizes.values()) != len(rows):
+    counted = charts.select(F.col(song).alias("_song"), F.explode(F.array(F.struct(F.lit(-1).alias("f"), F.lit(None).cast("string").alias("v")), *(F.struct(F.lit(i).alias("f"), F.col(f).cast("string").alias("v")) for i, f in enumerate(features)))).alias("x"))
+    each: dict = {}
+    for r in counted.groupBy("_song", "x.f", "x.v").agg(F.count("*").alias("n")).collect():
+        each.setdefault(r["_song"], {}).setdefault(r["f"], Counter())[r["v"]] = r["n"]
+    songs = sorted(each, key=lambda x: (x is None, x))
+    weight = [each[x][-1][None] for x in songs]
+    contents = [{f: each[x][i] for i, f in enumerate(features)} for x in songs]
+    totals = {f: sum((own[f] for own in contents), Counter()) for f in features}
+    if sum(sizes.values()) != sum(weight):
         raise ValueError("the sizes must add up to the number of charts")
-    totals = {f: Counter(rows[f]) for f in features}
-    contents = [{f: Counter(rows.loc[s, f]) for f in features} for s in songs]
     of: dict[int, str] = {}
-    names, n = list(sizes), len(rows)
-    order = sorted(range(len(songs)), key=lambda i: hashlib.blake2b(str(rows.at[songs[i][0], song]).encode(), digest_size=8).digest())
+    names, n = list(sizes), sum(weight)
+    order = sorted(range(len(songs)), key=lambda i: hashlib.blake2b(str(songs[i]).encode(), digest_size=8).digest())
     for split in sorted(names, key=lambda s: (sizes[s], s)):
         left = [i for i in order if i not in of]
-        for i in left if split == max(names, key=lambda s: (sizes[s], s)) else exact_sum(left, [len(songs[i]) for i in left], sizes[split]):
+        for i in left if split == max(names, key=lambda s: (sizes[s], s)) else exact_sum(left, [weight[i] for i in left], sizes[split]):
             of[i] = split
     held = {s: {f: Counter() for f in features} for s in names}
     for i, split in of.items():
@@ -182,7 +223,7 @@ def split_disjoint(charts: DataFrame, sizes: dict[str, int], features: list[str]
         for i in order:
             for j in order:
                 a, b = of[i], of[j]
-                if i < j and a != b and len(songs[i]) == len(songs[j]):
+                if i < j and a != b and weight[i] == weight[j]:
                     before = off(a) + off(b)
                     for f in features:
                         held[a][f].subtract(contents[i][f]), held[a][f].update(contents[j][f])
@@ -195,9 +236,9 @@ def split_disjoint(charts: DataFrame, sizes: dict[str, int], features: list[str]
                             held[b][f].update(contents[j][f]), held[b][f].subtract(contents[i][f])
         if not moved:
             break
-    split = {k: of[i] for i, s in enumerate(songs) for k in s}
-    out = pd.DataFrame({key: rows[key], "split": [split[i] for i in range(n)]})
-    return charts.sparkSession.createDataFrame(out)
+    schema = charts.select(F.col(song).alias("_song"), F.lit("").alias("split")).schema
+    placed = charts.sparkSession.createDataFrame([(x, of[i]) for i, x in enumerate(songs)], schema)
+    return charts.join(placed, F.col(song).eqNullSafe(F.col("_song"))).select(key, "split")
 
 
 def split_summary(rows: DataFrame, split: str, song: str, counts: list[str]) -> DataFrame:

@@ -459,6 +459,19 @@ def test_selection(spark):
     assert selection.sample(df, 7, "chart_id", 1).count() == 7
 
 
+def test_greedy_choices_of_many_charts(spark):
+    n = 250_000
+    df = spark.range(n).selectExpr("id chart_id", "id % 60 song_id", "id % 2 kind", "cast(id % 5 as string) version", "id % 3 genre")
+    got = {r.chart_id for r in selection.select_covering(df, 40, ["version", "genre"]).collect()}
+    assert len(got) == 40 and {x % 5 for x in got} == set(range(5)) and {x % 3 for x in got} == set(range(3)) and sum(x % 2 for x in got) == 20
+    sizes = {"train": n - 100_000, "validation": 50_000, "test": 50_000}
+    out = selection.assign_splits(df, sizes, ["version", "genre"])
+    assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == sizes and out.select("chart_id").distinct().count() == n
+    sizes = {"train": n - 20 * 4166, "test": 20 * 4166}
+    out = selection.split_disjoint(df, sizes, ["kind", "version"]).join(df, "chart_id")
+    assert {r.split: (r["size"], r.shared_songs) for r in selection.check_split(out, sizes).collect()} == {k: (v, 0) for k, v in sizes.items()}
+
+
 def test_scores_of_a_library(spark):
     good, _ = compiled(spark, *(f"(120){{8}}" + ",".join(random.Random(i).choice(["1", "2h[4:1]", "3-7[8:1]", "", "4/5"]) for _ in range(160)) + ",E" for i in range(6)))
     m = density.with_densities(good)
