@@ -3,8 +3,9 @@
 Training counts byte trigrams inside words for each language, on a bounded sample of the labelled
 rows. For a document, the likelihood of each word under each language comes from its trigrams;
 expectation-maximisation over the words gives the document's language proportions. Sets of the one,
-two, ... most likely languages are compared by penalised likelihood (BIC), and the largest share of
-the chosen set is the prediction.
+two, ... most likely languages are compared by penalised likelihood (BIC): all of up to FIRST_SETS
+languages, and larger ones as long as the largest so far is the best. The chosen set is given with its
+proportions; the largest is the prediction, its share the score.
 
 Bounds: SAMPLE labelled rows for each language (their expected number; chosen by a hash of the id,
 whole texts), BUCKETS trigram counters for each of at most LANGUAGES languages (the most frequent).
@@ -25,7 +26,7 @@ from .common import held_out, map_batches, pieces, text_bytes
 SAMPLE, LANGUAGES, BUCKETS = 3000, 256, 1 << 14
 SMOOTH = 0.5
 PART = 1 << 20  # bytes of a text read at once
-ROUNDS, SET_ROUNDS, LARGEST_SET, PENALTY = 6, 4, 3, 2.0
+ROUNDS, SET_ROUNDS, FIRST_SETS, PENALTY = 6, 4, 3, 2.0
 _U32 = np.uint32
 #: Letters keep their (small) byte, all others become a space; bytes above 127 count as letters.
 _FOLD = np.full(256, 32, np.uint8)
@@ -85,20 +86,20 @@ class Mixture:
         return np.concatenate(found), first
 
     def infer(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the index of its language (-1: no letter) and its share."""
+        """For each row the index of its language (-1: no letter) and the proportions of the chosen set, 0 outside it."""
         n, k = len(offs) - 1, len(self.names)
         words, first = self.words(buf, offs)
         count = np.diff(first)
-        best, share = np.full(n, -1), np.zeros(n)
+        best, shares = np.full(n, -1), np.zeros((n, k), np.float32)
         rows = np.flatnonzero(count)
         if not len(rows) or not k:
-            return best, share
+            return best, shares
         top = words.max(1, keepdims=True)
         like = np.exp(np.maximum(words - top, -60))
         heads, size = first[:-1][rows], count[rows]
         of = np.repeat(np.arange(len(rows)), size)
 
-        def climb(pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        def climb(pi: np.ndarray, rounds: int, like=like, heads=heads, size=size, of=of) -> tuple[np.ndarray, np.ndarray]:
             """Proportions after some rounds, and the log-likelihood of each row."""
             for _ in range(rounds):
                 part = like * pi[of]
@@ -111,18 +112,24 @@ class Mixture:
         order = np.argsort(-pi, axis=1, kind="stable")
         score = np.full(len(rows), -np.inf)
         chosen = np.zeros_like(pi)
-        for m in range(1, min(k, LARGEST_SET) + 1):
-            within = np.zeros_like(pi)
-            np.put_along_axis(within, order[:, :m], 1.0, 1)
-            start = np.maximum(pi, 1e-6) * within
-            part, fit = climb(start / start.sum(1, keepdims=True), SET_ROUNDS if m > 1 else 0)
-            fit = 2 * fit - PENALTY * (m - 1) * np.log(size + 1)
-            better = fit > score
-            score[better], chosen[better] = fit[better], part[better]
-        pick = chosen.argmax(1)
-        best[rows] = pick
-        share[rows] = np.clip(pi[np.arange(len(rows)), pick], 0, 1)
-        return best, share
+        left, own = np.arange(len(rows)), {}  # rows for which a larger set is tried
+        for m in range(1, k + 1):
+            within = np.zeros((len(left), k), np.float32)
+            np.put_along_axis(within, order[left, :m], 1.0, 1)
+            start = np.maximum(pi[left], 1e-6) * within
+            part, fit = climb(start / start.sum(1, keepdims=True), SET_ROUNDS if m > 1 else 0, **own)
+            fit = 2 * fit - PENALTY * (m - 1) * np.log(size[left] + 1)
+            better = fit > score[left]
+            score[left[better]], chosen[left[better]] = fit[better], part[better]
+            if m >= FIRST_SETS:
+                left = left[better]
+                if not len(left):
+                    break
+                among = np.zeros(len(rows), bool)
+                among[left] = True
+                own = {"like": like[among[of]], "size": size[left], "heads": np.concatenate([[0], np.cumsum(size[left])[:-1]]), "of": np.repeat(np.arange(len(left)), size[left])}
+        best[rows], shares[rows] = chosen.argmax(1), np.clip(chosen, 0, 1)
+        return best, shares
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Mixture:
@@ -155,20 +162,27 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     return Mixture(names, counts)
 
 
-def predicted(model: Mixture, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The predicted language of each row (`und` without a letter) and its share."""
-    best, share = model.infer(buf, offs)
+def lettered(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each row has a letter."""
     plain = np.zeros(256, bool)
     plain[65:91] = plain[97:123] = True
-    latin = np.concatenate([[0], np.cumsum(plain[buf])])[offs]
-    for r in np.flatnonzero((np.diff(latin) == 0) & (best >= 0)):  # only bytes above 127: are they letters?
-        if not any(c.isalpha() for c in buf[offs[r] : offs[r + 1]].tobytes().decode("utf-8", "replace")):
-            best[r], share[r] = -1, 0.0
-    return [model.names[x] if x >= 0 else "und" for x in best], share
+    out = np.diff(np.concatenate([[0], np.cumsum(plain[buf])])[offs]) > 0
+    high = np.diff(np.concatenate([[0], np.cumsum(buf > 127)])[offs]) > 0
+    for r in np.flatnonzero(~out & high):  # only bytes above 127: are they letters?
+        out[r] = any(c.isalpha() for c in buf[offs[r] : offs[r + 1]].tobytes().decode("utf-8", "replace"))
+    return out
+
+
+def predicted(model: Mixture, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The predicted language of each row (`und` without a letter) and the proportions of its set."""
+    best, shares = model.infer(buf, offs)
+    none = ~lettered(buf, offs)
+    best[none], shares[none] = -1, 0.0
+    return [model.names[x] if x >= 0 else "und" for x in best], shares
 
 
 def predict(docs: DataFrame, model: Mixture, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score. No shuffle; the model has a fixed bound and travels with the tasks."""
+    """key, lang_pred, score, and the chosen set: langs, by falling share, and their proportions. No shuffle; the model has a fixed bound and travels with the tasks."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -177,11 +191,17 @@ def predict(docs: DataFrame, model: Mixture, key: str = "doc_id", text: str = "t
         for batch in batches:
             buf, offs = text_bytes(batch.column(1))
             for i, j in pieces(offs, 1 << 20):
-                names, share = predicted(own, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(share, pa.float64())], ["key", "lang_pred", "score"])
+                names, shares = predicted(own, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                order = np.argsort(-shares, axis=1, kind="stable")
+                some = np.take_along_axis(shares, order, 1) > 0
+                edges = pa.array(np.concatenate([[0], np.cumsum(some.sum(1))]).astype(np.int32))
+                langs = pa.ListArray.from_arrays(edges, pa.array([own.names[x] for x in order[some]], pa.string()))
+                part = pa.ListArray.from_arrays(edges, pa.array(np.take_along_axis(shares, order, 1)[some].astype(float)))
+                score = pa.array(shares.max(1, initial=0).astype(float))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.string()), score, langs, part], ["key", "lang_pred", "score", "langs", "proportions"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_batches(source, run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return map_batches(source, run, f"key {kind}, lang_pred string, score double, langs array<string>, proportions array<double>").withColumnRenamed("key", key)
 
 
 def identify(docs: DataFrame) -> DataFrame:

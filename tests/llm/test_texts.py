@@ -125,6 +125,23 @@ def test_long_texts_are_read_in_parts(monkeypatch):
     assert np.abs(stats - quality.statistics(buf, offs)).max() < 1e-12
 
 
+def test_language_sets_grow_to_all_languages(spark):
+    rng = random.Random(8)
+    syllables = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ein"], "cc": ["pr", "olf", "ew"], "dd": ["zy", "vx", "qu"], "ee": ["nn", "hh", "gg"]}
+    make = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+    names = list(syllables)
+    texts = [make(names[i % 5], 30) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, names[i % 5]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    mixed = [" ".join(make(x, 20 * (m - at)) for at, x in enumerate(names[:m])) for m in range(1, 6)]
+    asked = spark.createDataFrame(list(enumerate([*mixed, None, "12"])), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.predict(asked, language_id.train(docs)).collect()}
+    for m in range(1, 6):
+        r = got[m - 1]
+        assert r.langs == names[:m] and r.lang_pred == "aa" and r.score == r.proportions[0]
+        assert np.abs(np.array(r.proportions) - np.arange(m, 0, -1) * 2 / (m * (m + 1))).max() < 0.02
+    assert all(got[i].langs == [] and got[i].lang_pred == "und" and got[i].score == 0 for i in (5, 6))
+
+
 # fingerprints
 
 
