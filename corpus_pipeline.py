@@ -14,7 +14,7 @@ from loomgrid.llm.common import settle
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: texts without a letter go."""
+    """Documents in a language: texts without a letter go, and those far from every language of the table."""
     return language_id.keep_languages(docs)
 
 

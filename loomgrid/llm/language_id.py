@@ -27,6 +27,9 @@ SAMPLE, LANGUAGES, BUCKETS = 3000, 256, 1 << 14
 SMOOTH = 0.5
 PART = 1 << 20  # bytes of a text read at once
 ROUNDS, SET_ROUNDS, FIRST_SETS, PENALTY = 6, 4, 3, 2.0
+#: The evidence is the log-likelihood ratio of the chosen mixture and a background of equal buckets for each trigram, drawn
+#: to 0 by FEW more trigrams. Texts of sf0.1 are above 0, letter noise is below -3; a text below LEAST is in no learnt language.
+FEW, LEAST = 16, -2.0
 _U32 = np.uint32
 #: Letters keep their (small) byte, all others become a space; bytes above 127 count as letters.
 _FOLD = np.full(256, 32, np.uint8)
@@ -85,15 +88,15 @@ class Mixture:
             first[j] = n
         return np.concatenate(found), first
 
-    def infer(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the index of its language (-1: no letter) and the proportions of the chosen set, 0 outside it."""
+    def infer(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row the index of its language (-1: no letter), the proportions of the chosen set, 0 outside it, and its evidence."""
         n, k = len(offs) - 1, len(self.names)
         words, first = self.words(buf, offs)
         count = np.diff(first)
-        best, shares = np.full(n, -1), np.zeros((n, k), np.float32)
+        best, shares, evidence = np.full(n, -1), np.zeros((n, k), np.float32), np.zeros(n)
         rows = np.flatnonzero(count)
         if not len(rows) or not k:
-            return best, shares
+            return best, shares, evidence
         top = words.max(1, keepdims=True)
         like = np.exp(np.maximum(words - top, -60))
         heads, size = first[:-1][rows], count[rows]
@@ -111,15 +114,17 @@ class Mixture:
         pi, _ = climb(np.full((len(rows), k), 1 / k, np.float32), ROUNDS)
         order = np.argsort(-pi, axis=1, kind="stable")
         score = np.full(len(rows), -np.inf)
-        chosen = np.zeros_like(pi)
+        chosen, under = np.zeros_like(pi), np.zeros(len(rows))
         left, own = np.arange(len(rows)), {}  # rows for which a larger set is tried
         for m in range(1, k + 1):
             within = np.zeros((len(left), k), np.float32)
             np.put_along_axis(within, order[left, :m], 1.0, 1)
             start = np.maximum(pi[left], 1e-6) * within
             part, fit = climb(start / start.sum(1, keepdims=True), SET_ROUNDS if m > 1 else 0, **own)
+            plain = fit
             fit = 2 * fit - PENALTY * (m - 1) * np.log(size[left] + 1)
             better = fit > score[left]
+            under[left[better]] = plain[better]
             score[left[better]], chosen[left[better]] = fit[better], part[better]
             if m >= FIRST_SETS:
                 left = left[better]
@@ -129,7 +134,9 @@ class Mixture:
                 among[left] = True
                 own = {"like": like[among[of]], "size": size[left], "heads": np.concatenate([[0], np.cumsum(size[left])[:-1]]), "of": np.repeat(np.arange(len(left)), size[left])}
         best[rows], shares[rows] = chosen.argmax(1), np.clip(chosen, 0, 1)
-        return best, shares
+        grams = np.diff(np.concatenate([[0], np.cumsum(_FOLD[buf] != 32)])[offs])[rows]
+        evidence[rows] = (under + np.add.reduceat(top[:, 0].astype(float), heads) + grams * np.log(BUCKETS)) / (grams + FEW)
+        return best, shares, evidence
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Mixture:
@@ -175,7 +182,7 @@ def lettered(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def predicted(model: Mixture, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The predicted language of each row (`und` without a letter) and the proportions of its set."""
-    best, shares = model.infer(buf, offs)
+    best, shares, _ = model.infer(buf, offs)
     none = ~lettered(buf, offs)
     best[none], shares[none] = -1, 0.0
     return [model.names[x] if x >= 0 else "und" for x in best], shares
@@ -210,19 +217,26 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_languages(docs: DataFrame, rejected: tuple[str, ...] = ("und",)) -> DataFrame:
-    """The documents whose predicted language is not rejected, with their columns; a row passes on its own text."""
+def keep_languages(docs: DataFrame, rejected: tuple[str, ...] = ("und",), least: float = LEAST) -> DataFrame:
+    """The documents with a letter whose predicted language is not rejected and has enough evidence, with their columns; a row passes on its own text.
+
+    Where no language could be learnt, all texts with a letter stay."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
     shared = docs.sparkSession.sparkContext.broadcast((model, frozenset(rejected)))
     at = docs.columns.index("text")
 
     def run(batches):
         own, out = shared.value
+        gone = np.array([x in out for x in own.names] + [False], bool)  # the last: none predicted
         for batch in batches:
             texts = batch.column(at)
             buf, offs = text_bytes(texts.fill_null("") if texts.null_count else texts)
             for i, j in pieces(offs, 1 << 20):
-                names, _ = predicted(own, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield batch.slice(i, j - i).filter(pa.array([x not in out for x in names], pa.bool_()))
+                part, edges = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                best, _, evidence = own.infer(part, edges)
+                stay = (evidence >= least) & ~gone[best]
+                if "und" in out:
+                    stay &= lettered(part, edges)
+                yield batch.slice(i, j - i).filter(pa.array(stay, pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

@@ -142,6 +142,21 @@ def test_language_sets_grow_to_all_languages(spark):
     assert all(got[i].langs == [] and got[i].lang_pred == "und" and got[i].score == 0 for i in (5, 6))
 
 
+def test_keep_languages_by_evidence(spark):
+    rng = random.Random(9)
+    syllables = {"aa": ["ka", "to", "mi", "ra"], "bb": ["sch", "ung", "ein", "ich"]}
+    make = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+    clean = [(i, make(lang := "ab"[i % 2] * 2, rng.choice([3, 30, 400])), lang) for i in range(600)]
+    noise = ["".join(rng.choice("bcdfghjlpqvwxyz") for _ in range(900)), " ".join("".join(rng.choice("bdfgjlpqvwxyz") for _ in range(7)) for _ in range(90))]
+    docs = spark.createDataFrame([*clean, *((1000 + i, t, None) for i, t in enumerate([*noise, "12 34", "", None]))], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_languages(docs).collect()} == {r[0] for r in clean}
+
+
+def test_keep_languages_without_a_language(spark):
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(EDGE)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_languages(docs).collect()} == {i for i, t in enumerate(EDGE) if any(c.isalpha() for c in t or "")}
+
+
 # fingerprints
 
 
