@@ -99,13 +99,13 @@ def _shingled(docs: DataFrame, words: int, coords: int, full: bool) -> DataFrame
 
 
 def _links_between(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of the lists in `mixed` (head, node, n, component): of each node at least one to every component that it is linked with.
+    """Links (a, b) between different components of the lists in `mixed` (head, node, component): of each node at least one to every component that it is linked with. Every set of a node in `sets` is compared by its own size.
 
     Nodes of lists that overlap form a cluster. All nodes outside the largest component of their
     cluster are compared with all of other components whose size allows it, block against block, so
     that a task holds two blocks of bounded size and no pair is a row unless it is a link."""
     step = math.log(100 / percent) * 1.000001  # sets above the similarity are at most one class of sizes apart
-    nodes = mixed.select("node", "n", "component").distinct()
+    nodes = mixed.select("node", "component").distinct().join(sets.select("node", "n", "digest"), "node")
     cluster = components(mixed.select(F.col("head").alias("a"), F.col("node").alias("b")))
     nodes = settle(nodes.join(cluster.withColumnRenamed("component", "cluster"), "node").withColumn("size", F.floor(F.log("n") / F.lit(step))), "clusters")
     main = nodes.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("m")).select("cluster", F.col("m.component").alias("main"))
@@ -113,7 +113,7 @@ def _links_between(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     def dealt(df: DataFrame, own: str, other: str) -> tuple[DataFrame, DataFrame]:
         blocks = df.groupBy("cluster", "size").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-        rows = df.join(blocks, ["cluster", "size"]).select("cluster", "node", "component", F.col("size").alias(own + "size"), F.pmod(F.xxhash64("node"), "blocks").alias(own), F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1)))).alias(other + "size"))
+        rows = df.join(blocks, ["cluster", "size"]).select("cluster", "node", "digest", "component", F.col("size").alias(own + "size"), F.pmod(F.xxhash64("node"), "blocks").alias(own), F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1)))).alias(other + "size"))
         return rows, blocks
 
     asked, asked_blocks = dealt(nodes.where("component <> main"), "q", "a")
@@ -124,7 +124,7 @@ def _links_between(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         """Each row once for every block of the other side, with its set."""
         to = blocks.select("cluster", F.col("size").alias(other + "size"), "blocks")
         rows = rows.join(to, ["cluster", other + "size"]).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        return rows.join(sets.select("node", "shingles"), "node").select(*key, "node", "component", "shingles")
+        return rows.join(sets.select("node", "digest", "shingles"), ["node", "digest"]).select(*key, "node", "component", "shingles")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.rename_columns([c.removeprefix("other_") for c in right.column_names])
@@ -188,7 +188,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         sets = settle(sets.dropDuplicates(["node", "digest"]), "sets")
     alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
     # of the rows that repeat an id the largest possible bound counts
-    size = sets.groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("least"), F.count("*").alias("texts")).join(alone, "node", "left")
+    size = sets.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("texts")).join(alone, "node", "left")
     size = size.select("node", "n", F.when(F.col("texts") > 1, 0).otherwise(F.coalesce("u", F.lit(0))).alias("u"), (F.col("texts") > 1).alias("free"))
     live = settle(post.join(size.where(f"free or 100 * (n - u) >= {percent} * n"), "node"), "live")
 

@@ -56,6 +56,14 @@ def test_components_equal_brute_force(spark, words, percent, seed):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows, words, percent)
 
 
+def test_blocks_compare_every_text_of_a_repeated_id(spark):
+    sets = [(1, list(range(10))), (1, list(range(100, 300))), (2, list(range(9))), (3, list(range(100, 290))), (4, list(range(50, 60)))]
+    sets = spark.createDataFrame([(k, len(x), str(x).encode(), x) for k, x in sets], "node long, n long, digest binary, shingles array<long>")
+    mixed = spark.createDataFrame([(1, k, n, k) for k, n in ((1, 200), (2, 9), (3, 190), (4, 10))], "head long, node long, n long, component long")
+    got = near_dedup._links_between(mixed, sets, 80).collect()
+    assert {frozenset((r.a, r.b)) for r in got} == {frozenset((1, 2)), frozenset((1, 3))}
+
+
 def test_blocks_smaller_than_a_group(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
     rows = corpus(4, 180)
