@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, small
@@ -87,13 +87,21 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with their columns; of rows that repeat the id and the text that stays, one. Rows without an id stay."""
+    """The documents that stay, with their columns; of rows that repeat the id (or have none) and the text that stays, the one with the most code points."""
     groups = settle(exact_groups(docs, key, text).select(key, "kept", "digest"), "groups")
     ids = groups.where(F.col(key).isNotNull())
-    if ids.count() == ids.select(key).distinct().count():
-        return docs.join(small(settle(groups.where("not kept").select(key), "gone")), key, "left_anti")
-    marked = docs.withColumn("_digest", sha256(normalised(F.col(text))))
-    stay = groups.where("kept").select(F.col(key).alias("_key"), F.col("digest").alias("_digest")).distinct()
-    once = marked.where(F.col(key).isNotNull()).dropDuplicates([key, "_digest"])
-    once = once.join(stay, (once[key] == stay["_key"]) & (once["_digest"] == stay["_digest"]), "left_semi")
-    return once.unionByName(marked.where(F.col(key).isNull())).drop("_digest")
+    some = ids.count()
+    unique, nameless = some == ids.select(key).distinct().count(), some < groups.count()
+
+    def once(rows: DataFrame) -> DataFrame:
+        """One row of each id and text that stay."""
+        marked = rows.withColumns({"_digest": sha256(normalised(F.col(text))), "_chars": F.coalesce(F.char_length(F.col(text)), F.lit(0))})
+        stay = groups.where("kept").select(F.col(key).alias("_key"), F.col("digest").alias("_stays")).distinct()
+        marked = marked.join(stay, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_stays")), "left_semi")
+        best = F.row_number().over(Window.partitionBy(key, "_digest").orderBy(F.desc("_chars"), text))
+        return marked.withColumn("_n", best).where(F.col("_n") == 1).select(*rows.columns)
+
+    if not unique:
+        return once(docs)
+    left = docs.join(small(settle(groups.where("not kept").select(key), "gone")), key, "left_anti").select(*docs.columns)
+    return left.where(F.col(key).isNotNull()).unionByName(once(docs.where(F.col(key).isNull()))) if nameless else left

@@ -47,6 +47,15 @@ def test_empty_and_repeated(spark):
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(1, "a"), (1, "b")]
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_deduplicate_rows_without_an_id(spark, repeated):
+    rows = [(None, "a b", "s"), (None, "ab", "s"), (None, "a  b", "s"), (5, "ab", "s"), (None, "c", "s"), (6, "c", "s"), (7, "c  ", "s"), (None, None, "s"), (None, " ", "s"), (8, "d", "s")]
+    rows += [(8, "d ", "s"), (8, "d  ", "s"), (8, "e", "s")] * repeated
+    kept = exact_dedup.deduplicate(frame(spark, rows)).collect()
+    want = [(None, " "), (None, "a  b"), (7, "c  "), *([(8, "d  "), (8, "e")] if repeated else [(8, "d")])]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_deduplicate_keeps_the_winners(spark):
     got = {r.doc_id for r in exact_dedup.deduplicate(frame(spark, [r for r in ROWS if r[0] is not None])).collect()}
     assert got == {k for k, best, *_ in expected([r for r in ROWS if r[0] is not None]) if k == best}
