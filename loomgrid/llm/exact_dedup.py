@@ -9,12 +9,13 @@ different texts are never merged:
 2. by salted digest group: rows of heavy digests are dealt over SALTS groups, all others have one;
 3. globally: the winners of the salts of heavy digests are combined.
 
-Only step 2 moves whole texts. Rows then find their group by the digest alone; if the digests of
-two different texts ever collide, by digest and full text.
+Only step 2 moves whole texts. Rows then find their group by the digest alone, rows of hot digests dealt
+over salts; if the digests of two different texts ever collide, by digest and full text.
 
 Defined cases: a null text counts as empty; of equal texts the row with the most code points of
 the original text stays, then the smallest id (a null id comes last); repeated rows are members of
-their group like all others; an empty table gives no rows; other columns are not used.
+their group like all others; texts are compared whole, however long; an empty table gives no rows; other
+columns are not used, whatever their names, and `deduplicate` keeps them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small
+from .common import rows_of, settle, skewed_join, small
 
 SALTS = 64
 #: Items that the sketch tracks and returns: both bound what reaches the driver. A digest of more than a few thousandths of the rows is always among them.
@@ -74,16 +75,16 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
     if heavy:
         salted = ranked.where(hot).groupBy("digest", "norm", "salt").agg(*best)
         groups = groups.unionByName(salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("n")))
-    found = groups.select("digest", "norm", _key(F.col("rank")).alias("keep_id"), F.col("n").alias("group_size"))
+    found = groups.select("digest", "norm", _key(F.col("rank")).alias("keep_id"), "n")
     index = settle(found.drop("norm"), "groups")
 
     clash = index.groupBy("digest").count().where("count > 1")
     if clash.isEmpty():
-        rows = slim.join(index, "digest")
+        rows = skewed_join(slim, index, ["digest"], index, rows_of(index))
     else:
         rows = base.join(found, ["digest", "norm"])
     kept = F.col("key").eqNullSafe(F.col("keep_id"))
-    return rows.select(F.col("key").alias(key), "keep_id", "group_size", kept.alias("kept"), "digest")
+    return rows.select(F.col("key").alias(key), "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), "digest")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,15 +92,16 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     groups = settle(exact_groups(docs, key, text).select(key, "kept", "digest"), "groups")
     ids = groups.where(F.col(key).isNotNull())
     some = ids.count()
-    unique, nameless = some == ids.select(key).distinct().count(), some < groups.count()
+    unique, nameless = some == ids.select(key).distinct().count(), some < rows_of(groups)
 
     def once(rows: DataFrame) -> DataFrame:
         """One row of each id and text that stay."""
-        marked = rows.withColumns({"_digest": sha256(normalised(F.col(text))), "_chars": F.coalesce(F.char_length(F.col(text)), F.lit(0))})
-        stay = groups.where("kept").select(F.col(key).alias("_key"), F.col("digest").alias("_stays")).distinct()
-        marked = marked.join(stay, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_stays")), "left_semi")
-        best = F.row_number().over(Window.partitionBy(key, "_digest").orderBy(F.desc("_chars"), text))
-        return marked.withColumn("_n", best).where(F.col("_n") == 1).select(*rows.columns)
+        whole = rows.select(F.col(key).alias("key"), F.struct(*rows.columns).alias("row"), F.col(text).alias("text"))
+        marked = whole.withColumns({"digest": sha256(normalised(F.col("text"))), "chars": F.coalesce(F.char_length("text"), F.lit(0))})
+        stay = groups.where("kept").select(F.col(key).alias("id"), F.col("digest").alias("stays")).distinct()
+        marked = marked.join(stay, F.col("key").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("stays")), "left_semi")
+        best = F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.desc("chars"), "text"))
+        return marked.withColumn("nth", best).where("nth = 1").select("row.*")
 
     if not unique:
         return once(docs)

@@ -1,20 +1,26 @@
-"""Vectorised text kernels: word hashes and shingle hashes over whole batches of UTF-8 bytes."""
+"""Text kernels: word hashes and shingle hashes over batches of UTF-8 bytes.
+
+A word is known by 64 bits of a keyed BLAKE2b hash of its bytes, so no two words can be built to share
+a hash by arithmetic; two given words do with a chance of 2**-64. A bounded cache keeps the hashes of
+words seen before. Shingles are numbers made of their words' hashes by numpy.
+"""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-BLOCK = 1 << 20  # bytes hashed at once; longer texts are cut at white space
+PART = 1 << 20  # bytes split into words at once; longer texts are cut at white space
+CACHED_WORDS, CACHED_BYTES = 1 << 18, 64
 U64 = np.uint64
+_KEY = b"word hashes of near-duplicate search"
 _rng = np.random.default_rng(20240607)
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
+_PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
+#: A-Z to a-z; bytes.split() cuts at the white space of the contracts, space and 9 to 13.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
-#: One random code for each byte; A-Z have the codes of a-z.
-_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_CODE[65:91] = _CODE[97:123]
-_PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,77 +30,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        inverse = U64(pow(int(_BASE), -1, 2**64))
-        for key, b in (("up", _BASE), ("down", inverse)):
-            a = np.full(max(n, BLOCK + 1), b, U64)
-            a[0] = 1
-            _powers[key] = np.multiply.accumulate(a)
-    return _powers["up"], _powers["down"]
-
-
-def _block(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a block, and the number of words before each row."""
-    if not len(b):
-        return np.zeros(0, U64), np.zeros(len(offs), np.int64)
-    ws = _WS[b]
-    before, after = np.empty_like(ws), np.empty_like(ws)
-    before[1:], after[:-1] = ws[:-1], ws[1:]
-    before[offs[:-1][offs[:-1] < len(b)]] = True
-    after[offs[1:][offs[1:] > 0] - 1] = True
-    start, end = np.flatnonzero(~ws & before), np.flatnonzero(~ws & after) + 1
-    up, down = _power(len(b))
-    total = np.zeros(len(b) + 1, U64)
-    np.cumsum(_CODE[b] * up[: len(b)], out=total[1:])
-    words = (total[end] - total[start]) * down[start]
-    return mix(words + (end - start).astype(U64)), np.searchsorted(start, offs)
-
-
-def span_hashes(b: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes between consecutive edges (0 first, len(b) last), A-Z as a-z; white space counts as nothing. Bytes are taken in blocks."""
-    up, down = _power(BLOCK + 1)
-    at, back = np.zeros(len(edges), U64), np.ones(len(edges), U64)
-    carry, scale, inverse = np.zeros(1, U64), np.ones(1, U64), np.ones(1, U64)
-    for lo in range(0, len(b), BLOCK):
-        part = b[lo : lo + BLOCK]
-        local = np.zeros(len(part) + 1, U64)
-        np.cumsum(np.where(_WS[part], U64(0), _CODE[part]) * up[: len(part)], out=local[1:])
-        i, j = np.searchsorted(edges, (lo, lo + len(part)))
-        at[i:j] = carry + scale * local[edges[i:j] - lo]
-        back[i:j] = inverse * down[edges[i:j] - lo]
-        carry = carry + scale * local[-1:]
-        scale, inverse = scale * up[len(part) : len(part) + 1], inverse * down[len(part) : len(part) + 1]
-    at[np.searchsorted(edges, len(b)) :] = carry
-    return mix((at[1:] - at[:-1]) * back[:-1] + np.diff(edges).astype(U64))
+class _Words(dict):
+    """Word -> hash; unknown words are hashed when they are asked for, overlong ones are not kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+        if len(word) <= CACHED_BYTES:
+            self[word] = value
+        return value
+
+
+_known = _Words()
+
+
+def _hashed(part: bytes) -> np.ndarray:
+    """Hashes of the words of some bytes, A-Z as a-z."""
+    if len(_known) > CACHED_WORDS:
+        _known.clear()
+    words = part.translate(FOLD).split()
+    return np.fromiter(map(_known.__getitem__, words), U64, len(words))
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without white space, A-Z as a-z) of the rows, and the words before each row."""
-    found, first, i, n, base = [], [np.zeros(1, np.int64)], 0, len(offs) - 1, 0
-    while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK, "right")) - 1))
-        lo, hi = int(offs[i]), int(offs[j])
-        if j > i + 1 or hi - lo <= BLOCK:
-            h, f = _block(buf[lo:hi], offs[i : j + 1] - lo)
-            found.append(h)
-            first.append(f[1:] + base)
-            base += len(h)
-        else:
-            at = lo
-            while at < hi:
-                to = min(hi, at + BLOCK)
-                while to < hi and not _WS[buf[to]]:
-                    rest = np.flatnonzero(_WS[buf[to : min(hi, to + BLOCK)]])
-                    to = to + int(rest[0]) if len(rest) else min(hi, to + BLOCK)
-                h, _ = _block(buf[at:to], np.array([0, to - at]))
-                found.append(h)
-                base += len(h)
-                at = to
-            first.append(np.array([base]))
-        i = j
-    return np.concatenate(found) if found else np.zeros(0, U64), np.concatenate(first)
+    found, count = [], np.zeros(len(offs), np.int64)
+    for d, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        while lo < hi:
+            to = min(hi, lo + PART)
+            while to < hi and not _WS[buf[to]]:
+                gap = np.flatnonzero(_WS[buf[to : min(hi, to + PART)]])
+                to = to + int(gap[0]) if len(gap) else min(hi, to + PART)
+            found.append(_hashed(buf[lo:to].tobytes()))
+            count[d + 1] += len(found[-1])
+            lo = to
+    return np.concatenate(found) if found else np.zeros(0, U64), np.cumsum(count)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
