@@ -1,7 +1,7 @@
 """Regular expressions over bytes as one deterministic automaton.
 
 A rule's expression is parsed into a nondeterministic automaton; the automata of all rules are
-combined by subset construction over byte classes, minimised by partition refinement and kept as
+combined by subset construction (sets of states are integers) over byte classes, minimised by partition refinement and kept as
 a transition array. Known: literals, escapes (also \\xNN), classes, groups, | ? * + {m} {m,} {m,n}.
 """
 
@@ -160,57 +160,76 @@ class Nfa:
             self.empty[e].append(out)
         return out
 
-    def closure(self, states) -> frozenset[int]:
-        seen, todo = set(states), list(states)
+    def closure(self, state: int) -> int:
+        """The states reachable without a byte, as bits."""
+        seen, todo = 1 << state, [state]
         while todo:
             for t in self.empty[todo.pop()]:
-                if t not in seen:
-                    seen.add(t)
+                if not seen >> t & 1:
+                    seen |= 1 << t
                     todo.append(t)
-        return frozenset(seen)
+        return seen
+
+
+def reversed_tree(tree):
+    """The tree of the reversed expression."""
+    kind = tree[0]
+    if kind == "set":
+        return tree
+    if kind in ("cat", "alt"):
+        return kind, [reversed_tree(t) for t in (tree[1][::-1] if kind == "cat" else tree[1])]
+    return kind, reversed_tree(tree[1]), *tree[2:]
+
+
+def _ones(mask: int):
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
 
 
 class Automaton:
     """A minimal deterministic automaton: `classes` maps a byte to its class, `table` [state, class] is
-    the next state, `accepts` has a bit for each rule that ends in a state. The start is state `start`."""
+    the next state, `accepts` has a bit for each rule that ends in a state, `alive` one for each rule that
+    may still end. The start is state `start`."""
 
-    def __init__(self, rules: list[tuple[str, bool]], search: bool):
-        """rules: (expression, whether letters match in either case). search: a match may start anywhere,
-        and the first state reached that ends a rule is kept forever."""
+    def __init__(self, rules: list[tuple[str, bool]], search: bool, backward: bool = False):
+        """rules: (expression, whether letters match in either case). search: a match may begin at any byte.
+        backward: texts are read from their end, so a search tells where matches start."""
         nfa = Nfa()
         start, ends = nfa.state(), {}
         for k, (pattern, fold) in enumerate(rules):
-            ends[nfa.add(Parser(pattern, fold).parse(), start)] = 1 << k
-        masks = {s[0] for s in nfa.step if s}
+            tree = Parser(pattern, fold).parse()
+            ends[nfa.add(reversed_tree(tree) if backward else tree, start)] = 1 << k
+        steps = [s for s in range(len(nfa.step)) if nfa.step[s]]
         parts = [ALL]
-        for m in masks:  # bytes that no expression tells apart
+        for m in {nfa.step[s][0] for s in steps}:  # bytes that no expression tells apart
             parts = [y for x in parts for y in (x & m, x & ~m) if y]
         self.classes = np.zeros(256, np.uint8)
         for k, x in enumerate(parts):
-            for b in range(256):
-                if x >> b & 1:
-                    self.classes[b] = k
-        origin = nfa.closure([start])
+            self.classes[list(_ones(x))] = k
+        worth = sum(1 << s for s in {*steps, *ends})  # states that only pass on need not be kept
+        after = {s: nfa.closure(nfa.step[s][1]) & worth for s in steps}
+        by = [sum(1 << s for s in steps if nfa.step[s][0] & x) for x in parts]
+        ending = sum(1 << s for s in ends)
+        origin = nfa.closure(start) & worth
         seen, rows, accepts, todo = {origin: 0}, [], [], [origin]
         for now in todo:
-            accept = 0
-            for s in now:
-                accept |= ends.get(s, 0)
-            accepts.append(accept)
+            accepts.append(sum(ends[s] for s in _ones(now & ending)))
             row = []
-            for x in parts:
-                if search and accept:
-                    after = now
-                else:
-                    after = nfa.closure([nfa.step[s][1] for s in now if nfa.step[s] and nfa.step[s][0] & x])
-                    if search:
-                        after |= origin
-                if after not in seen:
-                    seen[after] = len(todo)
-                    todo.append(after)
-                row.append(seen[after])
+            for mask in by:
+                to = origin if search else 0
+                for s in _ones(now & mask):
+                    to |= after[s]
+                if to not in seen:
+                    seen[to] = len(todo)
+                    todo.append(to)
+                row.append(seen[to])
             rows.append(row)
         self.table, self.accepts, self.start = self._minimal(np.array(rows), np.array(accepts))
+        self.alive = self.accepts.copy()
+        while ((more := self.alive | np.bitwise_or.reduce(self.alive[self.table], axis=1)) != self.alive).any():
+            self.alive = more
 
     @staticmethod
     def _minimal(table: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -223,11 +242,6 @@ class Automaton:
                 return part[table][head].astype(np.int32)[np.argsort(part[head])], accepts[head][np.argsort(part[head])], int(part[0])
             part = finer
 
-    def dead(self) -> int:
-        """The state that no rule can end from, or -1."""
-        own = np.flatnonzero((self.table == np.arange(len(self.table))[:, None]).all(1) & (self.accepts == 0))
-        return int(own[0]) if len(own) else -1
-
     def shortest(self) -> int:
         """The least number of bytes after which a rule ends."""
         now, steps = {self.start}, 0

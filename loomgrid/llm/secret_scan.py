@@ -1,19 +1,25 @@
 """Secret scans with one automaton for all rules.
 
-Every byte of every text goes once through a single search automaton. Bytes after which it is in
-its start state wherever it was (line ends, commas, characters outside all rules) cut a batch into
-independent stretches, which advance side by side, one byte of each at a time. A stretch in which
-a rule ends is looked at again, with one automaton for each rule, for the exact spans: leftmost and
-longest, non-overlapping for each kind. No shuffle.
-
-Defined cases: null and empty texts have no spans; repeated rows are scanned each; an empty table
-gives no rows; spans count code points, their ends are exclusive.
+Every byte of every text goes once, from the end to the start, through one minimal automaton of all
+reversed rules; after each byte its state says which rules have a match that starts there. Bytes after
+which it is in its start state wherever it was (line ends, commas, characters outside all rules) cut
+a batch into independent stretches, which advance side by side, one byte of each at a time. Spans are
+read off the starts: a second automaton of all rules runs forward from a rule's first start to the
+longest end, then from its first start after that. It reads matches only, so the time is linear in
+the text. Spans are leftmost, longest and non-overlapping for each kind; those that `keep` refuses
+are dropped after that, as the contract of the base kinds has it. No shuffle.
+
+Defined cases: null and empty texts have no spans; texts of any length are scanned whole, in parts that
+end where no rule goes on; spans of different kinds may overlap, and equal starts go in the order of the
+rules; repeated rows are scanned each; a null id is kept; an empty table gives no rows; other columns
+are not used, whatever their names, and `redact` keeps them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
-from .common import map_batches, pieces, text_bytes
+from .common import pieces, text_bytes
 
 PART = 1 << 21  # bytes of a batch that are scanned at once
 FEW = 32  # lanes below which plain Python is faster than numpy
@@ -33,27 +39,31 @@ def _assigned(found: bytes) -> bool:
     return len(value) - (value[:1] in (b'"', b"'")) >= 6
 
 
+def _at_least(*sizes: int) -> Callable[[bytes], bool]:
+    """Whether the parts between dots have at least these sizes."""
+    return lambda found: all(len(part) >= n for part, n in zip(found.split(b"."), sizes, strict=True))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. `pattern` delimits the spans; `keep` drops some; `near` must match somewhere in any kept span (default: the pattern)."""
+    """A kind of secret. `pattern` delimits the spans; `keep` drops some."""
 
     kind: str
     pattern: str
     fold: bool = False
     keep: Callable[[bytes], bool] | None = None
-    near: str | None = None
 
 
 #: The three base kinds in their order, then further kinds of published token formats.
 _KEY = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 RULES = (
-    Rule("assign", _KEY + "[A-Za-z0-9+/_.=-]+", True, _assigned, _KEY + "[A-Za-z0-9+/_.=-]{6}"),
-    Rule("access", "AKIA[A-Z0-9]+", False, lambda x: len(x) >= 20, "AKIA[A-Z0-9]{6}"),
-    Rule("hex", "[0-9a-f]+", False, lambda x: len(x) >= 24, "[0-9a-f]{24}"),
-    Rule("github", "gh[opsur]_[A-Za-z0-9]{36,}", near="gh[opsur]_[A-Za-z0-9]{4}"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", near="xox[abprs]-[A-Za-z0-9-]{4}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", near=r"eyJ[A-Za-z0-9_-]+\.eyJ"),
-    Rule("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", near="-----BEGIN "),
+    Rule("assign", _KEY + "[A-Za-z0-9+/_.=-]+", True, _assigned),
+    Rule("access", "AKIA[A-Z0-9]{16,}"),
+    Rule("hex", "[0-9a-f]{24,}"),
+    Rule("github", "gh[opsur]_[A-Za-z0-9]+", keep=_at_least(40)),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", keep=_at_least(15)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", keep=_at_least(11, 11, 8)),
+    Rule("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -63,29 +73,30 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        search = Automaton([(r.near or r.pattern, r.fold) for r in rules], True)
-        self.classes, self.start = search.classes, search.start
-        self.hit = search.accepts > 0
-        self.width = search.table.shape[1]
-        self.flat = search.table.reshape(-1).astype(np.int32) * self.width  # states are row offsets
-        self.rows = search.table.tolist()
+        expressions = [(r.pattern, r.fold) for r in rules]
+        search = Automaton(expressions, True, backward=True)
+        # states are numbered so that those in which a match starts come last
+        order = np.argsort(search.accepts > 0, kind="stable")
+        rank = np.argsort(order)
+        table = rank[search.table[order]].astype(np.int32)
+        self.classes, self.start, self.accepts = search.classes, int(rank[search.start]), search.accepts[order]
+        self.first_hit = int((self.accepts == 0).sum())
+        self.width = table.shape[1]
+        self.flat = table.reshape(-1) * np.int32(self.width)  # states are row offsets
+        self.rows = table.tolist()
         self.least = search.shortest()
-        back = (search.table[~self.hit] == self.start).all(0)
-        self.cuts = back[self.classes]
-        self.single = []
-        for r in rules:
-            a = Automaton([(r.pattern, r.fold)], False)
-            self.single.append((a.classes.tobytes(), a.table.tolist(), (a.accepts > 0).tolist(), a.start, a.dead()))
-
-    def stretches(self, b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the stretches of a block in which a rule ends."""
+        self.cuts = (table == self.start).all(0)[self.classes]
+        ends = Automaton(expressions, False)
+        self.end_classes, self.end_rows, self.end_start = ends.classes.tobytes(), ends.table.tolist(), ends.start
+        self.end_accepts, self.end_alive = ends.accepts.tolist(), ends.alive.tolist()
+
+    def starts(self, b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where matches start in a block, by place: the places, the rules (as bits), and the ends of their stretches."""
         cut = self.cuts[b]
         edge = np.zeros(len(b) + 1, bool)
         edge[offs] = True
-        inside = ~cut
-        begin = inside.copy()
+        begin, end = ~cut, ~cut
         begin[1:] &= cut[:-1] | edge[1:-1]
-        end = inside.copy()
         end[:-1] &= cut[1:] | edge[1:-1]
         lo, hi = np.flatnonzero(begin), np.flatnonzero(end) + 1
         long = hi - lo >= self.least
@@ -96,45 +107,64 @@ class Scanner:
         code = self.classes[b]
         state = np.full(len(lo), self.start * self.width, np.int32)
         active = len(lo) - np.searchsorted(size[::-1], np.arange(1, (size[0] if len(size) else 0) + 1), "left")
-        step = 0
+        places, rules, until = [], [], []
+        step, hit = 0, self.first_hit * self.width
         for n in active.tolist():
             if n <= FEW:
                 break
-            s = state[:n]
-            state[:n] = self.flat[s + code[lo[:n] + step]]
             step += 1
-        final = state // self.width
+            now = self.flat[state[:n] + code[hi[:n] - step]]
+            state[:n] = now
+            if step >= self.least and len(found := np.flatnonzero(now >= hit)):
+                places.append(hi[found] - step)
+                rules.append(self.accepts[now[found] // self.width])
+                until.append(hi[found])
         for k in range(int(active[step]) if step < len(active) else 0):
-            s, rows = int(final[k]), self.rows
-            for c in code[lo[k] + step : hi[k]].tobytes():
+            s, rows, first, own, top = int(state[k]) // self.width, self.rows, self.first_hit, [], int(hi[k]) - step
+            found = []
+            for at, c in enumerate(code[lo[k] : top][::-1].tobytes(), 1):
                 s = rows[s][c]
-            final[k] = s
-        hit = np.sort(np.flatnonzero(self.hit[final]))
-        return lo[hit], hi[hit]
+                if s >= first:
+                    own.append(at)
+                    found.append(s)
+            places.append(top - np.array(own, np.int64))
+            rules.append(self.accepts[np.array(found, np.int64)])
+            until.append(np.full(len(own), hi[k]))
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        places, rules, until = (np.concatenate(x) for x in (places, rules, until))
+        order = np.argsort(places)
+        return places[order], rules[order], until[order]
 
-    def spans(self, found: bytes) -> list[tuple[int, int, int]]:
-        """(start, rule, end) of all kept spans of a stretch, in bytes."""
+    def end_of(self, found: bytes, rule: int) -> tuple[int, bool]:
+        """The length of the longest match of a rule at the start of some bytes, and whether it may go on after them."""
+        s, end, rows, bit = self.end_start, 0, self.end_rows, 1 << rule
+        for j, c in enumerate(found.translate(self.end_classes), 1):
+            s = rows[s][c]
+            if not self.end_alive[s] & bit:
+                return end, False
+            if self.end_accepts[s] & bit:
+                end = j
+        return end, True
+
+    def spans(self, b: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, rule, end) of all kept spans of a block, in bytes."""
+        places, rules, until = self.starts(b, offs)
         out = []
-        for k, (classes, table, accepts, start, dead) in enumerate(self.single):
-            code, i, n = found.translate(classes), 0, len(found)
-            first = [table[start][c] != dead for c in range(len(table[0]))]
-            while i < n:
-                if not first[code[i]]:
-                    i += 1
-                    continue
-                s, end, j = start, -1, i
-                while j < n and s != dead:
-                    s = table[s][code[j]]
-                    j += 1
-                    if accepts[s]:
-                        end = j
-                if end < 0:
-                    i += 1
-                    continue
-                keep = self.rules[k].keep
-                if keep is None or keep(found[i:end]):
-                    out.append((i, k, end))
-                i = end
+        for k, rule in enumerate(self.rules):
+            own = np.flatnonzero(rules >> k & 1)
+            at, stop = places[own], until[own]
+            i = 0
+            while i < len(at):
+                lo, hi, size, on = int(at[i]), int(stop[i]), 256, True
+                while on:  # read as much as the match needs
+                    end, on = self.end_of(b[lo : min(hi, lo + size)].tobytes(), k)
+                    on &= lo + size < hi
+                    size *= 4
+                found = b[lo : lo + end].tobytes()
+                if rule.keep is None or rule.keep(found):
+                    out.append((lo, k, lo + end))
+                i += int(np.searchsorted(at[i:], lo + end))
         return out
 
     def parts(self, buf: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -154,11 +184,10 @@ class Scanner:
         rows: dict[int, list] = {}
         for at, to in self.parts(buf):
             i, j = np.searchsorted(offs, (at, to), "right")
-            lo, hi = self.stretches(buf[at:to], np.concatenate([[0], offs[i:j] - at, [to - at]]))
-            row = np.searchsorted(offs, lo + at, "right") - 1
-            for r, a, b in zip(row.tolist(), (lo + at).tolist(), (hi + at).tolist(), strict=True):
-                for x, k, y in self.spans(buf[a:b].tobytes()):
-                    rows.setdefault(r, []).append((a + x, k, a + y))
+            found = self.spans(buf[at:to], np.concatenate([[0], offs[i:j] - at, [to - at]]))
+            row = np.searchsorted(offs, [a + at for a, _, _ in found], "right") - 1
+            for r, (a, k, b) in zip(row.tolist(), found, strict=True):
+                rows.setdefault(r, []).append((at + a, k, at + b))
         for r, spans in rows.items():
             base = int(offs[r])
             places = np.unique([base, *(p for a, _, b in spans for p in (a, b))])
@@ -168,6 +197,11 @@ class Scanner:
         return rows
 
 
+@lru_cache(4)
+def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
+    return Scanner(rules)
+
+
 def _scanned(batch: pa.RecordBatch, column: int, scanner: Scanner) -> Iterator[tuple[pa.RecordBatch, dict]]:
     texts = batch.column(column)
     buf, offs = text_bytes(texts.fill_null("") if texts.null_count else texts)
@@ -177,7 +211,7 @@ def _scanned(batch: pa.RecordBatch, column: int, scanner: Scanner) -> Iterator[t
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """key and spans array<struct<kind, start, end>> of each text, by start, then kind in the order of the rules."""
-    scanner = Scanner(rules)
+    scanner = scanner_of(rules)
     kind = docs.schema[key].dataType.simpleString()
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -188,12 +222,12 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(item))], ["key", "spans"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_batches(source, run, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
+    return source.mapInArrow(run, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
 
 
 def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with each span (overlapping ones as one) replaced by its first kind in angle brackets; `chars`, if there is such a column, counts the code points of changed texts anew."""
-    scanner = Scanner(rules)
+    scanner = scanner_of(rules)
     names = docs.columns
     at = names.index(text)
 
@@ -219,4 +253,4 @@ def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", r
                     part = pa.RecordBatch.from_arrays(cols, schema=part.schema)
                 yield part
 
-    return map_batches(docs, run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
