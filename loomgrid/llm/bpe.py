@@ -4,7 +4,12 @@ All distinct words of a batch lie in one symbol array with links to the next and
 symbol. An index maps the rank of each mergeable pair to all its positions; active ranks are
 taken in ascending order, every position of a rank is merged at once, and the pairs that the
 merge makes are looked up and appended to the lists of their ranks. Words seen before come from
-a bounded cache of the worker. Null and empty texts have no tokens and decode to the empty text.
+a bounded cache of the worker.
+
+Defined cases: null and empty texts have no tokens and decode to the empty text; a long text is encoded
+in parts that end where no word goes on, so its ids are those of the whole; of overlapping pairs of one
+rank the left one is merged; repeated rows are encoded each; null ids are kept; an empty table gives no
+rows; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces, text_bytes
+from .common import pieces, text_bytes
 
 #: White space of Unicode, as the pattern's \s.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -27,7 +33,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 CACHED_WORDS = 300_000
 CACHED_CHARS = 200
 LONG = 1 << 20  # characters of a text that are encoded at once
-CUT = regex.compile("[a-z] (?=[a-z])")
+CUT = regex.compile(r"\p{L} (?=\p{L})|\p{L}(?=[.,;:!?。、，])")
 SCALAR = 24  # positions up to which plain Python is faster than numpy
 
 
@@ -39,7 +45,7 @@ def printable_bytes() -> dict[str, int]:
 
 
 def long_parts(text: str) -> Iterator[str]:
-    """Parts of at most LONG characters or a little more, cut before a single space between letters of a to z, where no word or special token goes on."""
+    """Parts of at most LONG characters or a little more, cut between a letter and a single space before a letter, or a mark, where no word or special token goes on."""
     at = 0
     while len(text) - at > LONG:
         m = CUT.search(text, at + LONG // 2)
@@ -228,6 +234,26 @@ class Encoder:
             self.clear()  # overlong words are not worth their memory
         return ids, np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])]
 
+    def count(self, texts: list[str]) -> np.ndarray:
+        """The number of token ids of each text, special tokens as plain text; ids are not put together."""
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            return sum(self._count([p]) for p in long_parts(texts[0]))
+        return self._count(texts)
+
+    def _count(self, texts: list[str]) -> np.ndarray:
+        if self.n > CACHED_WORDS:
+            self.clear()
+        docs = list(map(self.words.findall, texts))
+        new = [w for w in set().union(*docs) if w not in self.known]
+        self.learn(new)
+        ends = np.cumsum([0, *map(len, docs)])
+        get = self.known.__getitem__
+        word = np.fromiter((x for d in docs for x in map(get, d)), np.int64, int(ends[-1]))
+        size = np.concatenate([[0], np.cumsum(self.at[word + 1] - self.at[word])])
+        if max(map(len, new), default=0) > CACHED_CHARS:
+            self.clear()
+        return np.diff(size[ends])
+
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> list[str]:
         """The texts of token ids; bytes that are not UTF-8 become U+FFFD."""
         end = np.cumsum(self.lengths[ids])
@@ -253,8 +279,13 @@ def encoder_of(shared) -> Encoder:
     return _encoders[path]
 
 
+@lru_cache(4)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def broadcast_vocabulary(spark, path: str):
-    return spark.sparkContext.broadcast((path, Vocabulary(path)))
+    return spark.sparkContext.broadcast((path, vocabulary(path)))
 
 
 def text_parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -281,10 +312,25 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(cols, ["key", "ids", "decoded"][: len(cols)])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = map_batches(source, run, f"key {kind}, ids array<int>" + ", decoded string" * decoded)
+    out = source.mapInArrow(run, f"key {kind}, ids array<int>" + ", decoded string" * decoded)
     return out.withColumnRenamed("key", key)
 
 
+def count(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and n_tokens of each text, special tokens as plain text. No shuffle."""
+    shared = broadcast_vocabulary(docs.sparkSession, path)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        own = encoder_of(shared)
+        for batch in batches:
+            for part, texts in text_parts(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.count(texts))], ["key", "n_tokens"])
+
+    source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return source.mapInArrow(run, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)
+
+
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """The text of each list of token ids: key, text. A null list is empty."""
     shared = broadcast_vocabulary(tokens.sparkSession, path)
@@ -300,4 +346,4 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     empty = F.array().cast("array<int>")
     source = tokens.select(F.col(key).alias("key"), F.coalesce(F.col(ids).cast("array<int>"), empty).alias("ids"))
-    return map_batches(source, run, f"key {kind}, text string").withColumnRenamed("key", key)
+    return source.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)

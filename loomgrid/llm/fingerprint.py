@@ -1,18 +1,22 @@
 """Document fingerprints by one-permutation MinHash.
 
 Each 5-word shingle is hashed once; the upper bits of the hash name one of BINS bins, which keeps
-its least hash. Empty bins are filled by optimal densification: each draws bins from a hash of its
-own number until it finds one that was filled, the same for all documents. Of every bin the low BITS
-bits of its mixed hash are stored, packed as hexadecimal digits. The share of equal bins is corrected
-for values that agree by chance.
+its least hash. Empty bins are filled by optimal densification: each draws bins from a sequence that
+depends on its own number alone, the same for all documents, until it finds one that was filled. Of
+every bin the low BITS bits of its mixed hash are stored, packed as hexadecimal digits. The share of
+equal bins is corrected for values that agree by chance.
 
 Defined cases: texts without words (null, empty) have the empty fingerprint, alike only to another
-empty one; texts with fewer than five words have one shingle; equal texts have equal fingerprints.
+empty one; texts with fewer than five words have one shingle; texts of any length are read whole, in
+parts; equal texts have equal fingerprints, so do repeated rows; rows that repeat an id follow each
+other by their text, and null ids come last; a table of one row is its own next document; an empty
+table gives no rows; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import map_batches, text_bytes
+from .common import pieces, text_bytes
 
 BINS, BITS, WORDS = 256, 4, 5
-TRIES = 24
 MOST_BUCKETS = 1 << 16  # bounds that reach the driver
 ROWS = 2048  # documents whose bins are in memory at once
-_DRAW = np.random.default_rng(11).integers(0, BINS, (TRIES, BINS))
-_PICK = np.random.default_rng(13).integers(0, 2**31, BINS)
+BUCKET_ROWS = 1 << 14  # documents of a bucket, about
+
+
+@lru_cache(1 << 14)
+def draw(t: int) -> np.ndarray:
+    """The bin that each bin draws in its attempt `t`."""
+    return np.random.default_rng((11, t)).integers(0, BINS, BINS)
 
 
 def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
@@ -44,17 +52,17 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     full = np.zeros(len(rows) * BINS, bool)
     least[cell[head]], full[cell[head]] = flat[head], True
     least, full = least.reshape(-1, BINS), full.reshape(-1, BINS)
-    d, b = np.nonzero(~full)
-    for t in range(TRIES):
-        source = _DRAW[t, b]
+    number = full.sum(1)
+    one = number == 1  # all draws end in the only filled bin
+    least[one] = least[one].max(1, keepdims=True)
+    d, b = np.nonzero(~full & ~one[:, None])
+    t = 0
+    while len(d):
+        source = draw(t)[b]
         hit = full[d, source]
         least[d[hit], b[hit]] = least[d[hit], source[hit]]
         d, b = d[~hit], b[~hit]
-    if len(d):  # sparse documents: the draw goes to their filled bins directly
-        number = full.sum(1)
-        nth = _PICK[b] % number[d]
-        order = np.argsort(~full, axis=1, kind="stable")
-        least[d, b] = least[d, order[d, nth]]
+        t += 1
     out[rows] = (kernels.mix(least) & kernels.U64((1 << BITS) - 1)).astype(np.uint8)
     return out
 
@@ -90,12 +98,10 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(fingerprints(kernel_sets(part.column(1)))), pa.string())], ["key", "fingerprint"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_batches(source, run, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
+    return source.mapInArrow(run, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
 
 
 def batch_parts(batch: pa.RecordBatch, column: int):
-    from .common import pieces
-
     _, offs = text_bytes(batch.column(column))
     for i, j in pieces(offs):
         for k in range(i, j, ROWS):  # many short texts: their bins need more room than their bytes
@@ -113,22 +119,20 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (bucket, tail, key, text), partitioned by bucket and sorted so that the next row of a bucket is the next document by descending key.
 
-    Ids are cut at approximate quantiles into a bounded number of buckets; the first document of each
-    bucket is copied to the end of the bucket before (the very first to the last). Texts are shuffled
-    once; only bounds and first ids, a few for each bucket, reach the driver."""
+    Ids are cut at approximate quantiles into buckets of about BUCKET_ROWS documents, MOST_BUCKETS at
+    most; the first document of each bucket is copied to the end of the bucket before (the very first to
+    the last). Texts are shuffled once; only bounds and first ids, one for each bucket, reach the driver
+    and go back as a table of that bound, which is broadcast."""
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = min(MOST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(MOST_BUCKETS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // BUCKET_ROWS))
     cuts = base.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("q")).first()["q"] or []
     bucket = _bucket(F.col("key"), sorted(set(cuts), reverse=True))
     firsts = base.groupBy(bucket.alias("bucket")).agg(F.max("key").alias("first")).orderBy("bucket").collect()
-    before = [(firsts[i]["first"], firsts[i - 1]["bucket"]) for i in range(len(firsts))]
-    copies = F.array().cast("array<int>")
-    if before:
-        table = F.create_map(*(x for k, b in before if k is not None for x in (F.lit(k).cast("bigint"), F.lit(b)))) if any(k is not None for k, _ in before) else None
-        null_to = next((b for k, b in before if k is None), None)
-        to = F.when(F.col("key").isNull(), F.lit(null_to)) if table is None else F.when(F.col("key").isNull(), F.lit(null_to)).otherwise(F.try_element_at(table, F.col("key")))
-        copies = F.array_compact(F.array(to.cast("int")))
+    before = [(r["first"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
+    to = spark.createDataFrame(before, "first bigint, copy_to int")
+    base = base.join(F.broadcast(to), F.col("key").eqNullSafe(F.col("first")), "left")
+    copies = F.array_compact(F.array("copy_to"))
     first = F.struct(bucket.cast("int").alias("bucket"), F.lit(False).alias("tail"))
     tails = F.transform(copies, lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("tail")))
     rows = base.select("key", "text", F.explode(F.concat(F.array(first), tails)).alias("p")).select("p.bucket", "p.tail", "key", "text")
@@ -175,5 +179,5 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
             ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    out = map_batches(neighbours(docs, key, text), run, "key bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = neighbours(docs, key, text).mapInArrow(run, "key bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("key", key)

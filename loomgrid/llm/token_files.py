@@ -1,7 +1,8 @@
 """Flat token files: writing them, and counting the tokens of their documents by a separator scan.
 
 A file is nothing but token ids of a fixed width, with an end-of-document id after each document; no
-index says where documents begin. Files are cut into blocks of fixed size that are read by offset,
+index says where documents begin. The width follows from the vocabulary: two bytes up to 65,536 ids,
+else four. Files are cut into blocks of fixed size that are read by offset,
 each by whichever task. A block's separators are found by one vectorised comparison; its documents
 come out as gaps between them, the last one open. A prefix scan over the blocks' open ends then adds
 what earlier blocks have left to the first separator of a later one: within runs of blocks, then
@@ -9,8 +10,10 @@ over the runs, so no task sees all blocks of a long file.
 
 Defined cases: two separators in a row enclose a document of no tokens; tokens after the last
 separator of a file are a document without an end; an empty file has no documents; a null or empty
-text is written as its separator alone; a separator id inside a text's ids must not occur (texts are
-encoded with special tokens as plain text).
+text is written as its separator alone; texts are encoded with special tokens as plain text, and a
+separator id inside a text's ids, or an id that the width cannot hold, is an error; a text of any
+length is one document, over as many blocks as it takes; repeated rows are documents of their own, and
+null ids are kept; an empty table gives no rows; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import map_batches, settle, shared_dir
+from .common import settle, shared_dir
 
 BLOCK_TOKENS = 1 << 20
 RUN = 256  # blocks whose open ends one window adds up
@@ -39,12 +42,21 @@ def _uri(path: str) -> str:
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, eod: int, key: str = "doc_id", text: str = "text", dtype: str = "<u2") -> DataFrame:
-    """Encode texts and write one flat file for each partition; one row per document: key, file, doc_index.
+def id_type(size: int) -> str:
+    """The narrowest type of the ids of a vocabulary."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, eod: int, key: str = "doc_id", text: str = "text", dtype: str | None = None) -> DataFrame:
+    """Encode texts and write one flat file for each partition; one row per document: key, file, doc_index. The type of the ids is that of the vocabulary unless another is given.
 
     A file is named after its partition and moved into place when it is whole, so a task that runs
     again writes the same file. The returned rows are settled: the files are there."""
     shared = bpe.broadcast_vocabulary(docs.sparkSession, tokenizer)
+    dtype = dtype or id_type(shared.value[1].size)
+    largest = np.iinfo(dtype).max
+    if not 0 <= eod <= largest:
+        raise ValueError(f"{dtype} cannot hold the separator {eod}")
     kind = docs.schema[key].dataType.simpleString()
     folder = _uri(folder)
 
@@ -60,6 +72,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, eod: int, ke
             for batch in batches:
                 for part, texts in bpe.text_parts(batch):
                     ids, offs = own.encode_plain(texts)
+                    if len(ids) and (int(ids.max()) > largest or (ids == eod).any()):
+                        raise ValueError(f"a text has the separator {eod} among its ids, or an id that {dtype} cannot hold")
                     flat = np.full(len(ids) + len(texts), eod, dtype)
                     flat[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(offs))] = ids
                     out.write(flat.tobytes())
@@ -74,7 +88,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, eod: int, ke
             where.delete_file(part_name)
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = map_batches(source, run, f"key {kind}, file string, doc_index bigint")
+    rows = source.mapInArrow(run, f"key {kind}, file string, doc_index bigint")
     return settle(rows.withColumnRenamed("key", key), "written")
 
 
@@ -154,6 +168,7 @@ def document_token_counts(docs: DataFrame, tokenizer: str, eod: int, key: str =
     store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(where)
     store.deleteOnExit(where)
-    written = write_token_files(docs, folder, tokenizer, eod, key, text)
-    counted = count_tokens(spark, folder, eod)
+    dtype = id_type(bpe.vocabulary(tokenizer).size)
+    written = write_token_files(docs, folder, tokenizer, eod, key, text, dtype)
+    counted = count_tokens(spark, folder, eod, dtype)
     return written.join(counted, ["file", "doc_index"]).select(key, "file", "doc_index", "first_token", "n_tokens")
