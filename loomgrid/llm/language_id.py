@@ -2,16 +2,19 @@
 
 Training counts byte trigrams inside words for each language, on a bounded sample of the labelled
 rows. For a document, the likelihood of each word under each language comes from its trigrams;
-expectation-maximisation over the words gives the document's language proportions. Sets of the one,
-two, ... most likely languages are compared by penalised likelihood (BIC): all of up to FIRST_SETS
-languages, and larger ones as long as the largest so far is the best. The chosen set is given with its
-proportions; the largest is the prediction, its share the score.
+expectation-maximisation over the words, until no proportion moves by TOLERANCE, gives the document's
+language proportions. Sets of the one, two, ... most likely languages, each with its own proportions,
+are compared by their likelihood less half a logarithm of the words for each further proportion (BIC):
+all of up to FIRST_SETS languages, and larger ones as long as the largest so far is the best. The chosen
+set is given with its proportions; the largest is the prediction, its share the score.
 
 Bounds: SAMPLE labelled rows for each language (their expected number; chosen by a hash of the id,
-whole texts), BUCKETS trigram counters for each of at most LANGUAGES languages (the most frequent).
-Prediction reads only the text. Defined cases: null, empty and letterless texts are `und` with score
-0; without any labelled row all are; ties go to the first language by name; an empty table gives no
-rows; repeated rows are predicted each.
+whole texts), BUCKETS trigram counters for each language. Every language of the labels is learnt; more
+than LANGUAGES of them, whose model would not fit a worker, are an error. Prediction reads only the
+text. Defined cases: null, empty and letterless texts are `und` with score 0; without any labelled row
+all are; texts of any length are read whole, in parts that end with a word; ties go to the first
+language by name; an empty table gives no rows; repeated rows are predicted each and null ids are kept;
+other columns are not used, whatever their names, and `keep_languages` keeps them.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, pieces, text_bytes
+from .common import held_out, pieces, text_bytes
 
-SAMPLE, LANGUAGES, BUCKETS = 3000, 256, 1 << 14
+SAMPLE, LANGUAGES, BUCKETS = 3000, 4096, 1 << 14
 SMOOTH = 0.5
-PART = 1 << 20  # bytes of a text read at once
-ROUNDS, SET_ROUNDS, FIRST_SETS, PENALTY = 6, 4, 3, 2.0
+PART = 1 << 20  # bytes of a text read at once, for up to MANY languages
+MANY = 16
+ROUNDS, TOLERANCE, FIRST_SETS = 100, 1e-3, 3
 #: The evidence is the log-likelihood ratio of the chosen mixture and a background of equal buckets for each trigram, drawn
 #: to 0 by FEW more trigrams. Texts of sf0.1 are above 0, letter noise is below -3; a text below LEAST is in no learnt language.
 FEW, LEAST = 16, -2.0
@@ -52,6 +56,32 @@ def trigrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (gram >> _U32(32 - BUCKETS.bit_length() + 1)).astype(np.int64), starts, first
 
 
+def subset(rows: np.ndarray, like: np.ndarray, heads: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some rows: likelihoods, first words, sizes, and the row of each word."""
+    among = np.zeros(len(heads), bool)
+    among[rows] = True
+    size = size[rows]
+    return like[among[of]], np.cumsum(size) - size, size, np.repeat(np.arange(len(rows)), size)
+
+
+def climb(pi: np.ndarray, like: np.ndarray, heads: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The proportions [row, language] that expectation-maximisation climbs to, and the log-likelihood of each row. Zeros stay; rows that have settled are left alone."""
+    out, rows, words = pi.copy(), np.arange(len(pi)), (like, heads, size, of)
+    for step in range(1, ROUNDS + 1):
+        part = words[0] * pi[words[3]]
+        part /= part.sum(1, keepdims=True)
+        new = (np.add.reduceat(part, words[1], axis=0) / words[2][:, None]).astype(np.float32)
+        moved = np.abs(new - pi).max(1) >= TOLERANCE
+        pi = new
+        if step in (1, 2, 4) or not step % 8 or step == ROUNDS or not moved.any():
+            out[rows] = pi
+            rows, pi = rows[moved], pi[moved]
+            if not len(rows):
+                break
+            words = subset(np.flatnonzero(moved), *words)
+    return out, np.add.reduceat(np.log(np.maximum((like * out[of]).sum(1), 1e-38)), heads)
+
+
 class Mixture:
     """Log-likelihoods of trigrams [bucket, language]."""
 
@@ -60,6 +90,10 @@ class Mixture:
         self.names = names
         self.log = np.log(total / total.sum(1, keepdims=True)).T.astype(np.float32)
 
+    def part(self) -> int:
+        """Bytes to read at once: fewer with many languages."""
+        return max(1 << 12, PART * MANY // max(MANY, len(self.names)))
+
     def words(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods of all words under each language, and the words before each row; a long row is read in parts that end with a word."""
         found, first, n = [np.zeros((0, len(self.names)), np.float32)], np.zeros(len(offs), np.int64), 0
@@ -70,17 +104,18 @@ class Mixture:
                 found.append(np.add.reduceat(self.log[grams], starts, axis=0, dtype=np.float32))
             return at
 
-        for i, j in pieces(offs, PART):
+        part = self.part()
+        for i, j in pieces(offs, part):
             lo, hi = int(offs[i]), int(offs[j])
-            if j > i + 1 or hi - lo <= 2 * PART:
+            if j > i + 1 or hi - lo <= 2 * part:
                 at = read(buf[lo:hi], offs[i : j + 1] - lo)
                 first[i + 1 : j + 1] = n + at[1:]
                 n += int(at[-1])
                 continue
             while lo < hi:
-                to = min(hi, lo + PART)
-                while to < hi and not len(gap := np.flatnonzero(_FOLD[buf[to : min(hi, to + PART)]] == 32)):
-                    to = min(hi, to + PART)
+                to = min(hi, lo + part)
+                while to < hi and not len(gap := np.flatnonzero(_FOLD[buf[to : min(hi, to + part)]] == 32)):
+                    to = min(hi, to + part)
                 if to < hi:
                     to += int(gap[0])
                 n += int(read(buf[lo:to], np.array([0, to - lo]))[-1])
@@ -102,37 +137,25 @@ class Mixture:
         heads, size = first[:-1][rows], count[rows]
         of = np.repeat(np.arange(len(rows)), size)
 
-        def climb(pi: np.ndarray, rounds: int, like=like, heads=heads, size=size, of=of) -> tuple[np.ndarray, np.ndarray]:
-            """Proportions after some rounds, and the log-likelihood of each row."""
-            for _ in range(rounds):
-                part = like * pi[of]
-                part /= part.sum(1, keepdims=True)
-                pi = np.add.reduceat(part, heads, axis=0) / size[:, None]
-                pi = pi.astype(np.float32)
-            return pi, np.add.reduceat(np.log(np.maximum((like * pi[of]).sum(1), 1e-38)), heads)
-
-        pi, _ = climb(np.full((len(rows), k), 1 / k, np.float32), ROUNDS)
+        whole = (like, heads, size, of)
+        pi, _ = climb(np.full((len(rows), k), 1 / k, np.float32), *whole)
         order = np.argsort(-pi, axis=1, kind="stable")
         score = np.full(len(rows), -np.inf)
         chosen, under = np.zeros_like(pi), np.zeros(len(rows))
-        left, own = np.arange(len(rows)), {}  # rows for which a larger set is tried
+        left, own = np.arange(len(rows)), whole  # rows for which a larger set is tried
         for m in range(1, k + 1):
             within = np.zeros((len(left), k), np.float32)
             np.put_along_axis(within, order[left, :m], 1.0, 1)
             start = np.maximum(pi[left], 1e-6) * within
-            part, fit = climb(start / start.sum(1, keepdims=True), SET_ROUNDS if m > 1 else 0, **own)
-            plain = fit
-            fit = 2 * fit - PENALTY * (m - 1) * np.log(size[left] + 1)
-            better = fit > score[left]
-            under[left[better]] = plain[better]
-            score[left[better]], chosen[left[better]] = fit[better], part[better]
+            part, fit = climb(start / start.sum(1, keepdims=True), *own)
+            worth = fit - (m - 1) / 2 * np.log(size[left])
+            better = worth > score[left]
+            under[left[better]], score[left[better]], chosen[left[better]] = fit[better], worth[better], part[better]
             if m >= FIRST_SETS:
                 left = left[better]
                 if not len(left):
                     break
-                among = np.zeros(len(rows), bool)
-                among[left] = True
-                own = {"like": like[among[of]], "size": size[left], "heads": np.concatenate([[0], np.cumsum(size[left])[:-1]]), "of": np.repeat(np.arange(len(left)), size[left])}
+                own = subset(left, *whole)
         best[rows], shares[rows] = chosen.argmax(1), np.clip(chosen, 0, 1)
         grams = np.diff(np.concatenate([[0], np.cumsum(_FOLD[buf] != 32)])[offs])[rows]
         evidence[rows] = (under + np.add.reduceat(top[:, 0].astype(float), heads) + grams * np.log(BUCKETS)) / (grams + FEW)
@@ -142,7 +165,9 @@ class Mixture:
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Mixture:
     """Counts trigrams of a bounded sample of labelled rows. At most LANGUAGES * BUCKETS counters reach the driver."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     names = sorted(sizes)
     if not names:
         return Mixture([], np.zeros((0, BUCKETS)))
@@ -163,7 +188,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         who, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(bucket), pa.array(total[who, bucket])], ["lang", "bucket", "n"])
 
-    found = map_batches(rows.where(drawn).select(lang, text), count, "lang bigint, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.where(drawn).select(lang, text).mapInArrow(count, "lang bigint, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(names), BUCKETS))
     counts[found["lang"].to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     return Mixture(names, counts)
@@ -197,7 +222,7 @@ def predict(docs: DataFrame, model: Mixture, key: str = "doc_id", text: str = "t
         own = shared.value
         for batch in batches:
             buf, offs = text_bytes(batch.column(1))
-            for i, j in pieces(offs, 1 << 20):
+            for i, j in pieces(offs, own.part()):
                 names, shares = predicted(own, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 order = np.argsort(-shares, axis=1, kind="stable")
                 some = np.take_along_axis(shares, order, 1) > 0
@@ -208,7 +233,7 @@ def predict(docs: DataFrame, model: Mixture, key: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.string()), score, langs, part], ["key", "lang_pred", "score", "langs", "proportions"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_batches(source, run, f"key {kind}, lang_pred string, score double, langs array<string>, proportions array<double>").withColumnRenamed("key", key)
+    return source.mapInArrow(run, f"key {kind}, lang_pred string, score double, langs array<string>, proportions array<double>").withColumnRenamed("key", key)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -231,7 +256,7 @@ def keep_languages(docs: DataFrame, rejected: tuple[str, ...] = ("und",), least:
         for batch in batches:
             texts = batch.column(at)
             buf, offs = text_bytes(texts.fill_null("") if texts.null_count else texts)
-            for i, j in pieces(offs, 1 << 20):
+            for i, j in pieces(offs, own.part()):
                 part, edges = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 best, _, evidence = own.infer(part, edges)
                 stay = (evidence >= least) & ~gone[best]
@@ -239,4 +264,4 @@ def keep_languages(docs: DataFrame, rejected: tuple[str, ...] = ("und",), least:
                     stay &= lettered(part, edges)
                 yield batch.slice(i, j - i).filter(pa.array(stay, pa.bool_()))
 
-    return map_batches(docs, run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,18 +1,21 @@
 """Quality classification by positive-unlabelled learning.
 
-Trusted positives are rows labelled 1, unlabelled rows are a bounded sample of all web text. The
-class prior is estimated from all labelled rows. A logistic model over binned text statistics
-minimises the non-negative unbiased risk: prior * risk of positives as 1, plus the larger of 0 and
-the risk of unlabelled rows as 0 less prior * the risk of positives as 0. Where there are rows of
-either label, a slope and an intercept fitted to them turn the margins into probabilities; each
-label counts by its share of all labelled rows.
-
-Bounds: SAMPLE documents of all, and SAMPLE of each label, in expectation (by a hash of the id, whole
-texts) are read for training, so labels that cover a small part of a large table all count; only
-their statistics, a few numbers each, reach the driver. Scores read only the text. Defined cases:
-null and empty texts are scored by their (zero) statistics; several labels of one id count as the
-least; labels of ids that no document has are not used; without a labelled positive all scores are
-the prior's default 0.5; an empty table gives no rows; repeated rows are scored each.
+Trusted positives are rows labelled 1; unlabelled rows are a bounded sample of all web text, whatever
+their labels. Labels 0 are not used, but that an id with one is no trusted positive. A logistic model
+over binned text statistics minimises the non-negative unbiased risk: prior * risk of positives as 1,
+plus the larger of 0 and the risk of unlabelled rows as 0 less prior * the risk of positives as 0. The
+class prior is estimated from the two samples alone: of all thresholds of a first model, fitted to half
+of the rows, the one at which the unlabelled rows of the other half are scarcest beside the positives,
+within the error that samples of their sizes allow (best-bin estimation). The intercept is then set so
+that the share of the unlabelled sample that scores THRESHOLD or more is the prior.
+
+Bounds: SAMPLE positives and SAMPLE documents of all, in expectation (by a hash of the id, whole texts)
+are read for training, so labels that cover a small part of a large table all count; only their
+statistics, a few numbers each, reach the driver. Scores read only the text. Defined cases: null and
+empty texts are scored by their (zero) statistics; texts of any length are read whole, in parts; equal
+texts have equal scores; labels of ids that no document has, and null labels or ids, are not used;
+without a labelled positive all scores are 0.5; an empty table gives no rows; repeated rows are scored
+each; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import held_out, map_batches, pieces, text_bytes
+from .common import held_out, pieces, text_bytes
 
 SAMPLE = 40_000
 BINS = 12
 STEPS, RATE, RIDGE = 600, 0.05, 1e-3
+#: Steps of the first model; chance that the bound of the prior fails, and what it weighs; the prior's range.
+FIRST_STEPS, FAIL, SLACK, LEAST_PRIOR, MOST_PRIOR = 200, 0.1, 1.01, 0.05, 0.98
 THRESHOLD = 0.3
 _U64 = np.uint64
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 small letter, 2 capital, 3 digit, 4 white space, 5 sentence mark, 6 other mark, 7 above 127
@@ -36,6 +41,7 @@ _KIND[[32, *range(9, 14)]] = 4
 _KIND[[ord(c) for c in ".,;:'\"-?()"]] = 5
 _KIND[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = 6
 _KIND[128:] = 7
+_BLANK = b" \t\x0b\x0c\r"
 _ENDS = np.isin(np.arange(256), (33, 46, 63))
 BYTES = 1 << 20  # counted at once; a longer text is counted in parts
 NAMES = ("log_bytes", "log_words", "capitals", "digits", "blank", "marks", "symbols", "high", "word_length", "distinct_words", "most_frequent", "distinct_pairs", "repeated_next", "lines", "distinct_lines", "line_words", "sentence_words", "short_words")
@@ -74,18 +80,14 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out[:, 12] = np.bincount(np.repeat(np.arange(n), count), weights=follow, minlength=n) / some
     pairs = words.copy()
     pairs[:-1] = pairs[:-1] * _U64(0x9E3779B97F4A7C15) + words[1:]
-    breaks = np.flatnonzero(buf == 10)
-    edges = np.unique(np.concatenate([offs, breaks + 1]))
-    line = kernels.span_hashes(buf, edges)
-    line_row = np.searchsorted(edges, offs)
     for d in np.flatnonzero(count):
         w = np.sort(words[first[d] : first[d + 1]])
         runs = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1], [True]]))
         out[d, 9] = (len(runs) - 1) / count[d]
         out[d, 10] = np.diff(runs).max() / count[d]
         out[d, 11] = len(np.unique(pairs[first[d] : first[d + 1] - 1])) / max(1, count[d] - 1)
-        own = line[line_row[d] : line_row[d + 1]]
-        out[d, 14] = len(np.unique(own)) / max(1, len(own))
+        own = buf[offs[d] : offs[d + 1]].tobytes().translate(kernels.FOLD, _BLANK).split(b"\n")
+        out[d, 14] = len(set(own)) / len(own)
     out[:, 13] = np.log1p(lines)
     out[:, 15] = count / np.maximum(lines, 1)
     out[:, 16] = count / np.maximum(ends, 1)
@@ -94,64 +96,73 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """A logistic model over one-hot bins of the statistics."""
+    """A logistic model over bins of the statistics."""
 
     def __init__(self, cuts: list[np.ndarray] = (), weights: np.ndarray | None = None):
         self.cuts, self.weights = cuts, weights
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        """One-hot bins of each statistic and, in front, a constant."""
-        out = np.zeros((len(x), 1 + len(self.cuts) * BINS), np.float32)
-        out[:, 0] = 1
+        """The places of a row's weights: a constant and one bin of each statistic."""
+        out = np.zeros((len(x), 1 + len(self.cuts)), np.int64)
         for k, cut in enumerate(self.cuts):
-            out[np.arange(len(x)), 1 + k * BINS + np.searchsorted(cut, x[:, k], "right")] = 1
+            out[:, 1 + k] = 1 + k * BINS + np.searchsorted(cut, x[:, k], "right")
         return out
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return self.weights[self.bins(x)].sum(1)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), 0.5)
-        return 1 / (1 + np.exp(-np.clip(self.bins(x) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int | None = None) -> Model:
     """Minimise the non-negative unbiased risk with the logistic loss by Adam over all rows."""
     if not len(positive) or not len(unlabelled):
         return Model()
     model = Model([np.unique(np.quantile(unlabelled[:, k], np.arange(1, BINS) / BINS)) for k in range(unlabelled.shape[1])])
     p, u = model.bins(positive), model.bins(unlabelled)
-    w = np.zeros(p.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        ps, us = 1 / (1 + np.exp(-(p @ w))), 1 / (1 + np.exp(-(u @ w)))
-        as_one = prior * (p.T @ (ps - 1)) / len(p)
+    size = 1 + len(model.cuts) * BINS
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+
+    def mean(rows: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+        """The gradient of a mean over rows with these slopes."""
+        return np.bincount(rows.ravel(), np.repeat(slopes, rows.shape[1]), size) / len(rows)
+
+    for step in range(1, (steps or STEPS) + 1):
+        ps, us = 1 / (1 + np.exp(-w[p].sum(1))), 1 / (1 + np.exp(-w[u].sum(1)))
         negative = -np.log(np.maximum(1 - us, 1e-12)).mean() + prior * np.log(np.maximum(1 - ps, 1e-12)).mean()
-        as_zero = (u.T @ us) / len(u) - prior * (p.T @ ps) / len(p)
-        grad = as_one + as_zero if negative >= 0 else -as_zero  # below 0 the risk of negatives is driven back up
-        grad = grad + RIDGE * w
+        as_zero = mean(u, us) - prior * mean(p, ps)
+        # below 0 the risk of negatives is driven back up
+        grad = RIDGE * w + (prior * mean(p, ps - 1) + as_zero if negative >= 0 else -as_zero)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model.weights = w.astype(np.float32)
+    model.weights = w
     return model
 
 
-def calibrate(model: Model, x: np.ndarray, label: np.ndarray, share: float) -> Model:
-    """Scale the margins so that scores are probabilities of the labels (Newton steps of a two-parameter logistic fit); rows labelled 1 weigh `share` together."""
-    if model.weights is None or not 0 < label.mean() < 1:
-        return model
-    margin = model.bins(x) @ model.weights
-    a = np.column_stack([margin, np.ones(len(margin))]).astype(float)
-    # targets drawn in a little keep the fit finite where the margins separate the labels
-    n1, n0 = label.sum(), len(label) - label.sum()
-    target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = len(label) * np.where(label == 1, share / n1, (1 - share) / n0)
-    theta = np.array([1.0, 0.0])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2)
-        theta = theta + np.clip(np.linalg.solve(hess, a.T @ (weight * (target - p))), -2, 2)
-    if theta[0] > 0:
-        model.weights = (model.weights * theta[0]).astype(np.float32)
-        model.weights[0] += theta[1]
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows, by the best bin of a model of every other row."""
+    first = fit(positive[::2], unlabelled[::2], 0.5, FIRST_STEPS)
+    rest_p, rest_u = positive[1::2], unlabelled[1::2]
+    if first.weights is None or not len(rest_p) or not len(rest_u):
+        return 0.5
+    at_p, at_u = np.sort(first.margin(rest_p)), np.sort(first.margin(rest_u))
+    cuts = np.unique(at_p)
+    of_p, of_u = (1 - np.searchsorted(x, cuts, "left") / len(x) for x in (at_p, at_u))
+    error = np.sqrt(np.log(4 / FAIL) / 2) * (len(at_u) ** -0.5 + len(at_p) ** -0.5)
+    best = np.argmin((of_u + SLACK * error) / of_p)
+    return float(np.clip(of_u[best] / of_p[best], LEAST_PRIOR, MOST_PRIOR))
+
+
+def learn(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """The model of two samples, with a decision at THRESHOLD that the prior's share of unlabelled rows passes."""
+    prior = class_prior(positive, unlabelled)
+    model = fit(positive, unlabelled, prior)
+    if model.weights is not None:
+        cut = np.quantile(model.margin(unlabelled), 1 - prior)
+        model.weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
     return model
 
 
@@ -167,28 +178,28 @@ def _statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["key", "x"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_batches(source, run, f"key {kind}, x array<double>")
+    return source.mapInArrow(run, f"key {kind}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> Model:
     """Fit on documents and labels of which held-out rows must already be gone."""
-    total = docs.count()
     ids = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marks = labels.where(F.col(quality).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.min(quality) == 1).alias("good"))
-    seen = {r["good"]: r["n"] for r in ids.select("key").join(marks, "key").groupBy("good").agg(F.count("*").alias("n")).collect()}
-    if not seen.get(True):
+    marks = labels.where(F.col(quality).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(quality).alias("least")).where("least = 1").select("key")
+    total = docs.count()
+    good = ids.select("key").join(marks, "key", "left_semi").count()
+    if not good:
         return Model()
-    share = seen[True] / sum(seen.values())
     below = lambda n: F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
     place = lambda seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))
-    drawn = F.broadcast(marks.where(place(3) < F.when(F.col("good"), below(seen[True])).otherwise(below(seen.get(False, 0)))))
-    read = ids.join(drawn, "key", "left").where((place(2) < below(total)) | F.col("good").isNotNull())
-    rows = _statistics(read, "key", "text").join(drawn, "key", "left").select("x", "good", (place(2) < below(total)).alias("any")).toPandas()
+    # about SAMPLE keys, as only keys of documents are drawn
+    drawn = F.broadcast(marks.where(place(3) < below(good)).join(ids.select("key"), "key", "left_semi").withColumn("good", F.lit(True)))
+    any_ = place(2) < below(total)
+    read = ids.join(drawn, "key", "left").where(any_ | F.col("good")).select(F.struct("key", any_.alias("any"), "good").alias("of"), "text")
+    rows = _statistics(read, "of", "text").select("x", "key.any", F.coalesce("key.good", F.lit(False)).alias("good")).toPandas()
     if not len(rows):
         return Model()
-    x, marked, good = np.array(rows["x"].tolist()), rows["good"].notna().to_numpy(), rows["good"].eq(True).to_numpy()
-    model = fit(x[good], x[rows["any"].to_numpy(bool)], float(np.clip(share, 0.05, 0.95)))
-    return calibrate(model, x[marked], good[marked].astype(float), share)
+    x = np.array(rows["x"].tolist())
+    return learn(x[rows["good"].to_numpy(bool)], x[rows["any"].to_numpy(bool)])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,7 +214,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(value, pa.float64())], ["key", "score"])
 
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_batches(source, run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return source.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
