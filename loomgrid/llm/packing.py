@@ -2,8 +2,8 @@
 
 Documents longer than the longest sequence are cut into pieces. All pieces are packed as best-fit
 decreasing does it (of equally full bins the one of the smaller size first), over a histogram: how
-many pieces there are of each length is all the plan needs, and there are at most as many lengths as the longest sequence has tokens, however many documents
-there are. Equal pieces are placed at once into all bins that are alike. A piece that fits no open bin
+many pieces there are of each length is all the plan needs, and there are at most as many lengths as
+the longest sequence has tokens, however many documents there are. Equal pieces are placed at once into all bins that are alike. A piece that fits no open bin
 opens one of the permitted sizes: the one whose price, less the worth of what it can still take in
 (the shorter pieces not placed yet), is least. At the end each bin shrinks to the smallest permitted
 size that holds its contents.
@@ -12,8 +12,10 @@ Pieces then find their place by their number among the pieces of their length. T
 in two steps (within groups of a hash of the id, after the counts of the groups before), so a length
 that a third of all pieces share is not numbered by one task.
 
-Defined cases: null and empty texts have no tokens and one empty piece in bin -1 (nothing to pack);
-repeated rows are packed each; an empty table gives no rows; other columns are not used.
+Defined cases: null and empty texts, and null counts, have no tokens and one empty piece in bin -1
+(nothing to pack); texts of any length are cut into pieces, none is dropped; equal lengths go in the
+order of key and piece within groups by hash; repeated rows are packed each, and null ids are kept; an
+empty table gives no rows; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small
+from .common import _light, settle, small
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Pieces of one length are numbered in groups of about so many, in at least GROUPS groups.
@@ -118,23 +120,30 @@ def places(bins: list[tuple[int, int, list[tuple[int, int]]]]) -> list[tuple[int
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = SIZES, tokens: Callable[[Column], Column] = word_count) -> DataFrame:
-    """One row per piece: key, piece, first_token, n_tokens, bin_id, bin_size, bin_offset (all bigint). Tokens are words unless `tokens` counts others."""
-    spark, most = docs.sparkSession, max(sizes)
-    counted = docs.select(F.col(key).alias("key"), F.coalesce(tokens(F.coalesce(F.col(text), F.lit(""))), F.lit(0)).cast("bigint").alias("total"))
+    """pack_counted of the texts' tokens: words unless `tokens` counts others."""
+    return pack_counted(docs.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("n_tokens")), key, sizes)
+
+
+def pack_counted(counts: DataFrame, key: str = "doc_id", sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """One row per piece of (key, n_tokens): key, piece, first_token, n_tokens, bin_id, bin_size, bin_offset (all but key bigint)."""
+    spark, most = counts.sparkSession, max(sizes)
+    counted = counts.select(F.col(key).alias("key"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("total"))
     piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / most))))
     cut = counted.select("key", "total", piece.alias("piece")).select("key", "piece", (F.col("piece") * most).alias("first_token"), F.least(F.lit(most), F.col("total") - F.col("piece") * most).alias("n_tokens"))
     cut = settle(cut, "pieces")
     lengths = cut.where("n_tokens > 0").groupBy("n_tokens").count().collect()  # at most as many as the longest sequence has tokens
     histogram = {r["n_tokens"]: r["count"] for r in lengths}
-    ranges = spark.createDataFrame(places(plan(histogram, sizes)), "length bigint, low bigint, high bigint, k bigint, first bigint, bin_size bigint, base bigint")
+    found = places(plan(histogram, sizes))
+    ranges = spark.createDataFrame(found, "length bigint, low bigint, high bigint, k bigint, first bigint, bin_size bigint, base bigint")
 
+    ranges = F.broadcast(ranges) if _light(ranges, len(found)) else ranges
     groups = min(MOST_GROUPS, max(GROUPS, max(histogram.values(), default=0) // GROUP_ROWS))
     cut = cut.withColumn("g", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
     before = Window.partitionBy("n_tokens").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.where("n_tokens > 0").groupBy("n_tokens", "g").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     order = Window.partitionBy("n_tokens", "g").orderBy("key", "piece")
     numbered = cut.where("n_tokens > 0").withColumn("i", F.row_number().over(order) - 1).join(small(settle(starts, "starts")), ["n_tokens", "g"]).withColumn("i", F.col("i") + F.col("start"))
-    placed = numbered.join(F.broadcast(ranges), (F.col("n_tokens") == F.col("length")) & (F.col("i") >= F.col("low")) & (F.col("i") < F.col("high")))
+    placed = numbered.join(ranges, (F.col("n_tokens") == F.col("length")) & (F.col("i") >= F.col("low")) & (F.col("i") < F.col("high")))
     nth = F.col("i") - F.col("low")
     out = placed.select(
         F.col("key").alias(key), "piece", "first_token", "n_tokens",
@@ -142,3 +151,14 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", sizes: tuple[
     )
     empty = cut.where("n_tokens = 0").select(F.col("key").alias(key), "piece", "first_token", "n_tokens", F.lit(-1).cast("bigint").alias("bin_id"), F.lit(0).cast("bigint").alias("bin_size"), F.lit(0).cast("bigint").alias("bin_offset"))
     return out.unionByName(empty)
+
+
+def sequences(placed: DataFrame, ids: DataFrame, key: str = "doc_id", column: str = "ids") -> DataFrame:
+    """The packed sequences: bin_id, bin_size, ids (of its pieces, one after the other, without padding) and starts (their offsets).
+
+    `ids` has one row a document: key and the list that was counted. A bin holds at most the longest
+    sequence, so no group is unbounded."""
+    own = placed.where("bin_id >= 0").join(ids.select(key, F.col(column).alias("_ids")), key)
+    piece = F.struct("bin_offset", F.slice("_ids", F.col("first_token").cast("int") + 1, F.col("n_tokens").cast("int")).alias("part"))
+    bins = own.groupBy("bin_id", "bin_size").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return bins.select("bin_id", "bin_size", F.flatten("pieces.part").alias("ids"), F.col("pieces.bin_offset").alias("starts"))
