@@ -120,7 +120,7 @@ def _list(values) -> str:
 
 def op8_sql() -> str:
     """Base phrases and templates word by word."""
-    rows = ", ".join(f"('{label}', {_list(t.split())}, {_list(places)}, ' {phrase} ')" for (label, t, phrase), places in zip(license_scan.TEMPLATES, license_scan.rare_places(), strict=True))
+    rows = ", ".join(f"('{label}', {_list(t.split())}, {_list(rare)}, ' {phrase} ')" for (label, t, phrase), rare in zip(license_scan.TEMPLATES, license_scan.rare_words(), strict=True))
     base = ", ".join(f"('{label}', {_list(p.split())}, ' {p} ')" for p, label in license_scan.BASE)
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -129,10 +129,12 @@ b(label, p, phrase) AS (VALUES {base}),
 bp AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM x JOIN b ON contains(line, phrase)),
 ba AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM bp GROUP BY 1),
 t(label, words, rare, phrase) AS (VALUES {rows}),
-o AS (SELECT doc_id, label, w, words, rare, unnest(range(1 - len(words), len(w))) AS o FROM x JOIN t ON contains(line, phrase)),
-m AS (SELECT doc_id, label, len(words) AS n, list_sum(list_transform(range(len(words)), lambda q: CASE WHEN o + q >= 0 AND w[o + q + 1] = words[q + 1] THEN 1 ELSE 0 END)) AS hits,
-             list_sum(list_transform(rare, lambda q: CASE WHEN o + q >= 0 AND w[o + q + 1] = words[q + 1] THEN 1 ELSE 0 END)) AS rare_hits FROM o),
-f AS (SELECT doc_id, max(hits / n) AS score, list_distinct(list(label)) AS labels FROM m WHERE rare_hits >= 2 AND hits / n >= {license_scan.IN_PLACE} GROUP BY 1)
+c AS (SELECT doc_id, label, w, words, list_filter(rare, lambda r: list_contains(w, r))[1:{license_scan.LOOKED_UP}] AS rare FROM x JOIN t ON contains(line, phrase)),
+p AS (SELECT *, list_filter(range(len(words)), lambda q: list_contains(rare, words[q + 1])) AS places FROM c),
+o AS (SELECT doc_id, label, w, words, places, unnest(range(1 - len(words), len(w))) AS o FROM p),
+r AS (SELECT * FROM o WHERE list_sum(list_transform(places, lambda q: CASE WHEN o + q >= 0 AND w[o + q + 1] = words[q + 1] THEN 1 ELSE 0 END)) >= 2),
+m AS (SELECT doc_id, label, len(words) AS n, list_sum(list_transform(range(len(words)), lambda q: CASE WHEN o + q >= 0 AND w[o + q + 1] = words[q + 1] THEN 1 ELSE 0 END)) AS hits FROM r),
+f AS (SELECT doc_id, max(hits / n) AS score, list_distinct(list(label)) AS labels FROM m WHERE hits / n >= {license_scan.IN_PLACE} GROUP BY 1)
 SELECT x.doc_id, len(x.w) AS n_words, coalesce(ba.n_base, 0) AS n_base, ba.first_word, ba.last_word,
        coalesce(array_to_string(list_sort(ba.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(ba.labels, []), coalesce(f.labels, [])))), ','), '') AS labels, coalesce(f.score, 0) AS score
@@ -150,7 +152,7 @@ def op9_sql() -> str:
             words = head[: head.index(")")]
             pattern = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words) + head[head.index(")") :] + tail).replace("'", "''")
         parts.append(f"SELECT {k} AS k, '{rule.kind}' AS kind, doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS p FROM d")
-    keep = "CASE kind WHEN 'assign' THEN length(regexp_replace(s, '^[^:=]*[:=]\\x20*[\"'']?', '')) >= 6 WHEN 'access' THEN length(s) >= 20 WHEN 'hex' THEN length(s) >= 24 ELSE true END"
+    keep = "CASE kind WHEN 'assign' THEN length(regexp_replace(s, '^[^:=]*[:=]\\x20*[\"'']?', '')) >= 6 WHEN 'github' THEN length(s) >= 40 WHEN 'slack' THEN length(s) >= 15 WHEN 'jwt' THEN regexp_full_match(s, '.{11,}[.].{11,}[.].{8,}') ELSE true END"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 a AS ({" UNION ALL ".join(parts)}),
