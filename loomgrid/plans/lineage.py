@@ -12,6 +12,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the folder all executors share and read it from there; the files go when the driver's JVM ends."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:  # tests and local runs
         root = tempfile.mkdtemp(prefix="loomgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
