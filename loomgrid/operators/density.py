@@ -14,6 +14,7 @@ from ..functions import ring, stats
 SHORT_MEASURE = 0.4  # seconds; shorter measures are not part of a density profile
 SIXTEENTH, TWELFTH, FAST_BPM = 0.25, 1 / 3, 200.0
 BURST_WINDOW = 4
+LANE_LISTS = ("all", "hand", "taps")
 
 
 def with_densities(measures: DataFrame) -> DataFrame:
@@ -54,12 +55,22 @@ def button_distribution(counts: DataFrame) -> DataFrame:
     return out.withColumns({"button_stdev": F.sqrt("button_variance"), "button_cv": stats.ratio(F.sqrt("button_variance"), "button_mean"), "button_variance_ratio": stats.ratio("button_variance", F.col("button_mean") * F.col("button_mean"))})
 
 
-def moments_of(measures: DataFrame, keys: list[str], lanes: str = "all") -> DataFrame:
-    """Moments with times and beats counted from the start of each group's first measure: durations of the measures before, then the place in the measure."""
+def all_moments(measures: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments with times and beats counted from the start of each group's first measure (durations of the measures before, then the place in the measure), with all their lanes: all, hand, taps."""
     w = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     at = measures.withColumns({"_s": F.coalesce(F.sum("duration_seconds").over(w), F.lit(0.0)), "_b": F.coalesce(F.sum("beats").over(w), F.lit(0.0))})
-    rows = at.select(*keys, "idx", "_s", "_b", F.posexplode("moments").alias("k", "m")).where(F.size(f"m.{lanes}") > 0)
-    return rows.select(*keys, "idx", "k", (F.col("_s") + F.col("m.local_seconds")).alias("time_seconds"), (F.col("_b") + F.col("m.local_beat")).alias("beat"), F.col("m.bpm").alias("bpm"), F.col(f"m.{lanes}").alias("lanes"))
+    rows = at.select(*keys, "idx", "_s", "_b", F.posexplode("moments").alias("k", "m"))
+    return rows.select(*keys, "idx", "k", (F.col("_s") + F.col("m.local_seconds")).alias("time_seconds"), (F.col("_b") + F.col("m.local_beat")).alias("beat"), F.col("m.bpm").alias("bpm"), *(F.col(f"m.{x}").alias(x) for x in LANE_LISTS))
+
+
+def with_lanes(moments: DataFrame, lanes: str = "all") -> DataFrame:
+    """The moments that have lanes of one list."""
+    return moments.where(F.size(lanes) > 0).withColumn("lanes", F.col(lanes)).drop(*LANE_LISTS)
+
+
+def moments_of(measures: DataFrame, keys: list[str], lanes: str = "all") -> DataFrame:
+    """with_lanes of all_moments."""
+    return with_lanes(all_moments(measures, keys), lanes)
 
 
 def movement(moments: DataFrame, keys: list[str], twelfths: bool = False) -> DataFrame:

@@ -11,10 +11,10 @@ from ..functions import geometry, pattern
 
 
 def window_measures(chunks: DataFrame, measures: DataFrame) -> DataFrame:
-    """Windows with their four measures as an ordered array: one join by chart, then a group of four."""
+    """Windows with their four measures as an ordered array: one join by chart and measure, then a group of four."""
     m = measures.select("chart_id", "idx", "text", "bpm", "beats", "duration_seconds")
     keys = [c for c in chunks.columns]
-    rows = chunks.join(m, "chart_id").where(F.col("idx").between(F.col("start_measure"), F.col("end_measure")))
+    rows = chunks.withColumn("idx", F.explode(F.sequence("start_measure", "end_measure"))).join(m, ["chart_id", "idx"])
     item = F.struct("idx", "text", "bpm", "beats", "duration_seconds")
     values = [F.first(c).alias(c) for c in keys if c not in ("chart_id", "chunk_index")]
     return rows.groupBy("chart_id", "chunk_index").agg(*values, F.array_sort(F.collect_list(item)).alias("measures"))
@@ -68,13 +68,24 @@ def pool(contributions: DataFrame, keys: list[str], spark=None) -> DataFrame:
     return out.withColumn("most", F.when(F.col("n") < 16, F.greatest("most", F.lit(0.0))).otherwise(F.col("most"))).drop("n")
 
 
+def dimension(vectors: DataFrame, column: str) -> int:
+    """The length that all vectors have; null and ragged ones are an error that says how many there are."""
+    n = F.size(column)
+    seen = vectors.agg(F.max(n).alias("d"), F.count("*").alias("rows"), F.count(F.col(column)).alias("there"), F.count_if(F.exists(column, lambda x: x.isNull())).alias("holes"), F.min(n).alias("least")).first()
+    d = seen["d"] or 0
+    if seen["there"] < seen["rows"] or seen["holes"] or seen["least"] not in (None, d):
+        bad = vectors.where(F.col(column).isNull() | (n != d) | F.exists(column, lambda x: x.isNull())).count()
+        raise ValueError(f"{bad} of {seen['rows']} vectors are null, have nulls or another length than {d}")
+    return d
+
+
 def svd(vectors: DataFrame, key: str, column: str, k: int, rounds: int = 7, extra: int = 10, seed: int = 20260707) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(key and unit vector of length k, singular values, right vectors) of the uncentred matrix of all rows.
 
     Randomised subspace iteration: a d by (k + extra) basis is all that is held on the driver and sent out, whatever
     the number of rows; each round is one pass that adds up A'(AQ) in every task. Signs are those that make each
     right vector's largest element positive."""
-    d = vectors.select(F.size(column).alias("d")).agg(F.max("d")).first()[0] or 0
+    d = dimension(vectors, column)
     k = min(k, d)
     width = min(d, k + extra)
     spark = vectors.sparkSession
@@ -113,6 +124,8 @@ def svd(vectors: DataFrame, key: str, column: str, k: int, rounds: int = 7, extr
 
 def project(vectors: DataFrame, key: str, column: str, right: np.ndarray) -> DataFrame:
     """Vectors times the right vectors, scaled to length 1 (0 stays 0)."""
+    if dimension(vectors, column) not in (0, len(right)):
+        raise ValueError(f"vectors do not have the length {len(right)}")
     shared = vectors.sparkSession.sparkContext.broadcast(right)
     kind = dict(vectors.dtypes)[key]
 

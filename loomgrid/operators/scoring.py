@@ -38,17 +38,19 @@ def profile(measures: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summarize(measures: DataFrame, keys: list[str]) -> DataFrame:
-    """All raw features of groups of measures that have moments and paths: profile, burst, hand trip and shortest triple."""
+    """All raw features of groups of measures that have moments and paths: profile, burst, hand trip and shortest triple.
+
+    Moments are placed in time once for the hand trip and the triples; every part is partitioned by the keys."""
     out = profile(measures, keys)
     bursts = density.burst(measures, keys).select(*keys, "burst_density", "burst_note_count", "burst_seconds", F.col("start_measure").alias("burst_start_measure"), F.col("end_measure").alias("burst_end_measure"), "window_size")
-    hand = density.movement(density.moments_of(measures, keys, "hand"), keys, twelfths=True).select(*keys, F.col("total_distance").alias("_hand"))
-    tap = density.movement(density.moments_of(measures, keys, "all"), keys).select(*keys, F.col("total_distance").alias("tap_distance"))
+    moments = density.all_moments(measures, keys)
+    hand = density.movement(density.with_lanes(moments, "hand"), keys, twelfths=True).select(*keys, F.col("total_distance").alias("_hand"))
     slide = density.slide_movement(measures, keys).select(*keys, F.col("total_distance").alias("_slide"), "path_count")
-    triple = density.shortest_triple(density.moments_of(measures, keys, "taps"), keys).select(*keys, F.col("shortest_time_seconds").alias("tricky_shortest_time"))
-    for part in (bursts, hand, tap, slide, triple):
+    triple = density.shortest_triple(density.with_lanes(moments, "taps"), keys).select(*keys, F.col("shortest_time_seconds").alias("tricky_shortest_time"))
+    for part in (bursts, hand, slide, triple):
         out = out.join(part, keys, "left")
     trip = F.coalesce("_hand", F.lit(0.0)) + F.coalesce("_slide", F.lit(0.0))
-    return out.withColumns({"handtrip_density": stats.per_second(trip, "duration_seconds"), "tap_distance": F.coalesce("tap_distance", F.lit(0.0))}).drop("_hand", "_slide")
+    return out.withColumn("handtrip_density", stats.per_second(trip, "duration_seconds")).drop("_hand", "_slide")
 
 
 def baselines(features: DataFrame) -> DataFrame:

@@ -116,9 +116,10 @@ def segmentation(measures: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def assign(measures: DataFrame, segments: DataFrame) -> DataFrame:
-    """Measures with the segment_id of their section; both sides are partitioned by the chart."""
-    s = segments.select("chart_id", "segment_id", F.col("start_measure").alias("_from"), F.col("end_measure").alias("_to"))
-    return measures.join(s, "chart_id").where(F.col("idx").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+    """Measures with the segment_id of their section: one row of a section for each of its measures, joined by chart and measure."""
+    of = lambda c: F.col(c).cast(measures.schema["idx"].dataType)
+    s = segments.where("end_measure >= start_measure").select("chart_id", "segment_id", F.explode(F.sequence(of("start_measure"), of("end_measure"))).alias("idx"))
+    return measures.join(s, ["chart_id", "idx"]).select(*measures.columns, "segment_id")
 
 
 def thresholds(measures: DataFrame, chart: str = "chart_id") -> DataFrame:

@@ -223,30 +223,6 @@ def ring_distances(spark, sf_dir):
     return rows.select("a", "b", ring.ring_distance(F.col("a"), F.col("b")).alias("distance"), ring.direction(F.col("a"), F.col("b")).alias("direction"), ring.moment_distance(F.array("a", "b"), F.array(F.lit(1), F.lit(6))).alias("moment_distance"))
 
 
-def top_features(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z]+")).alias("token")).where("token <> ''")
-    n = d.groupBy("lang", "token").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))).where("place <= 20").select("lang", "token", "n", F.col("place").cast("bigint").alias("place"))
-
-
-def rhythm_fft(spark, sf_dir):
-    """A few bins of the spectrum of each chart's onsets by tick, from their definition."""
-    n = fixtures.notes(spark, sf_dir).select("chart_id", F.rint(F.col("sod") / 86400 * 383).cast("int").alias("tick")).groupBy("chart_id", "tick").agg(F.least(F.lit(1.0), F.count("*").cast("double")).alias("x"))
-    bins = spark.range(5).select((F.col("id") * 3).cast("int").alias("bin"))
-    angle = F.lit(-2 * 3.141592653589793) * F.col("bin") * F.col("tick") / 384
-    out = n.crossJoin(F.broadcast(bins)).groupBy("chart_id", "bin").agg((F.sum(F.col("x") * F.cos(angle)) / F.sqrt(F.lit(384.0))).alias("re"), (F.sum(F.col("x") * F.sin(angle)) / F.sqrt(F.lit(384.0))).alias("im"))
-    return rounded(out, "re", "im")
-
-
-def hand_load(spark, sf_dir):
-    """Each hand's share of single notes, by the chance that it plays their lane."""
-    from ..functions.pattern import RIGHT_HAND
-
-    right = F.try_element_at(F.create_map(*(x for k, v in RIGHT_HAND.items() for x in (F.lit(k), F.lit(v)))), F.col("lane"))
-    n = fixtures.notes(spark, sf_dir).groupBy("chart_id").agg(F.sum(right).alias("right_load"), F.sum(1 - right).alias("left_load"))
-    return rounded(n.withColumn("balance", F.abs(F.col("left_load") - F.col("right_load")) / (F.col("left_load") + F.col("right_load"))), "right_load", "left_load", "balance")
-
-
 def running_metrics(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.avg("l_discount").alias("loss"), F.avg("l_tax").alias("cosine"))
     return retrieval.weighted_means(li, ["loss", "cosine"]).select(F.round("loss", 9).alias("loss"), F.round("cosine", 9).alias("cosine"))
@@ -286,20 +262,6 @@ def table_check(spark, sf_dir):
     return integrity.table_check(chunk, index, seg, 64)
 
 
-def effective_tempo(spark, sf_dir):
-    """Beats per minute of each chart from its beats and seconds."""
-    m = fixtures.measures(spark, sf_dir)
-    return rounded(m.groupBy("chart_id").agg((F.sum("beats") * 60 / F.sum("duration_seconds")).alias("bpm")), "bpm")
-
-
-def each_pairs(spark, sf_dir):
-    """Distances of all pairs of notes in a group of at most eight, by size of the group."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 8 + 1).cast("int").alias("lane"))
-    groups = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "lane"))).alias("g"))
-    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: ring.ring_distance(x["lane"], y["lane"]))))
-    return groups.select(F.size("g").cast("bigint").alias("size"), F.explode(pairs).alias("distance")).groupBy("size", "distance").agg(F.count("*").alias("n"))
-
-
 SQL = {
     "dataset_summary": """WITH l AS (SELECT l_linenumber AS d, l_linenumber % 5 AS g FROM lineitem), a AS (SELECT d, count(*) AS n FROM l GROUP BY 1), b AS (SELECT g, count(*) AS n FROM l GROUP BY 1)
 SELECT count(*) AS record_count, count(DISTINCT l_orderkey) AS chart_count, count(DISTINCT l_suppkey) AS song_count, min(l_quantity) AS minimum_level, max(l_quantity) AS maximum_level,
@@ -308,9 +270,6 @@ SELECT count(*) AS record_count, count(DISTINCT l_orderkey) AS chart_count, coun
     "divider_summary": "SELECT count(DISTINCT p_partkey % 50) AS songs, count(*) AS charts, max(p_size * 20)::DOUBLE AS largest FROM part WHERE p_size * 20 > 384",
     "table_check": """WITH s AS (SELECT i // 5 AS c, max(i * 6) > 200 AS b, count(*) FILTER (i * 6 > 200) AS k FROM range(50) t(i) GROUP BY 1)
 SELECT count(*) AS rows, count(*) AS keys, 0::BIGINT AS bad_vectors, count(*) AS indexed, 0::BIGINT AS bad_charts, (SELECT sum(k) FROM s)::BIGINT AS bad_scores, false AS ok FROM embeddings""",
-    "effective_tempo": sql("notes measures", "SELECT chart_id, round(count(*) * 240 / sum(duration_seconds), 6) AS bpm FROM measures GROUP BY 1"),
-    "each_pairs": """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey % 8 + 1 AS lane, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 8) AS i, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem)
-SELECT a.size, least((a.lane - b.lane + 8) % 8, (b.lane - a.lane + 8) % 8)::DOUBLE AS distance, count(*) AS n FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.i < b.i GROUP BY 1, 2""",
     "chart_catalog_join": """SELECT o_orderkey, o_custkey || ':' || CASE WHEN o_orderkey % 2 = 0 THEN 'DX' ELSE 'ST' END || ':' || (o_orderkey % 2 + 5) AS chart_id,
   lpad(o_custkey::VARCHAR, 5, '0') || '_' || CASE WHEN o_orderkey % 2 = 0 THEN 'dx' ELSE 'st' END || '_' || (o_orderkey % 2 + 5) || '_' || regexp_replace(regexp_replace(c_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS chart_name,
   coalesce(c_mktsegment, 'none') AS genre FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 <> 0 AND trim(o_orderpriority) <> ''""",
@@ -366,18 +325,6 @@ SELECT p_partkey, len(l) AS n, list_max(l)::DOUBLE AS largest FROM d WHERE len(l
     "first_offsets": """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 4)::DOUBLE END AS song, CASE WHEN p_partkey % 2 = 0 THEN p_size / 8 END AS own FROM part)
 SELECT p_partkey, '5' AS difficulty, coalesce(own, song, 0)::DOUBLE AS first_seconds, CASE WHEN own IS NOT NULL THEN 'first_5' WHEN song IS NOT NULL THEN 'first' ELSE 'default' END AS origin FROM p
 UNION ALL SELECT p_partkey, '6', coalesce(song, 0)::DOUBLE, CASE WHEN song IS NOT NULL THEN 'first' ELSE 'default' END FROM p""",
-    "top_features": """WITH d AS (SELECT lang, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+')) AS token FROM documents), n AS (SELECT lang, token, count(*) AS n FROM d WHERE token <> '' GROUP BY 1, 2)
-SELECT lang, token, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS place FROM n QUALIFY place <= 20""",
-    "rhythm_fft": sql(
-        "notes",
-        """, t AS (SELECT chart_id, round_even(sod / 86400 * 383, 0)::INT AS tick, 1.0::DOUBLE AS x FROM notes GROUP BY 1, 2)
-SELECT chart_id, (k * 3)::INT AS bin, round(sum(x * cos(-2 * pi() * (k * 3) * tick / 384)) / sqrt(384), 6) AS re, round(sum(x * sin(-2 * pi() * (k * 3) * tick / 384)) / sqrt(384), 6) AS im FROM t, range(5) b(k) GROUP BY 1, 2""",
-    ),
-    "hand_load": sql(
-        "notes",
-        """, r AS (SELECT chart_id, list_value(0.75, 0.9, 0.9, 0.75, 0.25, 0.1, 0.1, 0.25)[lane]::DOUBLE AS p FROM notes)
-SELECT chart_id, round(sum(p), 6) AS right_load, round(sum(1 - p), 6) AS left_load, round(abs(sum(1 - p) - sum(p)) / count(*), 6) AS balance FROM r GROUP BY 1""",
-    ),
     "running_metrics": "SELECT round(avg(l_discount), 9) AS loss, round(avg(l_tax), 9) AS cosine FROM lineitem",
 }
 SQL["rank_metrics"] = (
@@ -387,6 +334,6 @@ SQL["rank_metrics"] = (
 QUERIES = (
     chart_catalog_join, song_ids, chart_kinds, charter_categories, key_integrity, key_duplicates, missing_patterns, mapping_equality, fk_containment, record_join, upsert, split_leakage, split_summary, pp_spread,
     exclude_low, sample_records, disjoint_batches, greedy_select, disjoint_split, vector_normalize, cosine_pairs, retrieval_ranks, rank_metrics, shifted_cosine, stat_pooling, infonce_loss, signed_log_block,
-    svd_singular_values, svd_vectors, sparsity, sha1_keys, safe_names, large_dividers, chart_fields, first_offsets, ring_distances, top_features, rhythm_fft, hand_load, running_metrics, dataset_summary, category_totals, divider_summary,
-    greedy_splits, table_check, effective_tempo, each_pairs,
+    svd_singular_values, svd_vectors, sparsity, sha1_keys, safe_names, large_dividers, chart_fields, first_offsets, ring_distances, running_metrics, dataset_summary, category_totals, divider_summary,
+    greedy_splits, table_check,
 )
