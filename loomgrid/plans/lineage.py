@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the folder all executors share and read it from there; the files go when the driver's JVM ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path below the folder that all executors share; it goes when the driver's JVM ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not root:  # tests and local runs
-        root = tempfile.mkdtemp(prefix="loomgrid-")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="loomgrid-")  # tests and local runs
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write df once to the folder all executors share and read it from there."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
