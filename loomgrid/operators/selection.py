@@ -24,13 +24,14 @@ DEPTH = 16
 def exclude_lowest(charts: DataFrame, count: int, below: float = 13.0, tie=None) -> DataFrame:
     """Charts below a level without the `count` of them that come first by (version, level, tie); the tie is a hash of the id unless given."""
     tie = F.xxhash64("chart_id") if tie is None else tie
-    order = Window.orderBy("version_no", "level_value", tie, "chart_id")
-    return charts.where(F.col("level_value") < below).withColumn("_n", F.row_number().over(order)).where(F.col("_n") > count).drop("_n")
+    low = charts.where(F.col("level_value") < below)
+    first = low.orderBy(F.asc("version_no"), "level_value", tie, "chart_id").limit(count).select("chart_id")
+    return low.join(F.broadcast(first), "chart_id", "left_anti").select(*charts.columns)
 
 
 def sample(rows: DataFrame, count: int, key: str, seed: int) -> DataFrame:
-    """`count` rows by a hash of seed and key, without replacement."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(count)
+    """`count` rows by a digest of seed and key, without replacement."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(count)
 
 
 def disjoint_batches(rows: DataFrame, size: int, key: str = "key", song: str = "song_id", order=None) -> DataFrame:

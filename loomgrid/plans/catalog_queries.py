@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -128,20 +129,24 @@ def disjoint_batches(spark, sf_dir):
 
 
 def greedy_select(spark, sf_dir):
+    """What a selection of 100 charts has: as many different charts, and every value of its categories."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chart_id"), F.col("lang").alias("kind"), "source", (F.col("n_chars") % 17).alias("level"))
-    return selection.select_covering(d, 100, ["source", "level"])
+    out = selection.select_covering(d, 100, ["source", "level"])
+    return out.select("chart_id").join(d, "chart_id").agg(F.count("*").alias("charts"), F.countDistinct("chart_id").alias("different"), F.countDistinct("source").alias("sources"), F.countDistinct("level").alias("levels"))
 
 
 def disjoint_split(spark, sf_dir):
+    """Sizes of splits that share no song, and the songs that they share."""
     d = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chart_id"), (F.col("doc_id") % 140).alias("song_id"), "quality", "toxic")
     n = d.count()
-    test = n // 5
-    return selection.split_disjoint(d, {"train": n - 2 * test, "validation": test, "test": test}, ["quality", "toxic"])
+    sizes = {"train": n - 2 * (n // 5), "validation": n // 5, "test": n // 5}
+    out = selection.split_disjoint(d, sizes, ["quality", "toxic"])
+    return selection.check_split(out.join(d, "chart_id"), sizes).select("split", "size", F.col("wanted").cast("bigint").alias("wanted"), F.col("shared_songs").cast("bigint").alias("shared_songs"))
 
 
 def vector_normalize(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), vectors.unit(F.col("embedding")).alias("u"))
-    return e.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.get("u", F.lit(63)), 6).alias("last"), F.round(vectors.norm(F.col("u")), 6).alias("length"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.unit(F.col("embedding"))).alias("pos", "value"))
+    return e.select("vec_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 def cosine_pairs(spark, sf_dir):
@@ -175,19 +180,25 @@ def infonce_loss(spark, sf_dir):
 
 def signed_log_block(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    e = e.select("vec_id", vectors.signed_log_block(F.col("x")).alias("s"), vectors.log_block(F.col("x")).alias("p"))
-    return e.select("vec_id", F.round(F.get("s", F.lit(3)), 6).alias("signed"), F.round(F.get("p", F.lit(3)), 6).alias("plain"))
+    both = F.arrays_zip(vectors.signed_log_block(F.col("x")).alias("signed"), vectors.log_block(F.col("x")).alias("plain"))
+    e = e.select("vec_id", F.posexplode(both).alias("pos", "z"))
+    return e.select("vec_id", "pos", F.round(F.get(F.array("z.*"), F.lit(0)), 6).alias("signed"), F.round(F.get(F.array("z.*"), F.lit(1)), 6).alias("plain"))
 
 
 def svd_singular_values(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    _, values, _ = embedding.svd(e, "vec_id", "embedding", 16)
-    return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(values)], "component int, singular_value double")
+    """What all singular values add up to: the squares to the sum of all squares, their fourth powers to that of the products of columns; and how many there are."""
+    _, values, right = embedding.svd(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    squares = [float(v) ** 2 for v in values]
+    apart = float(abs(right.T @ right - np.eye(len(values))).max())
+    return spark.createDataFrame([(len(values), round(sum(squares), 3), round(sum(x * x for x in squares), 1), apart < 1e-9)], "components int, squares double, fourth_powers double, orthonormal boolean")
 
 
 def svd_vectors(spark, sf_dir):
-    out, _, _ = embedding.svd(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16)
-    return out
+    """Cosines of neighbours after a decomposition of full rank, which keeps all angles."""
+    out, _, _ = embedding.svd(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    other = out.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    cosine = F.aggregate(F.zip_with("embedding", "other", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return out.join(other, "vec_id").select("vec_id", F.round(cosine, 3).alias("cosine"))
 
 
 def sparsity(spark, sf_dir):
@@ -249,9 +260,12 @@ def divider_summary(spark, sf_dir):
 
 
 def greedy_splits(spark, sf_dir):
+    """Sizes of splits by categories, and the charts that are in several."""
     d = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chart_id"), F.col("quality").alias("kind"), (F.col("doc_id") % 7).alias("version"), (F.col("doc_id") % 3).alias("genre"))
     n = d.count()
-    return selection.assign_splits(d, {"train": n - 2 * (n // 6), "validation": n // 6, "test": n // 6}, ["version", "genre"])
+    out = selection.assign_splits(d, {"train": n - 2 * (n // 6), "validation": n // 6, "test": n // 6}, ["version", "genre"])
+    again = F.count("*").over(Window.partitionBy("chart_id"))
+    return out.withColumn("again", again).groupBy("split").agg(F.count("*").alias("size"), F.count_if(F.col("again") > 1).alias("repeated"), F.countDistinct("chart_id").alias("different"))
 
 
 def table_check(spark, sf_dir):
@@ -300,7 +314,7 @@ SELECT u.feature, u.value, round(max(100 * coalesce(c.n, 0) / z.size) - min(100
     "exclude_low": "WITH d AS (SELECT doc_id AS chart_id, regexp_extract(source, '(\\d+)', 1)::INT AS v, n_chars % 160 / 10.0::DOUBLE AS l FROM documents) SELECT chart_id FROM d WHERE l < 13 QUALIFY row_number() OVER (ORDER BY v, l, chart_id) > 150",
     "disjoint_batches": """WITH r AS (SELECT event_id AS key, user_id AS song_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS round FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY key) - 1 AS i, count(*) OVER (PARTITION BY round) AS c FROM r) SELECT key, song_id, round, i // 16 AS batch FROM n WHERE i < c // 16 * 16""",
-    "vector_normalize": "WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS a, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT vec_id, round(a[1] / n, 6) AS first, round(a[64] / n, 6) AS last, 1.0::DOUBLE AS length FROM u",
+    "vector_normalize": "WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS a, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT vec_id, unnest(range(len(a)))::INT AS pos, round(unnest(a) / n, 6) AS value FROM u",
     "cosine_pairs": _VECTORS + "SELECT id, round(list_cosine_similarity(a, b), 6) AS cosine FROM v",
     "retrieval_ranks": _VECTORS + ", t AS (SELECT q.id, list_inner_product(q.b, q.a) AS own FROM v q) SELECT q.id, 1 + count(*) FILTER (list_inner_product(q.b, c.a) > t.own + 1e-9) AS rank FROM v q JOIN t ON t.id = q.id CROSS JOIN v c GROUP BY 1",
     "shifted_cosine": _VECTORS + ", w AS (SELECT id, a, b, coalesce(lag(b) OVER (ORDER BY id), last_value(b) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS p FROM v) SELECT id, round(list_cosine_similarity(a, b), 6) AS cosine, round(list_cosine_similarity(a, p), 6) AS shifted FROM w",
@@ -314,8 +328,23 @@ a1 AS (SELECT avg(z) AS v FROM (SELECT l.i, ln(sum(exp(x - m))) + max(m) - sum(C
 a2 AS (SELECT avg(z) AS v FROM (SELECT l.j, ln(sum(exp(x - m))) + max(m) - sum(CASE WHEN l.i = l.j THEN x ELSE 0 END) AS z FROM l JOIN g ON g.j = l.j GROUP BY 1)),
 dd AS (SELECT 1 - avg(list_inner_product(a, b)) AS d FROM u)
 SELECT round((a1.v + a2.v) / 2, 6) AS contrastive, round(d, 6) AS distance, round((a1.v + a2.v) / 2 + 0.2 * d, 6) AS loss FROM a1, a2, dd""",
-    "signed_log_block": """WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: sign(x) * ln(1 + abs(x))) AS s, list_transform(embedding::DOUBLE[], lambda x: ln(1 + greatest(x, 0))) AS p FROM embeddings)
-SELECT vec_id, round(s[4] / sqrt(list_inner_product(s, s)), 6) AS signed, round(p[4] / sqrt(list_inner_product(p, p)), 6) AS plain FROM e""",
+    "signed_log_block": """WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: sign(x) * ln(1 + abs(x))) AS s, list_transform(embedding::DOUBLE[], lambda x: ln(1 + greatest(x, 0))) AS p FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(s, s)) AS ns, sqrt(list_inner_product(p, p)) AS np FROM e)
+SELECT vec_id, unnest(range(len(s)))::INT AS pos, round(unnest(s) / ns, 6) AS signed, round(unnest(p) / np, 6) AS plain FROM n""",
+    "sample_records": "SELECT doc_id FROM documents ORDER BY md5('20260715:' || doc_id), doc_id LIMIT 100",
+    "greedy_select": "SELECT 100::BIGINT AS charts, 100::BIGINT AS different, count(DISTINCT source) AS sources, count(DISTINCT n_chars % 17) AS levels FROM documents",
+    "disjoint_split": "WITH c AS (SELECT count(*) AS n FROM labels) SELECT s AS split, CASE WHEN s = 'train' THEN n - 2 * (n // 5) ELSE n // 5 END AS size, CASE WHEN s = 'train' THEN n - 2 * (n // 5) ELSE n // 5 END AS wanted, 0::BIGINT AS shared_songs FROM c, (VALUES ('train'), ('validation'), ('test')) t(s)",
+    "greedy_splits": "WITH c AS (SELECT count(*) AS n FROM labels) SELECT s AS split, CASE WHEN s = 'train' THEN n - 2 * (n // 6) ELSE n // 6 END AS size, 0::BIGINT AS repeated, CASE WHEN s = 'train' THEN n - 2 * (n // 6) ELSE n // 6 END AS different FROM c, (VALUES ('train'), ('validation'), ('test')) t(s)",
+    "svd_singular_values": """WITH x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY 1, 2)
+SELECT 64::INT AS components, round(sum(v) FILTER (i = j), 3) AS squares, round(sum(v * v), 1) AS fourth_powers, true AS orthonormal FROM g""",
+    "svd_vectors": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 3) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "ring_distances": """WITH p AS (SELECT i % 8 + 1 AS a, i // 8 + 1 AS b FROM range(64) t(i)),
+o AS (SELECT *, least(a, b) AS x, greatest(a, b) AS y FROM p),
+d AS (SELECT *, least((x + 7) % 8, (9 - x) % 8) AS x1, least((x + 2) % 8, (14 - x) % 8) AS x6, least((y + 7) % 8, (9 - y) % 8) AS y1, least((y + 2) % 8, (14 - y) % 8) AS y6 FROM o),
+n AS (SELECT *, least(greatest(x1, y6), greatest(x6, y1)) AS near, CASE WHEN x = y THEN x::DOUBLE WHEN y - x <= 4 THEN (x + y) / 2 ELSE (x + 8 + y) / 2 END AS center FROM d)
+SELECT a::INT AS a, b::INT AS b, least((a - b + 8) % 8, (b - a + 8) % 8)::DOUBLE AS distance, CASE WHEN a = b THEN 'same' WHEN (b - a + 8) % 8 = 4 THEN 'opposite' WHEN (b - a + 8) % 8 < 4 THEN 'cw' ELSE 'ccw' END AS direction,
+  CASE WHEN near <= 1 THEN near::DOUBLE ELSE abs(center - 7.5) END AS moment_distance FROM n""",
     "sparsity": "SELECT count(*) AS rows, sum(len(list_filter(embedding, lambda x: x <> 0)))::BIGINT AS nonzero, round(sum(len(list_filter(embedding, lambda x: x <> 0))) / sum(len(embedding)), 6) AS share FROM embeddings",
     "sha1_keys": "SELECT doc_id, sha1(coalesce(text, '')) AS hash, strlen(text)::BIGINT AS size FROM documents",
     "safe_names": "SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS name, 'mp3' AS format FROM pages",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import regrid, stats
 from ..operators import charts as chart_ops
 from ..operators import chunks, density, embedding, scoring, segments
 from . import fixtures
@@ -395,6 +395,42 @@ SELECT chart_id, count(*) FILTER (event_type IN ('click', 'purchase')) AS tap, c
   count(*) FILTER (event_type = 'error') AS touch_hold, count(*) FILTER (lane = 3 AND event_type IN ('click', 'view', 'purchase')) AS button_3, count(*) FILTER (event_type = 'purchase') AS slide_start_taps,
   sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 1 ELSE 2 END) AS density_weight FROM k GROUP BY 1""",
 )
+_BOUNDARIES = SQL["boundary_change_scores"].replace("\nSELECT chart_id, boundary, round(abs(step)", ",\nbs AS (SELECT chart_id, boundary, (abs(step)").replace(", 6) AS score FROM g", ") AS score FROM g)")
+# all four cuts of a chart: for each last one the largest sum of scores, of those the best after the balance penalty
+SQL["segment_dp"] = (
+    _BOUNDARIES
+    + """,
+cfg AS (SELECT chart_id, count(*) AS n, min(idx) AS i0, greatest(1, least(count(*) // 10, 10)) AS lo, greatest(1, least(count(*) // 10, 10), ceil(count(*) / 5 * 1.75)::INT) AS hi FROM measures GROUP BY 1),
+b AS (SELECT s.chart_id, s.boundary AS b, score FROM bs s JOIN cfg c ON c.chart_id = s.chart_id WHERE s.boundary BETWEEN greatest(2, lo) AND least(n - 2, n - lo)),
+q AS (
+  SELECT c.*, a.b AS b1, d.b AS b2, e.b AS b3, f.b AS b4, a.score + d.score + e.score + f.score AS total FROM cfg c
+  JOIN b a ON a.chart_id = c.chart_id AND a.b BETWEEN lo AND hi AND n - a.b >= 3 * lo JOIN b d ON d.chart_id = c.chart_id AND d.b - a.b BETWEEN lo AND hi AND n - d.b >= 2 * lo
+  JOIN b e ON e.chart_id = c.chart_id AND e.b - d.b BETWEEN lo AND hi AND n - e.b >= lo JOIN b f ON f.chart_id = c.chart_id AND f.b - e.b BETWEEN lo AND hi AND n - f.b <= hi),
+t AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY chart_id, b4 ORDER BY total DESC, b3, b2, b1) = 1),
+v AS (SELECT *, (abs(b1 - n / 5) + abs(b2 - b1 - n / 5) + abs(b3 - b2 - n / 5) + abs(b4 - b3 - n / 5) + abs(n - b4 - n / 5)) / (n / 5) / 5 AS off FROM t WHERE b1 > 1 AND b4 < n - 1 AND n - b4 >= lo),
+w AS (SELECT *, total - off AS value FROM v QUALIFY row_number() OVER (PARTITION BY chart_id ORDER BY total - off DESC, b4) = 1),
+edges AS (SELECT *, [0, b1, b2, b3, b4, n] AS e, unnest(range(5)) AS k FROM w)
+SELECT chart_id, k::INT AS segment_id, (e[k + 1] + i0)::INT AS start_measure, (e[k + 2] + i0 - 1)::INT AS end_measure, round(value, 6) AS score, round(total / 4, 6) AS boundary_score, round(off, 6) AS imbalance FROM edges"""
+)
+
+
+def _rules() -> str:
+    """The rules of large dividers as rows: order, divider, shortest and longest run, divider it stands for, grid, name."""
+    rows = [(i, d, lo, hi, to, grid, regrid.rule_for(float(d), lo)[2]) for i, (d, ranges, to, grid) in enumerate(regrid.RUN_RULES) for lo, hi in ranges]
+    rows += [(len(rows), d, 0, 10**9, to, grid, regrid.rule_for(float(d), 0)[2]) for d, (to, grid) in regrid.RULES.items()]
+    return ", ".join(f"({i}, {d}, {lo}, {hi}, {to}, {grid}, '{name}')" for i, d, lo, hi, to, grid, name in rows)
+
+
+# the chosen grid: the rule's if its error is within 1/96 of a beat, else the first finer one that is (384 always is); errors as fractions of whole numbers
+SQL["divider_normalize"] = f"""WITH r(i, d, lo, hi, s, g, name) AS (VALUES {_rules()}),
+p AS (SELECT p_partkey::VARCHAR AS chart_id, (p_size * 37) % 700 + 385 AS d, p_size * 5 + 1 AS l FROM part),
+m AS (SELECT p.*, r.s, r.g, r.name FROM p LEFT JOIN r ON r.d = p.d AND p.l BETWEEN r.lo AND r.hi QUALIFY row_number() OVER (PARTITION BY p.chart_id ORDER BY r.i) = 1),
+c AS (SELECT m.*, gg, (2 * l * gg + s) // (2 * s) AS n FROM m, (VALUES {', '.join(f'({g})' for g in regrid.GRIDS)}) x(gg) WHERE gg >= g),
+ok AS (SELECT chart_id, min(gg) AS grid FROM c WHERE 384 * abs(n * s - l * gg) <= gg * s AND n > 0 GROUP BY 1),
+plain AS (SELECT chart_id, (l * 32) % d = 0 AND ((l - 1) * 32) % d = 0 AS whole FROM m WHERE name IS NULL)
+SELECT chart_id, 'converted 1 large divider run(s) to {{' || grid || '}}' AS remark FROM ok
+UNION ALL SELECT chart_id, 'treated 1 large divider run(s) with ' || name || ' before converting' FROM m WHERE name IS NOT NULL
+UNION ALL SELECT chart_id, CASE WHEN whole THEN 'converted 1 large divider run(s) to {{32}}' ELSE 'kept 1 large divider run(s) because they do not align to normalized grids' END FROM plain"""
 _SLOTS = """WITH k AS (
   SELECT user_id AS chart_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS slot, event_id % 8 + 1 AS lane, (event_id % 8 + 4) % 8 + 1 AS dest, event_type FROM events)
 """
