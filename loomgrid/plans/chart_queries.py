@@ -484,6 +484,35 @@ SQL["relative_scores"] = (
     + ", ".join(f"round({v}, 6) AS {n}_score" for n, v in _scores({k: f"p_{k}" for k in _MARKS}).items()) + " FROM marked"
 )
 
+# the whole chain from chart text: measures of four events, their cuts, the sections' labels, and their scores by the percentiles of the charts
+_TEXT_MEASURES = """raw_measures AS (
+  SELECT chart_id, idx, count(*) * 0.5::DOUBLE AS duration_seconds, count(*)::DOUBLE AS beats, count(*) FILTER (event_type IN ('click', 'purchase')) AS tap, count(*) FILTER (event_type = 'view') AS hold,
+         count(*) FILTER (event_type = 'purchase') AS slide, count(*) FILTER (event_type = 'signup') AS touch, count(*) FILTER (event_type = 'error') AS touch_hold,
+         sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END) AS non_touch_density_weight, sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 1 ELSE 2 END) AS density_weight
+  FROM notes GROUP BY 1, 2),
+measures AS (SELECT *, non_touch_density_weight / duration_seconds AS non_touch_density, density_weight / duration_seconds AS density FROM raw_measures),
+starts AS (
+  SELECT chart_id, idx, coalesce(sum(duration_seconds) OVER w, 0) AS s0, coalesce(sum(beats) OVER w, 0) AS b0 FROM measures WINDOW w AS (PARTITION BY chart_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+moments AS (SELECT n.*, s0 + pos * 0.5::DOUBLE AS time_seconds, b0 + pos AS beat FROM notes n JOIN starts s ON n.chart_id = s.chart_id AND n.idx = s.idx)"""
+_TEXT_FEATURES = (_TEXT_MEASURES + ",\n" + ",\n".join(fixtures.CTE[c] for c in ("burst", "profile", "hand", "triple", "features"))).replace("(n_all < 4 AND idx = 1)", "(n_all < 4 AND idx = i0)").replace(
+    "count(*) OVER (PARTITION BY chart_id) AS n_all", "count(*) OVER (PARTITION BY chart_id) AS n_all, min(idx) OVER (PARTITION BY chart_id) AS i0"
+)
+_cuts = SQL["segment_dp"].split("measures AS (", 1)[1]
+_cuts = _cuts[_cuts.index(", f AS (") : _cuts.index("\nSELECT chart_id, k::INT")]
+_labels = SQL["density_state_labels"]
+_labels = _labels[_labels.index(", sm AS (") :].replace("\nSELECT chart_id, segment_id, CASE WHEN mean", ",\nlabelled AS (SELECT chart_id, segment_id, CASE WHEN mean")
+_labels = _labels[: _labels.index(",\n  round(mean, 6)")] + " FROM z)"
+SQL["segmentation_reports"] = (
+    "WITH k AS (SELECT user_id AS chart_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS slot, event_id % 8 + 1 AS lane, event_type FROM events),\n"
+    "all_notes AS (SELECT chart_id, slot // 4 + 1 AS idx, slot % 4 AS pos, slot AS event_id, lane, 120.0::DOUBLE AS bpm, event_type FROM k),\nnotes AS (SELECT * FROM all_notes),\n"
+    + _TEXT_FEATURES + ",\n" + fixtures.CTE["base"] + ",\ncut_edges AS (WITH " + _cuts.lstrip(", ") + " SELECT * FROM edges)"
+    + ",\nseg AS (SELECT chart_id, k::INT AS segment_id, e[k + 1] + i0 AS start_measure, e[k + 2] + i0 - 1 AS end_measure FROM cut_edges),\n"
+    + "sections AS (SELECT m.*, segment_id FROM measures m JOIN seg s ON s.chart_id = m.chart_id AND m.idx BETWEEN start_measure AND end_measure)" + _THRESHOLDS + _labels
+    + ",\nsection_features AS (WITH notes AS (SELECT n.* REPLACE (n.chart_id * 10 + segment_id AS chart_id) FROM all_notes n JOIN seg s ON s.chart_id = n.chart_id AND n.idx BETWEEN start_measure AND end_measure),\n" + _TEXT_FEATURES + " SELECT * FROM features)"
+    + ",\nscored AS (SELECT chart_id // 10 AS chart_id, (chart_id % 10)::INT AS segment_id, start_measure, end_measure, " + ", ".join(f"{v} AS {n}_score" for n, v in _scores(_GLOBAL).items()) + " FROM section_features, base)"
+    + "\nSELECT s.chart_id::VARCHAR AS chart_id, s.segment_id, start_measure, end_measure, label, has_burst, " + ", ".join(f"round({n}_score, 6) AS {n}_score" for n in stats.SCORES) + " FROM scored s JOIN labelled l ON l.chart_id = s.chart_id AND l.segment_id = s.segment_id"
+)
+
 #: Sums that DuckDB widens are long integers here as well.
 for _name, _columns in {
     "peak_burst_score": "burst_note_count", "note_mix": "hold_count total", "range_density": "weighted_sum", "slide_distance": "path_count", "triple_tap_window": "deduplicated_count",
