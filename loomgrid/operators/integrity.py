@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, vectors
+from .numbering import numbered
 
 
 def catalog(charts: DataFrame, songs: DataFrame) -> DataFrame:
@@ -103,14 +104,16 @@ SINGLE, SHARED, UNRECOGNISED, UNSIGNED = "个人谱师", "多人合作谱", "未
 def song_ids(charts: DataFrame) -> DataFrame:
     """Songs (title_key, artist_key) numbered from 1 in the order of their earliest version, with the attributes of that chart.
 
-    Groups are few (songs); only they are numbered over the whole table."""
+    Songs are numbered over ranges of their order, so no task holds them all."""
     from ..functions import text
 
     rows = charts.withColumns({"title_key": text.song_title(F.col("title")), "artist_key": text.artist_key(F.col("artist")), "version_no": text.version_number(F.col("version"))})
     first = F.min_by(F.struct("title", "artist", "version"), F.struct("version_no", "version", "title", "artist"))
     songs = rows.groupBy("title_key", "artist_key").agg(F.min(F.struct("version_no", F.coalesce("version", F.lit("")).alias("version"))).alias("v"), first.alias("f"), F.count("*").alias("chart_count"))
-    order = Window.orderBy("v.version_no", "v.version", "title_key", "artist_key")
-    return songs.select(F.row_number().over(order).alias("song_id"), "title_key", "artist_key", F.col("f.title").alias("title"), F.col("f.artist").alias("artist"), F.col("v.version").alias("version"), "chart_count")
+    flat = songs.select("v.version_no", F.col("v.version").alias("version"), "title_key", "artist_key", F.col("f.title").alias("title"), F.col("f.artist").alias("artist"), "chart_count")
+    order = [F.col("version_no").asc_nulls_first(), "version", F.col("title_key").asc_nulls_first(), F.col("artist_key").asc_nulls_first()]
+    return numbered(flat, order).select((F.col("n") + 1).cast("int").alias("song_id"), "title_key", "artist_key", "title", "artist", "version", "chart_count")
+
 
 
 def charter_category(charts: DataFrame, aliases: DataFrame, credits: DataFrame, unknown: DataFrame) -> DataFrame:

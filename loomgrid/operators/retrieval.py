@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..plans.lineage import cut
+from .numbering import numbered
 
 BLOCK = 2048
 
@@ -50,11 +52,10 @@ def shifted_cosine(pairs: DataFrame, order: str, a: str = "a", b: str = "b") ->
     """Cosine of each row's a with its own b and with the b of the row before (the first: of the last).
 
     Rows are numbered by their order, and the row before is found by that number, so the vectors are joined, not gathered."""
-    w = Window.orderBy(order)
-    place = pairs.select(order).withColumn("_n", F.row_number().over(w))
+    place = cut(numbered(pairs.select(order), [order], "_n"), "places")
     rows = pairs.join(place, order)
     total = place.count()
-    before = rows.select((F.when(F.col("_n") == total, 1).otherwise(F.col("_n") + 1)).alias("_n"), F.col(b).alias("_before"))
+    before = rows.select(F.pmod(F.col("_n") + 1, F.lit(total)).alias("_n"), F.col(b).alias("_before"))
     out = rows.join(before, "_n")
     return out.select(order, vectors.cosine(F.col(a), F.col(b)).alias("cosine"), vectors.cosine(F.col(a), F.col("_before")).alias("shifted"))
 

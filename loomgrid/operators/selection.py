@@ -17,6 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from .numbering import numbered
+
 #: First keys of a combination that are fetched at once; if a choice needs more, four times as many.
 DEPTH = 16
 
@@ -35,12 +38,20 @@ def sample(rows: DataFrame, count: int, key: str, seed: int) -> DataFrame:
 
 
 def disjoint_batches(rows: DataFrame, size: int, key: str = "key", song: str = "song_id", order=None) -> DataFrame:
-    """Batches without two rows of a song: the k-th row of every song is in round k, rounds are cut into whole batches, what is left over is dropped."""
+    """Batches without two rows of a song: the k-th row of every song is in round k, rounds are cut into whole batches, what is left over is dropped.
+
+    Rows are numbered over ranges of (song, order), then of (round, order); a song or a round with a large share of the rows is spread over many tasks."""
     order = F.xxhash64(key) if order is None else order
-    rows = rows.withColumn("round", F.row_number().over(Window.partitionBy(song).orderBy(order, key)))
-    by_round = Window.partitionBy("round")
-    rows = rows.withColumns({"_n": F.row_number().over(by_round.orderBy(order, key)) - 1, "_all": F.count("*").over(by_round)})
-    return rows.where(F.col("_n") < F.floor(F.col("_all") / size) * size).withColumn("batch", F.floor(F.col("_n") / size)).drop("_n", "_all")
+
+    def within(df: DataFrame, by: str, name: str) -> DataFrame:
+        """Places from 0 within each value of `by`, and the number of its rows."""
+        placed = cut(numbered(df.withColumn("_o", order), [F.asc_nulls_first(by), "_o", key], "_n").drop("_o"), "places")
+        firsts = placed.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_first"), F.count("*").alias("_all"))
+        return placed.join(firsts, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.col("_n") - F.col("_first")).drop("_by", "_n", "_first")
+
+    rounds = within(rows, song, "_k").withColumn("round", F.col("_k") + 1).drop("_k", "_all")
+    placed = within(rounds, "round", "_k")
+    return placed.where(F.col("_k") < F.floor(F.col("_all") / size) * size).withColumn("batch", F.floor(F.col("_k") / size)).drop("_k", "_all")
 
 
 def kind_targets(counts: dict[str, int], size: int) -> dict[str, int]:
@@ -170,7 +181,8 @@ def assign_splits(charts: DataFrame, sizes: dict[str, int], categories: list[str
 
 
 #: Weights of the features that a split should share out evenly.
-SPLIT_WEIGHTS = {"version": 8.0, "difficulty": 12.0, "level": 6.0, "version_difficulty": 3.0, "chart_kind": 2.0}
+LEAST_TOTAL = 10  # differences are shares of a value's total, of so many at least
+SPLIT_WEIGHTS = {"chunk_count": 4.0, "version": 8.0, "difficulty": 12.0, "level": 6.0, "version_difficulty": 3.0, "chart_kind": 2.0}
 
 
 def exact_sum(items: list[int], weights: list[int], total: int) -> list[int]:
@@ -215,26 +227,29 @@ def split_disjoint(charts: DataFrame, sizes: dict[str, int], features: list[str]
         for f in features:
             held[split][f].update(contents[i][f])
 
-    def off(split: str) -> float:
-        share = sizes[split] / n
-        return sum(SPLIT_WEIGHTS.get(f, 1.0) * abs(held[split][f][v] - totals[f][v] * share) for f in features for v in totals[f])
-
+    def gain(split: str, out: int, into: int) -> float:
+        """How much nearer to its share a split comes if one song takes the place of another; only their values count."""
+        share, total = sizes[split] / n, 0.0
+        for f in features:
+            for v in contents[out][f].keys() | contents[into][f].keys():
+                now = held[split][f][v] - totals[f][v] * share
+                total += SPLIT_WEIGHTS.get(f, 1.0) * (abs(now) - abs(now + contents[into][f][v] - contents[out][f][v])) / max(totals[f][v], LEAST_TOTAL)
+        return total
+
+    alike: dict[int, list[int]] = {}
+    for i in order:
+        alike.setdefault(weight[i], []).append(i)
     for _ in range(rounds):
         moved = False
-        for i in order:
-            for j in order:
-                a, b = of[i], of[j]
-                if i < j and a != b and weight[i] == weight[j]:
-                    before = off(a) + off(b)
-                    for f in features:
-                        held[a][f].subtract(contents[i][f]), held[a][f].update(contents[j][f])
-                        held[b][f].subtract(contents[j][f]), held[b][f].update(contents[i][f])
-                    if off(a) + off(b) < before - 1e-9:
+        for own in alike.values():
+            for x, i in enumerate(own):
+                for j in own[x + 1 :]:
+                    a, b = of[i], of[j]
+                    if a != b and gain(a, i, j) + gain(b, j, i) > 1e-9:
                         of[i], of[j], moved = b, a, True
-                    else:
                         for f in features:
-                            held[a][f].update(contents[i][f]), held[a][f].subtract(contents[j][f])
-                            held[b][f].update(contents[j][f]), held[b][f].subtract(contents[i][f])
+                            held[a][f].subtract(contents[i][f]), held[a][f].update(contents[j][f])
+                            held[b][f].subtract(contents[j][f]), held[b][f].update(contents[i][f])
         if not moved:
             break
     schema = charts.select(F.col(song).alias("_song"), F.lit("").alias("split")).schema

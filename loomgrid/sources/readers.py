@@ -55,12 +55,14 @@ def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema + ", _corrupt string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("path", F.input_file_name())
 
 
-def exported_measures(spark: SparkSession, path: str) -> DataFrame:
-    """Measures of exported chart documents: chart_id, idx, start_seconds, end_seconds, duration_seconds, beats, bpm, text."""
+def exported_measures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Measures of exported chart documents, and (path, error) of documents that do not parse: chart_id, idx, start_seconds, end_seconds, duration_seconds, beats, bpm, text."""
     schema = "song struct<song_id:bigint,title:string>, chart struct<chart_kind:string,difficulty_index:int,level:string>, measures array<struct<index:int,start_seconds:double,end_seconds:double,duration_seconds:double,beats:double,bpm:double,simai:string>>"
-    rows = documents(spark, path, schema).where("_corrupt is null")
+    read = documents(spark, path, schema)
+    bad = read.where("_corrupt is not null and measures is null").select("path", F.lit("does not parse").alias("error"))
+    rows = read.where("measures is not null")
     rows = rows.select(text.chart_id(F.col("song.song_id"), F.col("chart.chart_kind"), F.col("chart.difficulty_index")).alias("chart_id"), F.col("chart.level").alias("level"), F.explode("measures").alias("m"))
-    return rows.select("chart_id", "level", F.col("m.index").alias("idx"), "m.start_seconds", "m.end_seconds", "m.duration_seconds", "m.beats", "m.bpm", F.col("m.simai").alias("text"))
+    return rows.select("chart_id", "level", F.col("m.index").alias("idx"), "m.start_seconds", "m.end_seconds", "m.duration_seconds", "m.beats", "m.bpm", F.col("m.simai").alias("text")), bad
 
 
 def chart_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -42,10 +42,10 @@ def measure_csv(measures: DataFrame, path: str) -> None:
 
 
 def split_csv(rows: DataFrame, root: str, order: list[str]) -> None:
-    """One sorted CSV file for each split, and one of all."""
+    """One folder of CSV for each split, and one of all. Files follow each other in the order; small splits are one file."""
     for (split,) in sorted(rows.select("split").distinct().collect()):
-        rows.where(F.col("split") == split).orderBy(*order).coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{root}/{split}")
-    rows.orderBy("split", *order).coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{root}/all")
+        rows.where(F.col("split") == split).orderBy(*order).write.mode("overwrite").option("header", "true").csv(f"{root}/{split}")
+    rows.orderBy("split", *order).write.mode("overwrite").option("header", "true").csv(f"{root}/all")
 
 
 def ranges_json(index: DataFrame, path: str) -> None:

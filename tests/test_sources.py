@@ -58,7 +58,9 @@ def test_a_chart_twice_is_an_error(spark, library):
 
 def test_documents(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"song": {"song_id": 7, "title": "t"}, "chart": {"chart_kind": "dx", "difficulty_index": 5, "level": "13"}, "measures": [{"index": 1, "start_seconds": 0, "end_seconds": 2, "duration_seconds": 2, "beats": 4, "bpm": 120, "simai": "{4}1,2,3,4,"}]}))
-    row = readers.exported_measures(spark, f"{tmp_path}/c.json").first()
+    rows, bad = readers.exported_measures(spark, f"{tmp_path}/c.json")
+    assert bad.count() == 0
+    row = rows.first()
     assert (row.chart_id, row.idx, row.text) == ("7:DX:5", 1, "{4}1,2,3,4,")
     (tmp_path / "i.json").write_text(json.dumps({"charts": [{"file": "f", "song_id": i, "title": f"Title {i}", "chart_kind": "DX", "difficulty_index": 5, "level": "13"} for i in range(30)], "errors": [{"song_id": 1, "error": "x"}]}))
     index, errors = readers.chart_index(spark, f"{tmp_path}/i.json")
