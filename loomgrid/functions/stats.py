@@ -30,6 +30,11 @@ def per_second(a, seconds) -> Column:
     return F.when(seconds > 0, a.cast("double") / seconds).otherwise(0.0)
 
 
+def median_nonzero(v, fallback: float = 0.0) -> Column:
+    """The median of the values of a group that are above 0; the fallback without any (an aggregate)."""
+    return F.coalesce(F.percentile(F.when(col(v) > 0, col(v)), F.lit(0.5)), F.lit(fallback))
+
+
 def clip(v, low=0.0, high=1.0) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), col(v)))
 

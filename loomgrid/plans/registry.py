@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import catalog_queries, chart_queries, notation_queries, vector_queries
+from . import catalog_queries, chart_queries, notation_queries, product_queries, vector_queries
 
-MODULES = (chart_queries, catalog_queries, vector_queries, notation_queries)
+MODULES = (chart_queries, catalog_queries, vector_queries, notation_queries, product_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -88,6 +88,24 @@ def one_chart(index: DataFrame, **selector):
     return found[0]
 
 
+def stem(path):
+    """A file's name without its folder and extensions."""
+    return F.regexp_extract(path, r"([^/.]+)[^/]*$", 1)
+
+
+def select_reports(index: DataFrame, limit: int | None = None, **selector) -> DataFrame:
+    """The entries of a report index that match, with the stem of their file; of a limit the first by file. Only these reports need to be opened."""
+    found = find_charts(index, **selector).withColumn("stem", stem("file"))
+    return found if limit is None else found.orderBy("file").limit(limit)
+
+
+def by_stem(reports: DataFrame, measures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports with the columns of the measures file of the same stem, and (stem, error) of those without one."""
+    own = measures.withColumn("stem", stem("file")).drop("file")
+    bad = reports.join(own.select("stem"), "stem", "left_anti").select("stem", F.concat(F.lit("no measures for "), "stem").alias("error"))
+    return reports.join(own, "stem"), bad
+
+
 def split_rows(spark: SparkSession, path: str) -> DataFrame:
     """A split file: chart_id, song_id, difficulty, level_value. Fails if it is empty, lacks a column, repeats a chart or has another difficulty than 5 or 6."""
     raw = spark.read.option("header", "true").option("encoding", "UTF-8").csv(path)
