@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A counted side of at most this many bytes of numbers may be broadcast; beyond it the joins shuffle.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 4 << 20
 #: Keys with more than HOT_ROWS rows and more than one HOT_KEYS-th of all rows are split in joins: at most HOT_KEYS keys.
 HOT_ROWS, HOT_KEYS = 512, 1024
 #: Rows and bytes of the batches that go to Python workers while a table is settled.
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 #: White space of the contracts: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]"
@@ -124,7 +124,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(offs: np.ndarray, most: int = 1 << 21):
+def pieces(offs: np.ndarray, most: int = 1 << 19):
     """Ranges (i, j) of rows of at most `most` bytes together, or of one longer row."""
     i, n = 0, len(offs) - 1
     while i < n:

@@ -1,8 +1,9 @@
 """Text kernels: word hashes and shingle hashes over batches of UTF-8 bytes.
 
-A word is known by 64 bits of a keyed BLAKE2b hash of its bytes, so no two words can be built to share
-a hash by arithmetic; two given words do with a chance of 2**-64. A bounded cache keeps the hashes of
-words seen before. Shingles are numbers made of their words' hashes by numpy.
+A word is known by 64 bits. Words of up to SHORT bytes are read as numbers and hashed by two keyed sums of
+products of their halves modulo 2**64, of which the upper 32 bits are kept (pair-wise independent
+multiply-shift hashing); longer words by a keyed BLAKE2b. Two given words share a hash with a chance of
+2**-64, whatever their bytes.
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ from hashlib import blake2b
 
 import numpy as np
 
-PART = 1 << 20  # bytes split into words at once; longer texts are cut at white space
-CACHED_WORDS, CACHED_BYTES = 1 << 18, 64
+PART = 1 << 19  # bytes split into words at once; longer texts are cut at white space
+SHORT = 16
 U64 = np.uint64
 _KEY = b"word hashes of near-duplicate search"
 _rng = np.random.default_rng(20240607)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
-#: A-Z to a-z; bytes.split() cuts at the white space of the contracts, space and 9 to 13.
+_TIMES = np.frombuffer(blake2b(_KEY, digest_size=64).digest() + blake2b(_KEY[::-1], digest_size=32).digest(), U64).reshape(2, 6)
+_LOW, _HIGH = U64(0xFFFFFFFF), U64(0xFFFFFFFF00000000)
+#: Bits of the first n bytes of eight.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: A-Z to a-z, as a table and for bytes.translate.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_FOLD = np.frombuffer(FOLD, np.uint8)
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -30,40 +36,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class _Words(dict):
-    """Word -> hash; unknown words are hashed when they are asked for, overlong ones are not kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(blake2b(word, digest_size=8, key=_KEY).digest(), "little")
-        if len(word) <= CACHED_BYTES:
-            self[word] = value
-        return value
-
-
-_known = _Words()
-
-
-def _hashed(part: bytes) -> np.ndarray:
-    """Hashes of the words of some bytes, A-Z as a-z."""
-    if len(_known) > CACHED_WORDS:
-        _known.clear()
-    words = part.translate(FOLD).split()
-    return np.fromiter(map(_known.__getitem__, words), U64, len(words))
+def _short(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words of up to SHORT bytes at some places."""
+    padded = np.concatenate([b, np.zeros(SHORT, np.uint8)])
+    eight = np.ndarray(len(b) + 8, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    first = eight[start] & _MASK[np.minimum(size, 8)]
+    second = eight[np.minimum(start + 8, len(b) + 7)] & _MASK[np.clip(size - 8, 0, 8)]
+    parts = (first & _LOW, first >> U64(32), second & _LOW, second >> U64(32), size.astype(U64))
+    one, two = (np.add.reduce([x * k for x, k in zip(parts, keys, strict=False)]) + keys[5] for keys in _TIMES)
+    return (one >> U64(32)) | (two & _HIGH)
+
+
+def _block(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block, and the number of words before each row."""
+    if not len(b):
+        return np.zeros(0, U64), np.zeros(len(offs), np.int64)
+    b = _FOLD[b]
+    ws = _WS[b]
+    start, end = ~ws, ~ws
+    edge = np.zeros(len(b) + 1, bool)
+    edge[offs] = True
+    start[1:] &= ws[:-1] | edge[1:-1]
+    end[:-1] &= ws[1:] | edge[1:-1]
+    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+    out = _short(b, start, end - start)
+    for i in np.flatnonzero(end - start > SHORT):
+        out[i] = int.from_bytes(blake2b(b[start[i] : end[i]], digest_size=8, key=_KEY).digest(), "little")
+    return out, np.searchsorted(start, offs)
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without white space, A-Z as a-z) of the rows, and the words before each row."""
-    found, count = [], np.zeros(len(offs), np.int64)
-    for d, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-        while lo < hi:
-            to = min(hi, lo + PART)
-            while to < hi and not _WS[buf[to]]:
-                gap = np.flatnonzero(_WS[buf[to : min(hi, to + PART)]])
-                to = to + int(gap[0]) if len(gap) else min(hi, to + PART)
-            found.append(_hashed(buf[lo:to].tobytes()))
-            count[d + 1] += len(found[-1])
-            lo = to
-    return np.concatenate(found) if found else np.zeros(0, U64), np.cumsum(count)
+    found, first, i, n, base = [], [np.zeros(1, np.int64)], 0, len(offs) - 1, 0
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + PART, "right")) - 1))
+        lo, hi = int(offs[i]), int(offs[j])
+        if j > i + 1 or hi - lo <= PART:
+            own, before = _block(buf[lo:hi], offs[i : j + 1] - lo)
+            found.append(own)
+            first.append(before[1:] + base)
+            base += len(own)
+        else:
+            while lo < hi:
+                to = min(hi, lo + PART)
+                while to < hi and not _WS[buf[to]]:
+                    gap = np.flatnonzero(_WS[buf[to : min(hi, to + PART)]])
+                    to = to + int(gap[0]) if len(gap) else min(hi, to + PART)
+                found.append(_block(buf[lo:to], np.array([0, to - lo]))[0])
+                base += len(found[-1])
+                lo = to
+            first.append(np.array([base]))
+        i = j
+    return np.concatenate(found) if found else np.zeros(0, U64), np.concatenate(first)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from .common import held_out, pieces, text_bytes
 
 SAMPLE, LANGUAGES, BUCKETS = 3000, 4096, 1 << 14
 SMOOTH = 0.5
-PART = 1 << 20  # bytes of a text read at once, for up to MANY languages
+PART = 1 << 18  # bytes of a text read at once, for up to MANY languages
 MANY = 16
 ROUNDS, TOLERANCE, FIRST_SETS = 100, 1e-3, 3
 #: The evidence is the log-likelihood ratio of the chosen mixture and a background of equal buckets for each trigram, drawn
