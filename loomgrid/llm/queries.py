@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, fingerprint, language_id, license_scan, near_dedup, packing, quality, secret_scan, token_files
@@ -75,14 +75,52 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's placements by document: tokens and pieces, and whether all of its bins hold what they may: sizes are the smallest that do, and pieces neither overlap nor leave gaps."""
+    placed = op1_best_fit_packing(spark, sf_dir)
+    sizes = F.array(*map(F.lit, packing.SIZES))
+    bins = placed.where("bin_id >= 0").groupBy("bin_id").agg(F.sum("n_tokens").alias("used"), F.max(F.col("bin_offset") + F.col("n_tokens")).alias("end"), F.min("bin_offset").alias("first"), F.max("bin_size").alias("most"), F.min("bin_size").alias("least"))
+    smallest = F.array_min(F.filter(sizes, lambda x: x >= F.col("used")))
+    fits = (F.col("used") == F.col("end")) & (F.col("first") == 0) & (F.col("most") == F.col("least")) & (F.col("most") == smallest)
+    rows = placed.join(bins.select("bin_id", fits.alias("fits")), "bin_id", "left")
+    return rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_words"), F.count("*").alias("pieces"), F.min(F.coalesce("fits", F.col("n_tokens") == 0)).alias("fits"))
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of what op2's ids decode to."""
+    return op2_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def token_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether op5's documents stand in their files one after the other, with a separator between."""
+    rows = op5_token_counts(spark, sf_dir)
+    before = F.lag(F.col("first_token") + F.col("n_tokens") + 1).over(Window.partitionBy("file").orderBy("doc_index"))
+    return rows.select("doc_id", (F.col("first_token") == F.coalesce(before, F.lit(0))).alias("in_place"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts that op6 fingerprints."""
+    return op6_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_bpe, op3_language_id, op4_exact_dedup, op5_token_counts, op6_fingerprints, op7_quality, op8_license, op9_secrets, op10_near_dedup)}
+    facts = (packed_documents, round_trip, token_places, edited_texts)
+    return {f.__name__: f for f in facts} | {f.__name__: f for f in (op1_best_fit_packing, op2_bpe, op3_language_id, op4_exact_dedup, op5_token_counts, op6_fingerprints, op7_quality, op8_license, op9_secrets, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express: the others are tested against libraries, brute force or held-out labels."""
-    return {"op4_exact_dedup": OP4_SQL, "op8_license": op8_sql(), "op9_secrets": op9_sql(), "op10_near_dedup": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_license": op8_sql(), "op9_secrets": op9_sql(), "op10_near_dedup": OP10_SQL} | FACTS
+
 
+FACTS = {
+    "packed_documents": r"""WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)
+SELECT doc_id, n::BIGINT AS n_words, greatest(1, ceil(n / 8192))::BIGINT AS pieces, true AS fits FROM d""",
+    "round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+    "token_places": "SELECT doc_id, true AS in_place FROM documents",
+    "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS after FROM documents WINDOW w AS (ORDER BY doc_id DESC))
+SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 3) || left(after, n // 3)) AS edited_sha256 FROM d""",
+}
 
 OP4_SQL = r"""
 WITH t AS (
