@@ -55,7 +55,8 @@ class Directive:
     raw: str
 
 
-def directives(slot: str) -> tuple[list[Directive], str]:
+@lru_cache(maxsize=50_000)
+def directives(slot: str) -> tuple[tuple[Directive, ...], str]:
     """The timing directives a slot begins with, and its notes."""
     out, at = [], 0
     while m := DIRECTIVE.match(slot, at):
@@ -64,7 +65,7 @@ def directives(slot: str) -> tuple[list[Directive], str]:
             raise NotationError(f"{KINDS[m.lastindex - 1]} must be positive: {m[0].strip()}")
         out.append(Directive(KINDS[m.lastindex - 1], value, m[0].strip()))
         at = m.end()
-    return out, slot[at:].strip()
+    return tuple(out), slot[at:].strip()
 
 
 def commas(text: str) -> list[str]:
@@ -281,19 +282,26 @@ def note_of(token: str, bpm: Fraction | None) -> Note:
     raise NotationError(f"unknown note {token!r}")
 
 
-def groups_of(notes: str, bpm: Fraction | None) -> list[list[tuple[str, Note]]]:
-    """The notes of a slot, one list for each group between backticks."""
+@lru_cache(maxsize=10_000)
+def exact(tempo: float) -> Fraction:
+    """A tempo as the fraction that is written."""
+    return Fraction(str(tempo))
+
+
+@lru_cache(maxsize=50_000)
+def groups_of(notes: str, bpm: Fraction | None) -> tuple[tuple[tuple[str, Note], ...], ...]:
+    """The notes of a slot, those of each group between backticks. What is written alike is parsed once."""
     if not notes:
-        return []
+        return ()
     out = []
     for group in outside_brackets(notes, "`"):
         if not group:
             raise NotationError(f"empty group in {notes!r}")
-        out.append([(t, note_of(t, bpm)) for t in tokens_of(group)])
-    return out
+        out.append(tuple((t, note_of(t, bpm)) for t in tokens_of(group)))
+    return tuple(out)
 
 
-def tally(total: dict[str, int], groups: list[list[tuple[str, Note]]]) -> list[tuple[int, int, str, Note, int]]:
+def tally(total: dict[str, int], groups: tuple[tuple[tuple[str, Note], ...], ...]) -> list[tuple[int, int, str, Note, int]]:
     """Add a slot's notes to the counters: (group, place, token, note, weight) of each. Touches of a group share three at most."""
     rows = []
     if not groups:
