@@ -490,3 +490,47 @@ def test_note_counts_equal_the_counter(spark):
     got = chart_ops.note_counts(chart_ops.notes(spark.createDataFrame([("c", content)], "chart_id string, content string"))).first().asDict()
     want = notation.count_notes(content)[0]
     assert {k: v for k, v in got.items() if k != "chart_id"} == {k: want[k] for k in got if k != "chart_id"}
+
+
+# numbering, vectors that do not fit, reports by stem
+
+
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_numbers_over_ranges(spark, partitions):
+    from loomgrid.operators.numbering import numbered
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = [(i * 37 % 101, None if i % 10 == 0 else f"v{i % 7}", i) for i in range(101)]
+        df = spark.createDataFrame(rows, "k int, v string, n0 int").repartition(4)
+        got = {r.k: r.place for r in numbered(df, [F.col("v").desc_nulls_first(), "k"], "place").collect()}
+        want = sorted(rows, key=lambda r: (r[1] is not None, tuple(-ord(c) for c in r[1] or ""), r[0]))
+        assert got == {r[0]: i for i, r in enumerate(want)}
+        assert numbered(df.limit(0), ["k"]).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_vectors_that_do_not_fit_are_refused(spark):
+    from loomgrid.operators import embedding
+
+    good = [(1, [1.0, 2.0]), (2, [0.0, 1.0])]
+    for bad in ((3, [1.0]), (3, None), (3, [1.0, None]), (3, [1.0, 2.0, 3.0, 4.0])):
+        df = spark.createDataFrame([*good, bad], "id int, v array<double>")
+        with pytest.raises(ValueError, match="vectors are null"):
+            embedding.svd(df, "id", "v", 1)
+    _, values, right = embedding.svd(spark.createDataFrame(good, "id int, v array<double>"), "id", "v", 2)
+    with pytest.raises(ValueError, match="length 2"):
+        embedding.project(spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id int, v array<double>"), "id", "v", right)
+
+
+def test_batches_of_a_hot_song(spark):
+    from loomgrid.operators import selection
+
+    rows = [(i, 0 if i % 2 else i) for i in range(300)]
+    out = selection.disjoint_batches(spark.createDataFrame(rows, "key int, song_id int"), 10).collect()
+    batches = {}
+    for r in out:
+        batches.setdefault((r["round"], r["batch"]), []).append(r.song_id)
+    assert all(len(b) == 10 == len(set(b)) for b in batches.values()) and len(batches) == 15

@@ -113,3 +113,31 @@ def test_settings_and_ranges():
     for wrong in ({"x": 1}, {"n": "4"}):
         with pytest.raises(ValueError):
             readers.config(wrong, {"n": 2})
+
+
+def test_audio_is_cut_by_a_program(spark, tmp_path):
+    """A stand-in for the program writes its arguments, and fails for one file."""
+    tool = tmp_path / "tool"
+    tool.write_text('#!/bin/sh\nfor last; do :; done\ncase "$*" in *broken*) echo "no such stream" >&2; exit 1;; esac\nprintf "%s" "$5 $7 $9" > "$last"\n')
+    tool.chmod(0o755)
+    rows = [("a", "x.mp3", "c/c_001_1-4.mp3", 1.5, 9.5), ("b", "broken.mp3", "c/c_002_2-5.mp3", 0.0, 8.0), ("c", "y.mp3", "c/c_003_3-6.mp3", -0.25, 2.0)]
+    windows = spark.createDataFrame(rows, "key string, audio_file string, audio_name string, start_seconds double, end_seconds double")
+    out = {r.key: r for r in audio.cut(windows, str(tmp_path / "out"), given=str(tool)).collect()}
+    assert (tmp_path / "out" / "c" / "c_001_1-4.mp3").read_text() == "1.500000 8.000000 x.mp3"
+    assert (tmp_path / "out" / "c" / "c_003_3-6.mp3").read_text() == "0.000000 2.250000 y.mp3"
+    assert out["b"].error == "no such stream\n" and out["b"].sha1 is None and out["a"].size == 23
+    (tmp_path / "out" / "c" / "c_001_1-4.mp3").write_text("kept")
+    assert {r.key: r.size for r in audio.cut(windows, str(tmp_path / "out"), given=str(tool)).collect()}["a"] == 4
+    with pytest.raises(FileNotFoundError):
+        audio.cut(windows, str(tmp_path / "out"), given="no-such-program")
+    names = audio.window_names(spark.createDataFrame([("a b", 3, 1, 4)], "chart_name string, chunk_index int, start_measure int, end_measure int"))
+    assert names.first().audio_name == "a_b/a_b_003_1-4.mp3"
+
+
+def test_reports_by_stem(spark):
+    index = spark.createDataFrame([("x/b.segments.json", "t", "13"), ("x/a.segments.json", "u", "13"), ("x/c.segments.json", "v", "12")], "file string, title string, level string")
+    measures = spark.createDataFrame([("m/a.json", 7)], "file string, measure_count int")
+    good, bad = readers.by_stem(readers.select_reports(index, level="13"), measures)
+    assert [(r.stem, r.measure_count) for r in good.collect()] == [("a", 7)]
+    assert [tuple(r) for r in bad.collect()] == [("b", "no measures for b")]
+    assert [r.stem for r in readers.select_reports(index, 1, level="13").collect()] == ["a"]
