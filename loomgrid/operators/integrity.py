@@ -118,11 +118,11 @@ def song_ids(charts: DataFrame) -> DataFrame:
 
 def charter_category(charts: DataFrame, aliases: DataFrame, credits: DataFrame, unknown: DataFrame) -> DataFrame:
     """Charters by category: a known alias (alias, main), a shared credit (credit, names), an unknown shared credit (credit), or none of them; the main names of each. The three lists are small tables of names."""
-    a = F.broadcast(aliases.select(F.col("alias").alias("_a"), F.col("main").alias("_main")))
+    a = aliases.select(F.col("alias").alias("_a"), F.col("main").alias("_main"))
     parts = credits.select("credit", F.posexplode("names").alias("_i", "_n")).withColumn("_n", F.trim(F.element_at(F.split("_n", "／"), 1)))
     named = parts.join(a, F.col("_n") == F.col("_a"), "left").groupBy("credit").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_main", "_n").alias("m")))).alias("l"))
-    c = F.broadcast(named.select(F.col("credit").alias("_c"), F.transform("l", lambda x: x["m"]).alias("_names")))
-    u = F.broadcast(unknown.select(F.col("credit").alias("_u")).distinct())
+    c = named.select(F.col("credit").alias("_c"), F.transform("l", lambda x: x["m"]).alias("_names"))
+    u = unknown.select(F.col("credit").alias("_u")).distinct()
     name = F.trim("charter")
     rows = charts.join(a, name == F.col("_a"), "left").join(c, name == F.col("_c"), "left").join(u, name == F.col("_u"), "left")
     none = F.coalesce(F.col("charter"), F.lit("")) == ""

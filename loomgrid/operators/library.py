@@ -1,7 +1,8 @@
 """Whole products of a chart library: the score table, section reports, and the vector, index, section and audio tables.
 
 `charts` has chart_id, content and first_seconds, and whatever of the metadata columns there is. Every
-product returns lazy DataFrames and, where charts are read, the errors of those that could not be.
+product returns lazy DataFrames and, where charts are read, the errors of those that could not be. Charts
+are compiled once: tables that are read several times are written to the shared folder unless `cut` says otherwise.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
+from ..plans.lineage import cut as written
 from . import charts as chart_ops
 from . import chunks, density, embedding, integrity, scoring, segments
 
@@ -26,17 +28,18 @@ Cut = Callable[[DataFrame, str], DataFrame]
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
+    """No cut: the plan is computed again wherever it is read."""
     return df
 
 
-def measured(charts: DataFrame, cut: Cut = kept) -> tuple[DataFrame, DataFrame]:
+def measured(charts: DataFrame, cut: Cut = written) -> tuple[DataFrame, DataFrame]:
     """Measures with densities, and errors. `cut` may write them once, since most products read them several times."""
     rows = cut(chart_ops.measures(charts), "measures")
     good, bad = chart_ops.split_errors(rows)
     return density.with_densities(good), bad
 
 
-def score_table(charts: DataFrame, cut: Cut = kept) -> tuple[DataFrame, DataFrame, DataFrame]:
+def score_table(charts: DataFrame, cut: Cut = written) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores of every chart with its raw features and metadata, the baselines they are held against, and errors."""
     m, bad = measured(charts, cut)
     features = cut(scoring.summarize(m, ["chart_id"]), "features")
@@ -58,7 +61,7 @@ def intermediates(table: DataFrame) -> DataFrame:
     return table.select("chart_id", "measure_count", "duration_seconds", "total_notes", F.struct(*raw).alias("raw"), F.struct(*(F.col(f"{n}_score").alias(n) for n in stats.SCORES)).alias("scores"), "dominant_dimension")
 
 
-def reports(charts: DataFrame, base: DataFrame | None = None, standards: DataFrame | None = None, config: segments.Config = segments.Config(), cut: Cut = kept) -> tuple[DataFrame, DataFrame]:
+def reports(charts: DataFrame, base: DataFrame | None = None, standards: DataFrame | None = None, config: segments.Config = segments.Config(), cut: Cut = written) -> tuple[DataFrame, DataFrame]:
     """Sections of every chart: bounds, raw features, label, tier and scores (to six places). Without baselines they are those of the charts given."""
     m, bad = measured(charts, cut)
     plan = segments.segmentation(m, config)
@@ -73,7 +76,7 @@ def reports(charts: DataFrame, base: DataFrame | None = None, standards: DataFra
     return out.withColumns({f"{n}_score": F.round(f"{n}_score", 6) for n in stats.SCORES}), bad
 
 
-def tables(charts: DataFrame, sections: DataFrame, cut: Cut = kept, features: int = 0) -> dict[str, DataFrame]:
+def tables(charts: DataFrame, sections: DataFrame, cut: Cut = written, features: int = 0) -> dict[str, DataFrame]:
     """The pattern, index and segment tables of charts and their sections."""
     m, _ = measured(charts, cut)
     counts = m.groupBy("chart_id").agg(F.max("idx").alias("measure_count"))

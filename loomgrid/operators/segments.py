@@ -185,13 +185,15 @@ def nearest_standard(charts: DataFrame, standards: DataFrame) -> DataFrame:
     value = stats.level_value("level", 0.5)
     levels = charts.select("level").distinct().withColumn("value", value)
     best = F.min_by(F.struct("s_level", "p33", "p67", "low", "high"), F.struct((F.when(F.trim("level") == F.col("s_level"), 0).otherwise(1)).alias("other"), F.abs(F.col("s_value") - F.col("value")).alias("d"), "pos"))
-    near = levels.crossJoin(F.broadcast(s)).where((F.trim("level") == F.col("s_level")) | (F.col("value").isNotNull() & F.col("s_value").isNotNull())).groupBy("level", "value").agg(best.alias("b"))
+    same = F.trim("level") == F.col("s_level")
+    others = levels.where("value is not null").join(s.select("s_level"), same, "left_anti").crossJoin(s.where("s_value is not null"))  # a few levels, a few standards
+    near = levels.join(s, same).unionByName(others).groupBy("level", "value").agg(best.alias("b"))
     exact = F.trim("level").eqNullSafe(F.col("b.s_level"))
     forced = lambda mark, what: F.when(~F.coalesce(exact, F.lit(False)) & (F.col("value") < 11), "all" if what == "low" else "none").when(~F.coalesce(exact, F.lit(False)) & (F.col("value") >= 15), "none" if what == "low" else "all").otherwise(F.col(mark))
     out = levels.join(near.select("level", "b"), "level", "left")
     plain = F.coalesce(exact, F.lit(False)) | F.col("value").between(11, 14.999999)
     out = out.select("level", F.when(exact, "exact").when(F.col("value") < 11, "forced_low").when(F.col("value") >= 15, "forced_high").when(F.col("b").isNotNull(), "nearest").otherwise("none").alias("source"), F.when(plain, F.col("b.s_level")).alias("standard_level"), F.when(plain, F.col("b.p33")).alias("p33"), F.when(plain, F.col("b.p67")).alias("p67"), forced("b.low", "low").alias("low"), forced("b.high", "high").alias("high"))
-    return charts.join(F.broadcast(out), "level", "left")
+    return charts.join(out, "level", "left")
 
 
 def labels(state: DataFrame, limits: DataFrame, bursts: DataFrame, keys: list[str], standards: DataFrame | None = None, chart: str = "chart_id") -> DataFrame:
