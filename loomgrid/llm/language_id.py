@@ -92,7 +92,7 @@ class Mixture:
 
     def part(self) -> int:
         """Bytes to read at once: fewer with many languages."""
-        return max(1 << 12, PART * MANY // max(MANY, len(self.names)))
+        return max(32, PART * MANY // max(MANY, len(self.names)))
 
     def words(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods of all words under each language, and the words before each row; a long row is read in parts that end with a word."""

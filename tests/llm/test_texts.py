@@ -118,9 +118,8 @@ def test_long_texts_are_read_in_parts(monkeypatch):
     model = language_id.Mixture(["a", "b"], np.random.default_rng(1).random((2, language_id.BUCKETS)) * 50)
     whole, first = model.words(buf, offs)
     stats = quality.statistics(buf, offs)
-    for module, name in ((language_id, "PART"), (quality, "BYTES"), (kernels, "BLOCK")):
+    for module, name in ((language_id, "PART"), (quality, "BYTES"), (kernels, "PART")):
         monkeypatch.setattr(module, name, 37)
-    monkeypatch.setattr(kernels, "_powers", {})
     parts, again = model.words(buf, offs)
     assert (first == again).all() and np.abs(whole - parts).max() < 1e-4
     assert np.abs(stats - quality.statistics(buf, offs)).max() < 1e-12
