@@ -136,7 +136,8 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     first = F.struct(bucket.cast("int").alias("bucket"), F.lit(False).alias("tail"))
     tails = F.transform(copies, lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("tail")))
     rows = base.select("key", "text", F.explode(F.concat(F.array(first), tails)).alias("p")).select("p.bucket", "p.tail", "key", "text")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("key"), "text")
+    # as many partitions as buckets, so that tasks keep their size however many documents there are
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("key"), "text")
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
