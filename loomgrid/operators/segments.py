@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from math import ceil
 
@@ -40,40 +41,50 @@ class Config:
         return max(self.shortest(n), ceil(n / count * self.length_factor))
 
 
+def added(start: float, terms: Iterable[float]) -> float:
+    """Terms added one by one, as SQL does; sum() corrects its roundings, which breaks ties another way."""
+    for term in terms:
+        start += term
+    return start
+
+
 def imbalance(n: int, cuts: list[int], count: int) -> float:
-    """Mean relative difference of the sections' lengths from equal ones."""
+    """Mean difference of the sections' lengths from equal ones, relative to those."""
     target = n / count
-    return sum(abs(b - a - target) / target for a, b in zip([0, *cuts], [*cuts, n], strict=True)) / count
+    return added(0.0, (abs(b - a - target) for a, b in zip([0, *cuts], [*cuts, n], strict=True))) / target / count
 
 
 def best_cuts(n: int, count: int, score: dict[int, float], config: Config) -> tuple[float, float, list[int]] | None:
-    """(score, raw score, cuts): for every last boundary the cuts of the largest sum of scores that keep the lengths; of those the best after the balance penalty. The first among equals."""
+    """(score, raw score, cuts): for every last boundary the cuts of the largest sum of scores that keep the lengths; of those the best after the balance penalty.
+
+    Among equals, the first: of equal penalised scores that with the first last boundary, of equal sums that with the first boundary before the last, then before that, and so on."""
     need, least, most = count - 1, config.shortest(n), config.longest(n, count)
     if need < 1:
         return None
     options = config.candidates(n)
-    layer: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    layers: list[dict[int, float]] = [{0: 0.0}]  # for each number of cuts, the largest sum by last boundary
     for k in range(need):
         left = need - k - 1
         following = {}
         for b in options:
             if n - b < left * least or (left == 0 and n - b > most):
                 continue
-            best = None
-            for a, (total, cuts) in layer.items():
-                if least <= b - a <= most and (best is None or total + score.get(b, 0.0) > best[0]):
-                    best = (total + score.get(b, 0.0), (*cuts, b))
-            if best:
-                following[b] = best
-        layer = following
+            totals = [total for a, total in layers[-1].items() if least <= b - a <= most]
+            if totals:
+                following[b] = max(totals) + score.get(b, 0.0)
+        layers.append(following)
     found = None
-    for total, cuts in layer.values():
+    for last, total in layers[-1].items():
+        cuts = [last]
+        for layer in layers[-2:0:-1]:  # sums that differ here can be equal at the last boundary; none exceeds it, so what is not less is equal (or NaN)
+            rest = [score.get(b, 0.0) for b in cuts]
+            cuts.insert(0, next(a for a, before in layer.items() if least <= cuts[0] - a <= most and not added(before, rest) < total))
         lengths = [b - a for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
         if min(lengths) < least or min(cuts) <= config.edge or max(cuts) >= n - config.edge:
             continue
-        value = total - config.balance_weight * imbalance(n, list(cuts), count) - config.extra_penalty * (count - config.min_segments)
+        value = total - config.balance_weight * imbalance(n, cuts, count) - config.extra_penalty * (count - config.min_segments)
         if found is None or value > found[0]:
-            found = (value, total, list(cuts))
+            found = (value, total, cuts)
     return found
 
 

@@ -194,6 +194,27 @@ def test_cuts_are_the_best(seed):
         assert found[0] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("seed", [1425, 1454, 1456, 1861, 1973, 2230])
+def test_first_cuts_among_equals(seed):
+    """Scores of few values make equal sums: added from the left, the first from the last boundary back. These seeds have sums that become equal by rounding."""
+    rng = random.Random(seed)
+    n, config = rng.randint(14, 21), segments.Config(edge=1)
+    score = {b: rng.choice((0.1, 0.2, 0.3)) for b in range(1, n)}
+    best = {}
+    for cuts in itertools.combinations(config.candidates(n), 4):
+        lengths = [b - a for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+        if min(lengths) >= config.shortest(n) and max(lengths) <= config.longest(n, 5):
+            a, b, c, d = cuts
+            best[d] = min(best.get(d, (math.inf,)), (-(score[a] + score[b] + score[c] + score[d]), c, b, a))
+    plans = []
+    for d, (total, c, b, a) in best.items():
+        t = n / 5
+        off = (abs(a - t) + abs(b - a - t) + abs(c - b - t) + abs(d - c - t) + abs(n - d - t)) / t / 5
+        if a > 1 and d < n - 1:
+            plans.append((-(-total - off), d, [a, b, c, d]))
+    assert segments.best_cuts(n, 5, score, config)[2] == min(plans)[2]
+
+
 def test_short_charts_are_cut_evenly():
     cuts, score, *_ = segments.cut(7, {}, segments.Config())
     assert score == 0 and cuts == sorted(set(cuts)) and len(cuts) <= 4

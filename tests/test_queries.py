@@ -47,6 +47,26 @@ def test_query(spark, duck, name):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 1e-4) for x, y in zip(a, b, strict=True)), (a, b)
 
 
+#: Charts with several cuts of equal sums, where the order of additions decides: c(lick), v(iew), p(urchase), s(ignup), e(rror).
+EQUAL_CUTS = (
+    "vceeeseeepecepsvsscvcvcpcppsesssvpsscvcccvspcvvvcpssvepcppvcepsvcecc", "ecvcvsvpppvsevsscepsvvepevsppcsvpccsssveepcevsvsseeescvveeevpppseespc",
+    "pvepvcppevvvpeesepsvepspsvscpevcppcpsecscpepvpcsppessvcvvspsvpcsvvseess", "vcpscvpscecpcpesppcepccspspcececcvccecsspvsssspepevsscvsvppssepcpvcevcvcspv",
+)
+
+
+def test_cuts_of_equal_sums(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    kinds = {"c": "click", "v": "view", "p": "purchase", "s": "signup", "e": "error"}
+    rows = [(100 * u + k, u, k, kinds[x]) for u, chart in enumerate(EQUAL_CUTS) for k, x in enumerate(chart)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, k int, event_type string").selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(1704067200 + k) AS ts")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    r = c.sql(registry.oracle_sql()["segmentation_reports"])
+    ours = registry.queries()["segmentation_reports"](spark, str(tmp_path)).select(*r.columns)
+    assert sorted(map(tuple, ours.collect())) == sorted(r.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
